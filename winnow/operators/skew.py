@@ -1,0 +1,59 @@
+"""Group statistics joined back to rows, with hot groups split."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from winnow.session import materialize
+
+# A group is hot above both limits; the second keeps the list of hot groups to 10,000 rows.
+HOT_ROWS = 100_000
+HOT_SHARE = 10_000
+
+
+def attach_group_stats(
+    df: DataFrame,
+    keys: list[str],
+    stats: dict[str, Column],
+    *,
+    spread: list[str],
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Add aggregates of each row's group, as an unordered window would.
+
+    A window sends a whole group to one task. Here the statistics are partial aggregates, and the
+    join back salts the rows of hot groups by a hash of the `spread` columns; their statistics row
+    is repeated once per salt. At most `HOT_SHARE` groups can each hold more than 1/`HOT_SHARE` of
+    the rows, which bounds the broadcast. Null keys form a group of their own.
+    """
+    table = materialize(
+        df.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys)).agg(
+            *(c.alias(n) for n, c in stats.items()), F.count(F.lit(1)).alias("_n")
+        ),
+        "groups",
+    )
+    names = [f"_key_{k}" for k in keys]
+    limit = F.greatest(F.lit(hot_rows), F.ceil(F.col("_all") / HOT_SHARE))
+    total = table.agg(F.sum("_n").alias("_all"))
+    sized = table.crossJoin(F.broadcast(total)).withColumn(
+        "_splits", F.ceil(F.col("_n") / limit).cast("int")
+    )
+    repeated = sized.select(
+        *names, *stats, F.explode(F.sequence(F.lit(0), F.col("_splits") - 1)).alias("_copy")
+    )
+    hot = sized.where("_splits > 1").select(*names, "_splits")
+
+    def same_keys(other: DataFrame) -> Column:
+        match = F.lit(True)
+        for k in keys:
+            match = match & df[k].eqNullSafe(other[f"_key_{k}"])
+        return match
+
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_splits")).cast("int"), F.lit(0))
+    salted = df.join(F.broadcast(hot), same_keys(hot), "left").select(
+        *(df[c] for c in df.columns), salt.alias("_salt")
+    )
+    match = F.col("_salt") == F.col("_copy")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return salted.join(repeated, match).select(*df.columns, *stats)
