@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from winnow.functions import text as X
+from winnow.functions.stage import stage
 
 
 def first_present(df: DataFrame, fields: Sequence[str]) -> Column:
@@ -48,50 +49,52 @@ def _kind(c: Column) -> Column:
     return F.regexp_extract(schema, "^[A-Z]+", 0)
 
 
-def _message(item: Column) -> Column:
-    """One message: role (user when absent), content, and whether content is a JSON string."""
-    content = F.try_variant_get(F.try_parse_json(item), "$.content", "variant")
-    return X.let(
-        F.from_json(item, _MESSAGE),
-        lambda m: F.struct(
-            F.coalesce(m["role"], F.lit("user")).alias("role"),
-            m["content"].alias("content"),
-            F.coalesce(F.schema_of_variant(content) == "STRING", F.lit(False)).alias("valid"),
-        ),
-    )
-
-
-def prompt_question(value: Column, *, require_user_only: bool = False) -> Column:
-    """struct<question, error> of a prompt, one of the two null.
+def with_question(
+    df: DataFrame,
+    value: str,
+    *,
+    require_user_only: bool = False,
+    question: str = "question",
+    error: str = "error",
+) -> DataFrame:
+    """Add the question of a prompt and an error text, one of the two null.
 
     The prompt is plain text, one message, or a list of messages, the last two as JSON text. List
     items may be JSON text themselves. Exactly one user message must remain; a missing role means
     user. `require_user_only` refuses any other message.
     """
-
-    def from_messages(messages: Column) -> Column:
-        users = F.filter(messages, lambda m: m["role"] == "user")
-        error = F.when(F.exists(messages, lambda m: ~m["valid"]), F.lit("invalid message"))
-        if require_user_only:
-            error = error.when(
-                (F.size(messages) != 1) | (F.size(users) != 1), F.lit("not one user message")
-            )
-        error = error.when(F.size(users) != 1, F.lit("not exactly one user message"))
-        return X.let(
-            error,
-            lambda e: F.struct(
-                F.when(e.isNull(), F.try_element_at(users, F.lit(1))["content"]).alias("question"),
-                e.alias("error"),
+    prompt, kind = F.col(value), F.col("_kind")
+    rows = stage(df, _kind=_kind(prompt))
+    items = F.when(kind == "ARRAY", F.from_json(prompt, T.ArrayType(T.StringType()))).when(
+        kind == "OBJECT", F.array(prompt)
+    )
+    rows = stage(rows, _items=items)
+    content = "$.content"
+    rows = stage(
+        rows,
+        _messages=F.transform("_items", lambda i: F.from_json(i, _MESSAGE)),
+        _valid=F.forall(
+            "_items",
+            lambda i: F.coalesce(
+                F.schema_of_variant(F.try_variant_get(F.try_parse_json(i), content, "variant"))
+                == "STRING",
+                F.lit(False),
             ),
+        ),
+    )
+    users = F.filter("_messages", lambda m: F.coalesce(m["role"], F.lit("user")) == "user")
+    rows = stage(rows, _users=users)
+    n_users, structured = F.size("_users"), F.col("_items").isNotNull()
+    problem = F.when(structured & ~F.col("_valid"), F.lit("invalid message"))
+    if require_user_only:
+        problem = problem.when(
+            structured & ((F.size("_messages") != 1) | (n_users != 1)), F.lit("not one user message")
         )
-
-    def by_kind(kind: Column) -> Column:
-        items = F.when(kind == "ARRAY", F.from_json(value, T.ArrayType(T.StringType()))).otherwise(
-            F.array(value)
-        )
-        plain = F.struct(value.alias("question"), F.lit(None).cast("string").alias("error"))
-        return F.when(
-            kind.isin("ARRAY", "OBJECT"), X.let(F.transform(items, _message), from_messages)
-        ).otherwise(plain)
-
-    return X.let(_kind(value), by_kind)
+    problem = problem.when(structured & (n_users != 1), F.lit("not exactly one user message"))
+    rows = stage(rows, _problem=problem)
+    asked = F.when(structured, F.try_element_at("_users", F.lit(1))["content"]).otherwise(prompt)
+    return rows.select(
+        *df.columns,
+        F.when(F.col("_problem").isNull(), asked).alias(question),
+        F.col("_problem").alias(error),
+    )

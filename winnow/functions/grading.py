@@ -8,7 +8,6 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from winnow import constants as K
 from winnow.functions import text as X
 
 # Text that float() accepts; a cast alone would also take Java suffixes such as "1d".
@@ -44,18 +43,17 @@ _NUM = r"\d+(?:\.\d+)?|\.\d+"
 
 
 def normal_math(c: Column) -> Column:
-    """LaTeX answer with spacing, sizing, units and spelling variants removed."""
+    """LaTeX answer with spacing, sizing, units and spelling variants removed.
+
+    A text wrapper around the whole answer is opened, any other one is a unit and goes.
+    """
+    wrapped = r"\\(?:text|textbf|mathrm|mbox)\{([^{}]*)\}"
     s = F.regexp_replace(c, r"\\(?:left|right|displaystyle|,|;|:|!| )|\$|\\(?=%)", "")
+    s = F.regexp_replace(s, rf"^\s*{wrapped}\s*$", "$1")
+    s = F.regexp_replace(s, rf"{wrapped}|\^\{{?\\circ\}}?|\\degree|\s+", "")
+    s = F.regexp_replace(s, r"\.$", "")
     s = F.regexp_replace(s, r"\\[dt]frac", r"\\frac")
     s = F.regexp_replace(s, r"\\cdot|\\times", "*")
-    s = F.regexp_replace(s, r"\^\{?\\circ\}?|\\degree", "")
-    wrapped = r"\\(?:text|textbf|mathrm|mbox)\{([^{}]*)\}"
-    unwrapped = F.regexp_replace(F.regexp_replace(s, wrapped, ""), r"\s+", "")
-    s = F.coalesce(
-        X.nonempty(unwrapped),
-        F.regexp_replace(F.regexp_replace(s, wrapped, "$1"), r"\s+", ""),
-    )
-    s = F.regexp_replace(s, r"\.$", "")
     s = F.regexp_replace(s, r"\\(frac|sqrt)(\d)", r"\\$1{$2}")
     s = F.regexp_replace(s, r"\\frac\{(\d+)\}(\d)", r"\\frac{$1}{$2}")
     return F.regexp_replace(s, r"(?<=^|\D)(\d{1,3}),(?=\d{3}(?:\D|$))", "$1")
@@ -85,88 +83,28 @@ def math_number(normal: Column) -> Column:
     )
 
 
-def math_key(c: Column) -> Column:
-    """struct<text, num>: the normalised answer and its numeric value, if it has one."""
-    return X.let(
-        without_assignment(normal_math(c)),
-        lambda t: F.struct(t.alias("text"), math_number(t).alias("num")),
+def math_equal(gold: Column, pred: Column, gold_num: Column, pred_num: Column) -> Column:
+    """Equality of normalised answers: equal text, else numbers equal to six decimals, else null."""
+    return F.when(gold == pred, F.lit(True)).when(
+        gold_num.isNotNull() & pred_num.isNotNull(), F.round(gold_num, 6) == F.round(pred_num, 6)
     )
 
 
-def math_equal(gold: Column, pred: Column) -> Column:
-    """Equality of two keys: equal text, else numbers equal to six decimals, else null."""
-    return F.when(gold["text"] == pred["text"], F.lit(True)).when(
-        gold["num"].isNotNull() & pred["num"].isNotNull(),
-        F.round(gold["num"], 6) == F.round(pred["num"], 6),
+def choice_of_value(choices: Column, pred: Column, pred_num: Column) -> Column:
+    """Letter of the first choice `struct<letter, text>` equal to a normalised answer, else null."""
+    same = F.filter(
+        choices,
+        lambda c: F.coalesce(
+            math_equal(c["text"], pred, math_number(c["text"]), pred_num), F.lit(False)
+        ),
     )
-
-
-_BOXED_DEPTH = 3
-_ANY_MATH = r"\\boxed|\$|\\\(|\\\["
+    return F.try_element_at(same, F.lit(1))["letter"]
 
 
 def without_dollars(c: Column) -> Column:
     return F.regexp_replace(X.strip(c), r"^\$+|\$+$", "")
 
 
-def verify_math(prediction: Column, gold: Column) -> Column:
-    """Native level of math equality: true, false, or null when it cannot decide.
-
-    The last boxed value is compared with gold, as normalised text and as a number. Blank gold is
-    null. A response with neither a box nor any math delimiter holds no answer and is false.
-    """
-    keys = F.struct(
-        math_key(X.answer_boxed(prediction, _BOXED_DEPTH)).alias("pred"),
-        math_key(without_dollars(gold)).alias("gold"),
-    )
-
-    def verdict(k: Column) -> Column:
-        no_answer = k["pred"]["text"].isNull() & ~prediction.rlike(_ANY_MATH)
-        return (
-            F.when(F.coalesce(k["gold"]["text"], F.lit("")) == "", F.lit(None).cast("boolean"))
-            .when(no_answer, F.lit(False))
-            .otherwise(math_equal(k["gold"], k["pred"]))
-        )
-
-    return X.let(keys, verdict)
-
-
-def verify_choice_value(prediction: Column, question: Column, gold: Column) -> Column:
-    """Whether the first choice whose value equals the boxed value is the gold letter.
-
-    Null when nothing is boxed, the question has no choices, or no choice has that value.
-    """
-
-    def verdict(pred: Column) -> Column:
-        same = F.filter(
-            X.answer_choices(question),
-            lambda c: F.coalesce(math_equal(math_key(c["value"]), pred), F.lit(False)),
-        )
-        return F.try_element_at(same, F.lit(1))["letter"] == gold
-
-    return X.let(
-        math_key(X.answer_boxed(prediction)),
-        lambda pred: F.when(pred["text"].isNotNull(), verdict(pred)),
-    )
-
-
-def verify(prediction: Column, answer: Column, question: Column | None = None) -> Column:
-    """Composite check: chosen letter, then choice value, then math equality; null is undecided.
-
-    Letters and choices count only for a gold answer A-E.
-    """
-
-    def verdict(gold: Column) -> Column:
-        by_letter = X.answer_choice(prediction) == gold
-        if question is not None:
-            by_letter = F.coalesce(by_letter, verify_choice_value(prediction, question, gold))
-        return F.coalesce(
-            F.when(gold.isin(*K.CHOICE_LETTERS), by_letter), verify_math(prediction, answer)
-        )
-
-    return X.let(F.upper(without_dollars(answer)), verdict)
-
-
 # --- a caller's grader --------------------------------------------------------------------------
 
 GRADE = T.StructType(

@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 from winnow import constants as K
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate `value` once and use it any number of times in `body`.
-
-    A column used n times in an expression is n copies of its expression, and a filter that moves
-    below a projection copies it again. Binding it as a lambda variable keeps long chains linear.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 # What Python's str.strip removes: Unicode white space and the four information separators.
 _EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -81,24 +70,28 @@ def answer_choices(c: Column) -> Column:
     Letters stand in order of first appearance; a repeated letter keeps its last value.
     """
     pattern = r"(?Ud)\(([A-E])\)\s*([^(]+?)(?=\s*\([A-E]\)|\s*$)"
-    found = F.struct(
-        all_matches(c, pattern, 1).alias("letters"), all_matches(c, pattern, 2).alias("values")
+    letters, values = all_matches(c, pattern, 1), all_matches(c, pattern, 2)
+    # Pairs in text order; the lambdas below run once per question and once per letter.
+    pairs = F.arrays_zip(letters.alias("letter"), values.alias("value"))
+    merged = F.aggregate(
+        pairs,
+        F.array().cast("array<struct<letter:string,value:string>>"),
+        _replace_or_append,
+    )
+    return F.transform(
+        merged,
+        lambda m: F.struct(
+            m["letter"].alias("letter"),
+            F.regexp_replace(strip(m["value"]), r"\.+$", "").alias("value"),
+        ),
     )
 
-    def choices(m: Column) -> Column:
-        def last_value(letter: Column) -> Column:
-            where = F.size(m["letters"]) - F.array_position(F.reverse(m["letters"]), letter) + 1
-            return F.element_at(m["values"], where.cast("int"))
-
-        return F.transform(
-            F.array_distinct(m["letters"]),
-            lambda letter: F.struct(
-                letter.alias("letter"),
-                F.regexp_replace(strip(last_value(letter)), r"\.+$", "").alias("value"),
-            ),
-        )
 
-    return let(found, choices)
+def _replace_or_append(found: Column, pair: Column) -> Column:
+    """Pairs found so far with one more: in place of an earlier one of the same letter, or last."""
+    known = F.exists(found, lambda f: f["letter"] == pair["letter"])
+    replaced = F.transform(found, lambda f: F.when(f["letter"] == pair["letter"], pair).otherwise(f))
+    return F.when(known, replaced).otherwise(F.concat(found, F.array(pair)))
 
 
 def format_score(c: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from winnow import constants as K
 from winnow.functions import text as X
-from winnow.functions.fields import first_present, is_json_object, json_object_field, prompt_question
+from winnow.functions.fields import first_present, is_json_object, json_object_field, with_question
+from winnow.functions.stage import stage
 from winnow.operators.checks import ValidationError, check
 
 
@@ -32,7 +33,8 @@ def normalised(df: DataFrame, *, position: str = "position", protocol: str = "pa
     names = set(rows.columns)
     none = F.lit(None).cast("string")
     reward = F.col("reward_model").cast("string") if "reward_model" in names else none
-    has_reward = is_json_object(reward)
+    rows = stage(rows, _has_reward=is_json_object(reward))
+    has_reward = F.col("_has_reward")
     asked = first_present(rows, K.QUESTION_FIELDS)
     if "prompt" in names:
         by_prompt = F.col("prompt").isNotNull()
@@ -48,13 +50,10 @@ def normalised(df: DataFrame, *, position: str = "position", protocol: str = "pa
         asked.alias("_asked"),
         F.coalesce(truth, first_present(rows, K.ANSWER_FIELDS)).alias("_answer"),
     )
-    parts = prompt_question(F.col("_asked"), require_user_only=protocol == "opd")
-    staged = staged.withColumn("_parts", parts).select(
-        "*",
-        X.strip(F.col("_parts.question")).alias("_question"),
-        F.col("_parts.error").alias("_broken"),
-        X.strip(F.col("_answer")).alias("_final"),
+    staged = with_question(
+        staged, "_asked", require_user_only=protocol == "opd", question="_text", error="_broken"
     )
+    staged = stage(staged, _question=X.strip(F.col("_text")), _final=X.strip(F.col("_answer")))
     missing = F.concat_ws(
         ", ",
         F.when(F.col("_asked").isNull(), F.lit("question")),

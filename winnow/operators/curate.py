@@ -8,7 +8,10 @@ from winnow import constants as K
 from winnow.functions import grading as G
 from winnow.functions import text as X
 from winnow.functions.messages import first_message
-from winnow.operators.ordering import dense_index
+from winnow.functions.stage import stage
+from winnow.operators.grade import with_math_verdict
+from winnow.operators.ordering import SCAN_ORDER, dense_index
+from winnow.session import materialize
 
 STRUCTURAL = "structural"
 DENIED = "denied"
@@ -48,35 +51,28 @@ def with_drop_reason(
     reaches the answer check, and only answers the native check leaves open reach a `grader`.
     """
     m = F.col(messages)
-
-    def staged(answer: Column) -> Column:
-        early = (
-            F.when(~is_structural(m), F.lit(STRUCTURAL))
-            .when((answer if denied_by is None else denied_by).isin(*denied), F.lit(DENIED))
-            .when(X.format_score(answer) == 0.0, F.lit(FORMAT))
-            .when(reference_answer(m).isNull(), F.lit(NO_REFERENCE))
-        )
-        return X.let(
-            early,
-            lambda reason: F.struct(
-                reason.alias("reason"),
-                answer.alias("answer"),
-                F.when(reason.isNull(), G.verify_math(answer, reference_answer(m))).alias("right"),
-            ),
-        )
-
-    stage = X.let(X.strip(first_message(m, "assistant")["content"]), staged)
-    if grader is None:
-        return df.withColumn(out, X.let(stage, lambda s: _reason(s["reason"], s["right"])))
-    rows = df.withColumn("_stage", stage)
-    undecided = F.col("_stage.reason").isNull() & F.col("_stage.right").isNull()
-    outer = G.external_grade(
-        F.col("_stage.answer"), reference_answer(m), grader, when=undecided, timeout=timeout
+    rows = stage(df, _answer=X.strip(first_message(m, "assistant")["content"]))
+    answer = F.col("_answer")
+    early = (
+        F.when(~is_structural(m), F.lit(STRUCTURAL))
+        .when((answer if denied_by is None else denied_by).isin(*denied), F.lit(DENIED))
+        .when(X.format_score(answer) == 0.0, F.lit(FORMAT))
+        .when(reference_answer(m).isNull(), F.lit(NO_REFERENCE))
     )
-    right = F.coalesce("_stage.right", "_outer.verified")
-    return rows.withColumn("_outer", outer).select(
-        *df.columns, _reason(F.col("_stage.reason"), right).alias(out)
+    rows = stage(rows, _early=early)
+    passed = F.col("_early").isNull()
+    rows = stage(
+        rows, _graded=F.when(passed, answer), _gold=F.when(passed, reference_answer(m))
     )
+    rows = with_math_verdict(rows, "_graded", "_gold", out="_right")
+    right = F.col("_right")
+    if grader is not None:
+        outer = G.external_grade(
+            F.col("_graded"), F.col("_gold"), grader, when=passed & right.isNull(), timeout=timeout
+        )
+        rows = rows.withColumn("_outer", outer)
+        right = F.coalesce(right, F.col("_outer.verified"))
+    return rows.select(*df.columns, _reason(F.col("_early"), right).alias(out))
 
 
 def _reason(early: Column, right: Column) -> Column:
@@ -96,11 +92,14 @@ def drop_report(df: DataFrame, reason: str = "reason") -> DataFrame:
 
 
 def indexed(df: DataFrame, *order: str) -> DataFrame:
-    """Kept records numbered from zero in input order.
+    """Kept records numbered from zero in input order, or in the order of a unique key.
 
-    The kept rows are written once inside, so the filters run once for counting and numbering.
+    Input order is that of `with_scan_order`, which must be part of `df`; it needs no shuffle. A
+    key does, so the kept records are written first and the filters run once.
     """
-    return dense_index(df, *order, out="idx")
+    if order:
+        return dense_index(materialize(df, "kept"), *order)
+    return dense_index(df, *SCAN_ORDER).drop(*SCAN_ORDER)
 
 
 def head(df: DataFrame, rows: int = K.HEAD_ROWS) -> DataFrame:

@@ -4,8 +4,86 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from winnow import constants as K
 from winnow.functions import grading as G
 from winnow.functions import text as X
+from winnow.functions.stage import stage
+
+_BOXED_DEPTH = 3
+_ANY_MATH = r"\\boxed|\$|\\\(|\\\["
+
+
+def with_math_verdict(
+    df: DataFrame, prediction: str, gold: str, *, out: str = "verified"
+) -> DataFrame:
+    """Native level of math equality: true, false, or null when it cannot decide.
+
+    The last boxed value is compared with gold, as normalised text and as a number. Blank gold is
+    null. A response with neither a box nor any math delimiter holds no answer and is false.
+    """
+    boxed = X.answer_boxed(F.col(prediction), _BOXED_DEPTH)
+    rows = stage(
+        df,
+        _pred=G.without_assignment(G.normal_math(boxed)),
+        _gold=G.without_assignment(G.normal_math(G.without_dollars(F.col(gold)))),
+    )
+    pred, truth = F.col("_pred"), F.col("_gold")
+    no_answer = pred.isNull() & ~F.col(prediction).rlike(_ANY_MATH)
+    verdict = (
+        F.when(F.coalesce(truth, F.lit("")) == "", F.lit(None).cast("boolean"))
+        .when(no_answer, F.lit(False))
+        .otherwise(G.math_equal(truth, pred, G.math_number(truth), G.math_number(pred)))
+    )
+    return stage(rows, **{out: verdict}).drop("_pred", "_gold")
+
+
+def with_choice_verdict(
+    df: DataFrame, prediction: str, question: str, gold: str, *, out: str = "verified"
+) -> DataFrame:
+    """Whether the first choice whose value equals the boxed value is the gold letter.
+
+    Null when nothing is boxed, the question has no choices, or no choice has that value.
+    """
+    boxed = F.when(F.col(gold).isNotNull(), X.answer_boxed(F.col(prediction)))
+    rows = stage(df, _pred=G.without_assignment(G.normal_math(boxed)))
+    choices = F.transform(
+        X.answer_choices(F.when(F.col("_pred").isNotNull(), F.col(question))),
+        lambda c: F.struct(
+            c["letter"].alias("letter"),
+            G.without_assignment(G.normal_math(c["value"])).alias("text"),
+        ),
+    )
+    rows = stage(rows, _choices=choices, _num=G.math_number(F.col("_pred")))
+    letter = G.choice_of_value(F.col("_choices"), F.col("_pred"), F.col("_num"))
+    return stage(rows, **{out: letter == F.col(gold)}).drop("_pred", "_choices", "_num")
+
+
+def with_native_verdict(
+    df: DataFrame,
+    *,
+    prediction: str = "response",
+    answer: str = "answer",
+    question: str | None = "question",
+    out: str = "verified",
+) -> DataFrame:
+    """Chosen letter, then choice value, then math equality; null is undecided.
+
+    Letters and choices count only for a gold answer A-E; other rows skip both.
+    """
+    gold = F.upper(G.without_dollars(F.col(answer)))
+    rows = stage(df, _letter=F.when(gold.isin(*K.CHOICE_LETTERS), gold))
+    letter = F.col("_letter")
+    chosen = F.when(letter.isNotNull(), X.answer_choice(F.col(prediction)))
+    rows = stage(rows, _by_letter=chosen == letter)
+    if question is None:
+        rows = rows.withColumn("_by_value", F.lit(None).cast("boolean"))
+    else:
+        rows = stage(rows, _open=F.when(F.col("_by_letter").isNull(), letter))
+        rows = with_choice_verdict(rows, prediction, question, "_open", out="_by_value")
+    rows = with_math_verdict(rows, prediction, answer, out="_by_math")
+    verdict = F.coalesce("_by_letter", "_by_value", "_by_math")
+    names = [c for c in df.columns if c != out]
+    return rows.select(*names, verdict.alias(out))
 
 
 def with_verdict(
@@ -18,21 +96,19 @@ def with_verdict(
     timeout: float = 20.0,
     out: str = "verified",
 ) -> DataFrame:
-    """Add the composite verdict; null is undecided and counts as incorrect.
+    """Add the native verdict; null is undecided and counts as incorrect.
 
     A `grader` decides the rows the native checks leave open; then `grader_error` is added.
     """
-    asked = None if question is None else F.col(question)
-    native = G.verify(F.col(prediction), F.col(answer), asked)
+    names = {"prediction": prediction, "answer": answer, "question": question}
     if grader is None:
-        return df.withColumn(out, native)
-    staged = df.withColumn("_native", native)
+        return with_native_verdict(df, **names, out=out)
+    rows = with_native_verdict(df, **names, out="_native")
     outer = G.external_grade(
         F.col(prediction), F.col(answer), grader, when=F.col("_native").isNull(), timeout=timeout
     )
-    names = [c for c in df.columns if c != out]
-    return staged.withColumn("_outer", outer).select(
-        *names,
+    return rows.withColumn("_outer", outer).select(
+        *(c for c in df.columns if c != out),
         F.coalesce("_native", "_outer.verified").alias(out),
         F.col("_outer.grader_error").alias("grader_error"),
     )
@@ -65,9 +141,15 @@ def with_verdict_by_dataset(
     """Number, letter or composite grading, chosen by benchmark name; adds `method`."""
     response, gold = F.col(prediction), F.col(answer)
     method = F.col("method")
+    rows = stage(df, method=X.grading_method(F.col(dataset)))
+    # Rows of the other methods give the composite check nothing to work on.
+    rows = rows.withColumn("_response", F.when(method == "latex", response))
+    rows = with_native_verdict(
+        rows, prediction="_response", answer=answer, question=question, out="_latex"
+    )
     verdict = (
         F.when(method == "simple_number", G.verify_number(response, gold))
         .when(method == "multiple_choice", G.verify_letter(response, gold))
-        .otherwise(G.verify(response, gold, F.col(question)))
+        .otherwise(F.col("_latex"))
     )
-    return df.withColumn("method", X.grading_method(F.col(dataset))).withColumn(out, verdict)
+    return rows.select(*df.columns, "method", verdict.alias(out))

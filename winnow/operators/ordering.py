@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from winnow.session import materialize
 
+# Largest split table that is broadcast, about 128 TB of input at the default split size.
+MAX_SPLITS = 1_000_000
+
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -55,7 +58,18 @@ def _before(table: DataFrame, total: Column) -> DataFrame:
 
 
 def dense_index(df: DataFrame, *order: str, out: str = "idx", start: int = 0) -> DataFrame:
-    """Number rows start, start + 1, ... in the order of a unique key."""
+    """Number rows start, start + 1, ... in the order of a unique key.
+
+    Rows still lying as a file scan delivered them, ordered by `SCAN_ORDER`, are numbered without
+    a shuffle; any other order is range-partitioned. Costly filters run once in the first case; in
+    the second the range partitioner samples first, so hand in a written table.
+    """
+    if order == SCAN_ORDER:
+        return _scan_index(df, out, start)
+    return _range_index(df, order, out, start)
+
+
+def _range_index(df: DataFrame, order: tuple[str, ...], out: str, start: int) -> DataFrame:
     table = sorted_table(df, *order)
     rows = table.join(_before(table, F.count(F.lit(1))), "_part")
     index = (F.col("_before") + F.col("_pos") + start).cast("bigint")
@@ -63,13 +77,61 @@ def dense_index(df: DataFrame, *order: str, out: str = "idx", start: int = 0) ->
     return rows.select(*kept, index.alias(out))
 
 
-def running_sum(df: DataFrame, key: str, value: str, out: str = "hi") -> DataFrame:
-    """Inclusive running sum of an integer column in the order of a unique key."""
-    table = sorted_table(df, key)
-    inside = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+def _scan_index(df: DataFrame, out: str, start: int) -> DataFrame:
+    """Dense index in scan order: one write, one count per file split, no shuffle of rows.
+
+    Rows of a split keep their order inside one task, so a row's number is the rows of earlier
+    splits plus its place in its own. The split table grows with input bytes (one row per split,
+    128 MB each by default); it is counted before it is broadcast. If the rows were shuffled since
+    the scan, or the splits are too many, the rows are range-partitioned instead.
+    """
+    table = materialize(df.withColumn("_rid", F.monotonically_increasing_id()), "scan")
+    splits = materialize(
+        table.groupBy("_file", "_block").agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min("_rid").alias("_first"),
+            F.max("_rid").alias("_end"),
+            (
+                (F.min_by("_row", "_rid") != F.min("_row"))
+                | (F.max_by("_row", "_rid") != F.max("_row"))
+            ).alias("_turned"),
+        ),
+        "splits",
+    )
+    facts = splits.agg(
+        F.count(F.lit(1)).alias("splits"),
+        F.count_if(
+            F.col("_turned") | (F.col("_end") - F.col("_first") + 1 != F.col("_n"))
+        ).alias("torn"),
+    ).first()
+    if facts["torn"] or facts["splits"] > MAX_SPLITS:
+        return _range_index(table.drop("_rid"), SCAN_ORDER, out, start)
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select(
+        "_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+    )
+    index = (F.col("_before") + F.col("_rid") - F.col("_first") + start).cast("bigint")
+    kept = [c for c in df.columns if c != out]
+    return table.join(F.broadcast(offsets), ["_file", "_block"]).select(*kept, index.alias(out))
+
+
+def running_sum(table: DataFrame, value: str, out: str = "hi", *, key: str | None = None) -> DataFrame:
+    """Inclusive running sum of an integer column over a `sorted_table`, in its order.
+
+    With `key`, the column the table is sorted by, a repeated key fails the job.
+    """
+    place = Window.partitionBy("_part").orderBy("_pos")
+    inside = place.rowsBetween(Window.unboundedPreceding, 0)
     rows = table.withColumn("_run", F.sum(value).over(inside))
+    if key is not None:
+        # Equal keys are neighbours within one range partition.
+        again = F.raise_error(F.concat(F.lit(f"repeated {key}: "), F.col(key).cast("string")))
+        rows = rows.withColumn("_same", F.lag(key).over(place) == F.col(key)).withColumn(
+            "_run", F.when(F.col("_same"), again.cast("bigint")).otherwise(F.col("_run"))
+        )
     rows = rows.join(_before(table, F.sum(value)), "_part")
-    return rows.select(*df.columns, (F.col("_before") + F.col("_run")).cast("bigint").alias(out))
+    kept = [c for c in table.columns if c not in ("_part", "_pos")]
+    return rows.select(*kept, (F.col("_before") + F.col("_run")).cast("bigint").alias(out))
 
 
 def nearest_at_or_below(

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from winnow.functions.exact import exact_sum
-from winnow.operators.ordering import dense_index, nearest_at_or_below, running_sum
+from winnow.operators.ordering import dense_index, nearest_at_or_below, running_sum, sorted_table
 from winnow.session import materialize
 
 DRAWS_PER_SPLIT = 100_000
 MAX_HOT_ROWS = 10_000
+SCALE = 1e12
 
 
 def last_per_key(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:
@@ -51,15 +52,21 @@ def uniform_hash(seed: int, c: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def quantised(df: DataFrame, *, weight: str = "sampling_weight", scale: float = 1e12) -> DataFrame:
+def _parts(weight: Column, total: Column, scale: float) -> Column:
+    """Share of the total weight in whole parts of 1/scale; equal parts when nothing has weight."""
+    share = F.when(total > 0, F.round(weight / total * scale)).otherwise(1.0)
+    return share.cast("bigint")
+
+
+def quantised(df: DataFrame, *, weight: str = "sampling_weight", scale: float = SCALE) -> DataFrame:
     """Add `q`, the share of the total weight in whole parts of 1/scale.
 
     Integer parts make every later sum exact. Above about a billion rows use scale 1e15. When no
     weight is positive all rows get the same part.
     """
     stats = df.agg(exact_sum(F.col(weight), 18).alias("_sum"))
-    share = F.when(F.col("_sum") > 0, F.round(F.col(weight) / F.col("_sum") * scale)).otherwise(1.0)
-    return df.crossJoin(F.broadcast(stats)).select(*df.columns, share.cast("bigint").alias("q"))
+    q = _parts(F.col(weight), F.col("_sum"), scale)
+    return df.crossJoin(F.broadcast(stats)).select(*df.columns, q.alias("q"))
 
 
 def new_size(n_rows: int, multiplier: float) -> int:
@@ -77,23 +84,26 @@ def weighted_draws(
     seed: int = 42,
     idx: str = "idx",
     weight: str = "sampling_weight",
-    scale: float = 1e12,
+    scale: float = SCALE,
 ) -> DataFrame:
     """Draws `(draw, idx, q)`: inverse-CDF match of n·multiplier uniforms to running weight.
 
-    `weighted` holds one row per idx. Work is O(rows + draws), on columns of a few bytes.
+    `weighted` holds one row per idx; a repeated idx is an error. Work is O(rows + draws), on columns of a few bytes.
     """
     spark = weighted.sparkSession
-    parts = materialize(quantised(weighted.select(idx, weight), weight=weight, scale=scale), "parts")
-    size = parts.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("q"), F.lit(0)).alias("total")
+    table = sorted_table(weighted.select(idx, weight), idx)
+    facts = table.agg(
+        F.count(F.lit(1)).alias("n"), exact_sum(F.col(weight), 18).alias("weight")
     ).first()
-    n_new = new_size(size["n"], multiplier)
-    spans = running_sum(parts.where("q > 0").select(idx, "q"), idx, "q")
+    n_new = new_size(facts["n"], multiplier)
+    q = _parts(F.col(weight), F.lit(facts["weight"] or 0.0), scale)
+    table = table.select(idx, q.alias("q"), "_part", "_pos")
+    total = table.agg(F.sum("q")).first()[0]
+    spans = running_sum(table, "q", key=idx).where("q > 0")
     points = spans.select((F.col("hi") - F.col("q")).alias("at"), idx, "q")
     probes = spark.range(n_new).select(
         F.col("id").alias("draw"),
-        F.floor(uniform_hash(seed, F.col("id")) * float(size["total"])).cast("bigint").alias("at"),
+        F.floor(uniform_hash(seed, F.col("id")) * float(total)).cast("bigint").alias("at"),
     )
     hits = nearest_at_or_below(points, probes, at="at", payload=[idx, "q"], probe_id="draw")
     return materialize(hits.select("draw", idx, "q"), "draws")
@@ -109,28 +119,26 @@ def gather(
     """Rows of `dataset` in as many copies as drawn, with their `draw` number.
 
     A row drawn more than `draws_per_split` times is copied once per split first, so that the join
-    spreads its draws. The threshold rises with the draw count, and at most 10,000 rows can have
-    more than 1/10,000 of all draws each, which bounds the broadcast.
+    spreads its draws. The threshold rises with the number of draws, so at most 10,000 rows can be
+    above it; that list is what goes through the driver and the broadcast. `draws` is read three
+    times: hand in a written table, as `weighted_draws` returns.
     """
-    total = F.broadcast(draws.agg(F.count(F.lit(1)).alias("_draws")))
-    counts = draws.groupBy(idx).agg(F.count(F.lit(1)).alias("_n"))
-    limit = F.greatest(F.lit(draws_per_split), F.ceil(F.col("_draws") / MAX_HOT_ROWS))
-    hot = (
-        counts.crossJoin(total)
-        .where(F.col("_n") > limit)
-        .select(idx, F.ceil(F.col("_n") / limit).cast("int").alias("_splits"))
-    )
-    hot = F.broadcast(materialize(hot, "hot"))
+    n_draws = draws.count()
+    limit = max(draws_per_split, -(-n_draws // MAX_HOT_ROWS))
+    counts = draws.groupBy(idx).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    splits = F.ceil(F.col("_n") / limit).cast("int").alias("_splits")
+    hot = counts.select(idx, splits).collect()
+    if not hot:
+        return dataset.join(draws.select("draw", idx), idx).select("draw", *dataset.columns)
+    table = F.broadcast(draws.sparkSession.createDataFrame(hot, counts.select(idx, splits).schema))
     splits = F.coalesce(F.col("_splits"), F.lit(1))
     copies = (
-        dataset.join(hot, idx, "left")
+        dataset.join(table, idx, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1)))
         .drop("_splits")
     )
-    spread = (
-        draws.select("draw", idx)
-        .join(hot, idx, "left")
-        .select("draw", idx, F.pmod(F.col("draw"), splits).cast("int").alias("_salt"))
+    spread = draws.join(table, idx, "left").select(
+        "draw", idx, F.pmod(F.col("draw"), splits).cast("int").alias("_salt")
     )
     return copies.join(spread, [idx, "_salt"]).select("draw", *dataset.columns)
 

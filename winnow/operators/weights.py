@@ -37,10 +37,11 @@ def normalised(raw: str, out: str, df: DataFrame, *, floor: float | None = None)
 def ada_weights(df: DataFrame, alpha: float = 0.1, beta: float = 0.8, gamma: float = 0.1) -> DataFrame:
     """Weights from entropy level, entropy drop and entropy rise between two checkpoints.
 
-    Adds `delta_entropy` and `sampling_weight`.
+    Adds `delta_entropy` and `sampling_weight`. The narrow input is written once, because the
+    totals, the normaliser and the weights each need a pass over it.
     """
     h0, delta = F.col("entropy_0"), F.col("delta_entropy")
-    rows = df.withColumn("delta_entropy", F.col("entropy_1") - F.col("entropy_0"))
+    rows = materialize(df, "ada").withColumn("delta_entropy", F.col("entropy_1") - F.col("entropy_0"))
     totals = rows.agg(
         exact_sum(h0).alias("_z1"),
         exact_sum(F.when(delta < 0, -delta).otherwise(0.0)).alias("_z2"),

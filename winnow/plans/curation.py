@@ -50,7 +50,7 @@ def strip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pads = ["", " \n", "　\t", "  ", "\x1c\x1f", " \r\n"]
     pad = F.element_at(F.array(*(F.lit(p) for p in pads)), (F.col("doc_id") % len(pads) + 1).cast("int"))
     padded = F.concat(pad, F.col("text"), pad)
-    return S.table(spark, sf_dir, "documents").select("doc_id", X.strip(padded).alias("text"))
+    return S.wide_table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.strip(padded).alias("text"))
 
 
 @query(
@@ -143,7 +143,7 @@ def filter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _curated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = curate.indexed(curate.kept(curate.with_drop_reason(S.raw_chat(spark, sf_dir))), "key")
+    rows = curate.indexed(curate.kept(curate.with_drop_reason(S.raw_chat(spark, sf_dir))))
     m = F.col("messages")
     return rows.select(
         "idx",
@@ -223,7 +223,7 @@ def pairs_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.table(spark, sf_dir, "documents").select(
+    return S.wide_table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id",
         X.render_plain_prompt(F.col("text")).alias("plain"),
         X.render_chat_prompt(F.col("text"), None, **TEMPLATE, strict=True).alias("chat"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from winnow.functions import grading as G
 from winnow.functions import text as X
-from winnow.functions.fields import prompt_question
+from winnow.functions.fields import with_question
 from winnow.operators import benchmarks, grade as grading, metrics
 from winnow.plans import fixtures as S
 from winnow.plans.registry import query, with_ctes
@@ -23,7 +23,7 @@ GEN = with_ctes(S.GENERATIONS_SQL)
                             AS DOUBLE) AS number FROM documents"""
 )
 def answer_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.table(spark, sf_dir, "documents").select(
+    return S.wide_table(spark, sf_dir, "documents", "doc_id", "text").select(
         "doc_id", X.answer_number(F.col("text")).alias("number")
     )
 
@@ -53,7 +53,7 @@ choice AS (
 
 @query(with_ctes(_CHOICE_SQL) + "SELECT p_partkey, letter FROM choice")
 def answer_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.table(spark, sf_dir, "part").select(
+    return S.wide_table(spark, sf_dir, "part", "p_partkey", "p_name").select(
         "p_partkey", X.answer_choice(_choice_text()).alias("letter")
     )
 
@@ -113,7 +113,7 @@ def verify_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "SELECT p_partkey, coalesce(letter = 'C', false) AS verified FROM choice"
 )
 def verify_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.table(spark, sf_dir, "part").select(
+    return S.wide_table(spark, sf_dir, "part", "p_partkey", "p_name").select(
         "p_partkey", G.verify_letter(_choice_text(), F.lit(" c ")).alias("verified")
     )
 
@@ -130,11 +130,11 @@ def verify_choice_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % 7
     add = F.when(k == 3, 33).otherwise(k)
     boxed = F.concat(F.lit("so \\boxed{"), (F.col("p_size") + add).cast("string"), F.lit("}"))
-    rows = S.table(spark, sf_dir, "part").select(
+    rows = S.wide_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select(
         "p_partkey", boxed.alias("response"), _choice_question().alias("question"), F.lit("C").alias("gold")
     )
-    verdict = G.verify_choice_value(F.col("response"), F.col("question"), F.col("gold"))
-    return rows.select("p_partkey", verdict.alias("verified"))
+    graded = grading.with_choice_verdict(rows, "response", "question", "gold")
+    return graded.select("p_partkey", "verified")
 
 
 _VERDICT = f"CASE WHEN {_BOXED} IS NULL THEN false ELSE {_BOXED} = answer END"
@@ -326,15 +326,14 @@ def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_to_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts as message lists where there are some, else plain text."""
     rows = S.benchmark_raw(spark, sf_dir).select("position", "prompt")
-    texts = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), "text")
+    texts = S.wide_table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("position"), "text")
     value = F.coalesce("prompt", "text")
-    loose, strict = prompt_question(value), prompt_question(value, require_user_only=True)
-    return rows.join(texts, "position").select(
-        "position",
-        loose["question"].alias("question"),
-        strict["question"].alias("strict"),
-        loose["error"].alias("error"),
+    rows = rows.join(texts, "position").select("position", value.alias("value"))
+    loose = with_question(rows, "value")
+    strict = with_question(
+        loose, "value", require_user_only=True, question="strict", error="strict_error"
     )
+    return strict.select("position", "question", "strict", "error")
 
 
 @query(
@@ -422,7 +421,7 @@ def budget_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(d % 3 == 0, "aime").when(d % 3 == 1, "math500").otherwise("x")
     prompt = X.render_plain_prompt(F.col("text"), None)
     marked = F.when(d % 37 == 0, F.concat(F.lit("<|im_start|>system "), prompt)).otherwise(prompt)
-    rows = S.table(spark, sf_dir, "documents").select(
+    rows = S.wide_table(spark, sf_dir, "documents", "doc_id", "text").select(
         d.alias("position"), name.alias("dataset"), marked.alias("prompt")
     )
     counted = rows.withColumn("prompt_tokens", benchmarks.word_count(F.col("prompt")))

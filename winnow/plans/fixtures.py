@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from winnow.functions.stage import stage
+from winnow.operators.ordering import SCAN_ORDER, with_scan_order
+from winnow.session import spread
+
 N_SAMPLES = 8
 
 
@@ -11,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table for costly work per row, spread over the cores."""
+    return spread(table(spark, sf_dir, name).select(*columns))
+
+
 def md5_number(text: Column, digits: int) -> Column:
     """The first hex digits of an md5 as a number."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("bigint")
@@ -36,10 +45,8 @@ def _response(h: Column) -> Column:
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`position, sample_index, question, answer, response, finish_reason, output_tokens`."""
     h = F.col("h")
-    part = table(spark, sf_dir, "part").select(
-        "p_partkey",
-        "p_name",
-        "p_size",
+    part = wide_table(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select(
+        "*",
         F.explode(F.sequence(F.lit(0), F.lit(N_SAMPLES - 1))).alias("sample_index"),
     )
     seed = F.concat_ws(":", F.lit("gen"), F.col("p_partkey"), F.col("sample_index"))
@@ -97,7 +104,7 @@ def raw_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chat record per part, with every reason for a drop occurring."""
     h = F.col("h")
     seed = F.concat_ws(":", F.lit("gen"), F.col("p_partkey"), F.lit(0))
-    rows = table(spark, sf_dir, "part").withColumn("h", md5_number(seed, 8))
+    rows = with_scan_order(table(spark, sf_dir, "part")).withColumn("h", md5_number(seed, 8))
     content = (
         F.when(h % 17 == 0, F.lit("  \n"))
         .when(h % 13 == 0, F.lit("KodCode"))
@@ -118,7 +125,8 @@ def raw_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("assistant").alias("role"), content.alias("content"), info(none).alias("info")
     )
     messages = F.when(h % 19 == 0, F.array(user)).otherwise(F.array(user, assistant))
-    return rows.select(F.col("p_partkey").alias("key"), messages.alias("messages"))
+    rows = rows.select(F.col("p_partkey").alias("key"), messages.alias("messages"), *SCAN_ORDER)
+    return stage(rows, messages=F.col("messages"))
 
 
 RAW_CHAT_SQL = r"""
@@ -301,7 +309,7 @@ def benchmark_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     reward = F.when(
         (d % 31 <= 2) | (d % 31 == 4), F.to_json(F.struct(F.concat(F.lit("g"), d).alias("ground_truth")))
     ).when(d % 31 == 5, F.lit("[1]"))
-    return table(spark, sf_dir, "documents").select(
+    return wide_table(spark, sf_dir, "documents", "doc_id", "text", "n_chars").select(
         d.alias("position"),
         F.when(d % 3 == 0, text).alias("question"),
         F.when(d % 3 == 1, text).alias("instruction"),
