@@ -24,17 +24,17 @@ def with_math_verdict(
     boxed = X.answer_boxed(F.col(prediction), _BOXED_DEPTH)
     rows = stage(
         df,
-        _pred=G.without_assignment(G.normal_math(boxed)),
-        _gold=G.without_assignment(G.normal_math(G.without_dollars(F.col(gold)))),
+        _mv_pred=G.without_assignment(G.normal_math(boxed)),
+        _mv_gold=G.without_assignment(G.normal_math(G.without_dollars(F.col(gold)))),
     )
-    pred, truth = F.col("_pred"), F.col("_gold")
+    pred, truth = F.col("_mv_pred"), F.col("_mv_gold")
     no_answer = pred.isNull() & ~F.col(prediction).rlike(_ANY_MATH)
     verdict = (
         F.when(F.coalesce(truth, F.lit("")) == "", F.lit(None).cast("boolean"))
         .when(no_answer, F.lit(False))
         .otherwise(G.math_equal(truth, pred, G.math_number(truth), G.math_number(pred)))
     )
-    return stage(rows, **{out: verdict}).drop("_pred", "_gold")
+    return stage(rows, **{out: verdict}).drop("_mv_pred", "_mv_gold")
 
 
 def with_choice_verdict(
@@ -45,17 +45,17 @@ def with_choice_verdict(
     Null when nothing is boxed, the question has no choices, or no choice has that value.
     """
     boxed = F.when(F.col(gold).isNotNull(), X.answer_boxed(F.col(prediction)))
-    rows = stage(df, _pred=G.without_assignment(G.normal_math(boxed)))
+    rows = stage(df, _cv_pred=G.without_assignment(G.normal_math(boxed)))
     choices = F.transform(
-        X.answer_choices(F.when(F.col("_pred").isNotNull(), F.col(question))),
+        X.answer_choices(F.when(F.col("_cv_pred").isNotNull(), F.col(question))),
         lambda c: F.struct(
             c["letter"].alias("letter"),
             G.without_assignment(G.normal_math(c["value"])).alias("text"),
         ),
     )
-    rows = stage(rows, _choices=choices, _num=G.math_number(F.col("_pred")))
-    letter = G.choice_of_value(F.col("_choices"), F.col("_pred"), F.col("_num"))
-    return stage(rows, **{out: letter == F.col(gold)}).drop("_pred", "_choices", "_num")
+    rows = stage(rows, _cv_choices=choices, _cv_num=G.math_number(F.col("_cv_pred")))
+    letter = G.choice_of_value(F.col("_cv_choices"), F.col("_cv_pred"), F.col("_cv_num"))
+    return stage(rows, **{out: letter == F.col(gold)}).drop("_cv_pred", "_cv_choices", "_cv_num")
 
 
 def with_native_verdict(
