@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from winnow.operators import resample
-from winnow.operators.ordering import dense_index, nearest_at_or_below
+from winnow.operators.ordering import dense_index
 
 
 def brute_draws(weights: dict[int, float], n_new: int, seed: int) -> list[int]:
@@ -39,9 +39,12 @@ CASES = {
 }
 
 
+@pytest.mark.parametrize("group", [3, 32_768])
 @pytest.mark.parametrize("name", CASES)
-def test_draws_equal_brute_force(spark, name):
-    out = resample.weighted_draws(table(spark, CASES[name]), multiplier=1.5, seed=7)
+def test_draws_equal_brute_force(spark, name, group):
+    out = resample.weighted_draws(
+        table(spark, CASES[name]), multiplier=1.5, seed=7, draws_per_group=group
+    )
     rows = out.orderBy("draw").collect()
     n_new = int(len(CASES[name]) * 1.5)
     assert [r["draw"] for r in rows] == list(range(n_new))
@@ -98,13 +101,6 @@ def test_bad_inputs(spark):
         resample.weighted_draws(table(spark, CASES["even"]), multiplier=0.001)
 
 
-def test_nearest_without_point_below(spark):
-    points = spark.createDataFrame([(10, "a"), (20, "b")], "at long, name string")
-    probes = spark.createDataFrame([(0, 5), (1, 10), (2, 19), (3, 99)], "id long, at long")
-    rows = nearest_at_or_below(points, probes, at="at", payload=["name"], probe_id="id").orderBy("id").collect()
-    assert [r["name"] for r in rows] == [None, "a", "a", "b"]
-
-
 def test_dense_index_by_key(spark):
     keys = [int(k) for k in RNG.choice(10**12, 2000, replace=False)]
     df = spark.createDataFrame([(k, str(k)) for k in keys], "key long, text string").repartition(9)

@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SCALE = 12
 _BINS = 1024
+_LIMB = float(1 << 28)
 
 
-def exact_sum(c: Column, scale: int = SCALE) -> Column:
-    """Sum through decimals: the same double for any partitioning and any row order."""
-    return F.sum(c.cast(f"decimal(28,{scale})")).cast("double")
+def exact_sum(c: Column) -> Column:
+    """Sum that is the same double for any partitioning and any row order.
+
+    Each value is cut into a whole part and two 28-bit limbs of its fraction, so the sums are of
+    integers. Resolution is 2**-56; 2**35 rows fit, and an overflow is an error, not a wrap.
+    """
+    x = c.cast("double")
+    whole = F.floor(x)
+    fraction = (x - whole) * _LIMB
+    high = F.floor(fraction)
+    low = F.floor((fraction - high) * _LIMB)
+    return (
+        F.sum(whole.cast("bigint")).cast("double")
+        + F.sum(high.cast("bigint")) / F.lit(_LIMB)
+        + F.sum(low.cast("bigint")) / F.lit(_LIMB * _LIMB)
+    )
 
 
 def exact_quantiles(df: DataFrame, column: str, quantiles: list[float]) -> list[float]:

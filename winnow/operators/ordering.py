@@ -1,6 +1,6 @@
-"""Total order without a single-task step: dense index, running sum, nearest point at or below.
+"""Total order without a single-task step: dense index and running sum.
 
-All three rest on one table. The rows are range-partitioned and sorted by a unique key, numbered
+Both rest on one table. The rows are range-partitioned and sorted by a unique key, numbered
 within their partition, and written once. A per-partition aggregate of that table has at most one
 row per shuffle partition, so its running total is a bounded window and its broadcast is bounded by
 the partition count, never by the data.
@@ -116,56 +116,15 @@ def _scan_index(df: DataFrame, out: str, start: int) -> DataFrame:
 
 
 def running_sum(table: DataFrame, value: str, out: str = "hi", *, key: str | None = None) -> DataFrame:
-    """Inclusive running sum of an integer column over a `sorted_table`, in its order.
+    """Inclusive running sum, within each `_part`, of an integer column over a `sorted_table`.
 
     With `key`, the column the table is sorted by, a repeated key fails the job.
     """
     place = Window.partitionBy("_part").orderBy("_pos")
-    inside = place.rowsBetween(Window.unboundedPreceding, 0)
-    rows = table.withColumn("_run", F.sum(value).over(inside))
+    total = F.sum(value).over(place.rowsBetween(Window.unboundedPreceding, 0))
     if key is not None:
         # Equal keys are neighbours within one range partition.
         again = F.raise_error(F.concat(F.lit(f"repeated {key}: "), F.col(key).cast("string")))
-        rows = rows.withColumn("_same", F.lag(key).over(place) == F.col(key)).withColumn(
-            "_run", F.when(F.col("_same"), again.cast("bigint")).otherwise(F.col("_run"))
-        )
-    rows = rows.join(_before(table, F.sum(value)), "_part")
-    kept = [c for c in table.columns if c not in ("_part", "_pos")]
-    return rows.select(*kept, (F.col("_before") + F.col("_run")).cast("bigint").alias(out))
-
-
-def nearest_at_or_below(
-    points: DataFrame, probes: DataFrame, *, at: str, payload: list[str], probe_id: str
-) -> DataFrame:
-    """For every probe, the payload of the last point whose `at` is not above the probe's.
-
-    Points and probes are sorted together and the payload is carried forward, across partition
-    borders through one row per partition. Nothing is exploded or matched by bucket, so neither a
-    point that answers a third of all probes nor a crowd of points close together makes a hot task.
-    """
-    marks = points.select(
-        F.col(at), F.lit(None).cast("bigint").alias(probe_id), F.struct(*payload).alias("_point")
-    )
-    asks = probes.select(F.col(at), F.col(probe_id).cast("bigint")).withColumn(
-        "_point", F.lit(None).cast(marks.schema["_point"].dataType)
-    )
-    # A point sorts before the probes at its place: null probe ids come first.
-    table = sorted_table(marks.unionByName(asks), at, probe_id)
-
-    inside = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # Row number of the last point per partition, then that row: plain hash aggregation.
-    parts = table.groupBy("_part").agg(
-        F.max(F.when(F.col("_point").isNotNull(), F.col("_pos"))).alias("_pos")
-    )
-    lasts = table.join(F.broadcast(parts), ["_part", "_pos"]).select("_part", "_point")
-    carried = parts.join(F.broadcast(lasts), "_part", "left").select(
-        "_part", F.last("_point", True).over(earlier).alias("_carry")
-    )
-    filled = (
-        table.withColumn("_seen", F.last("_point", True).over(inside))
-        .where(F.col(probe_id).isNotNull())
-        .join(F.broadcast(carried), "_part")
-        .withColumn("_hit", F.coalesce("_seen", "_carry"))
-    )
-    return filled.select(at, probe_id, *(F.col(f"_hit.{c}").alias(c) for c in payload))
+        same = F.lag(key).over(place) == F.col(key)
+        total = F.when(same, again.cast("bigint")).otherwise(total)
+    return table.withColumn(out, total)

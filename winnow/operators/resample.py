@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from bisect import bisect_right
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from winnow.functions.exact import exact_sum
-from winnow.operators.ordering import dense_index, nearest_at_or_below, running_sum, sorted_table
+from winnow.operators.ordering import dense_index, running_sum, sorted_table
 from winnow.session import materialize
 
 DRAWS_PER_SPLIT = 100_000
 MAX_HOT_ROWS = 10_000
+DRAWS_PER_GROUP = 32_768
+CELLS = 4096
 SCALE = 1e12
 
 
@@ -64,7 +69,7 @@ def quantised(df: DataFrame, *, weight: str = "sampling_weight", scale: float =
     Integer parts make every later sum exact. Above about a billion rows use scale 1e15. When no
     weight is positive all rows get the same part.
     """
-    stats = df.agg(exact_sum(F.col(weight), 18).alias("_sum"))
+    stats = df.agg(exact_sum(F.col(weight)).alias("_sum"))
     q = _parts(F.col(weight), F.col("_sum"), scale)
     return df.crossJoin(F.broadcast(stats)).select(*df.columns, q.alias("q"))
 
@@ -85,28 +90,81 @@ def weighted_draws(
     idx: str = "idx",
     weight: str = "sampling_weight",
     scale: float = SCALE,
+    draws_per_group: int = DRAWS_PER_GROUP,
 ) -> DataFrame:
-    """Draws `(draw, idx, q)`: inverse-CDF match of n·multiplier uniforms to running weight.
-
-    `weighted` holds one row per idx; a repeated idx is an error. Work is O(rows + draws), on columns of a few bytes.
+    """Draws `(draw, idx)`: inverse-CDF match of n·multiplier uniforms to running weight.
+
+    `weighted` holds one row per idx; a repeated idx is an error. Rows are sorted by idx into range
+    partitions of about equal row count, whose weights tile the whole. A draw finds its partition
+    through a table of at most 4,096 cells, and its row by a window over one slice of that
+    partition. A slice holds a fixed share of the weight, hence about `draws_per_group` draws, and
+    at most a partition's rows: neither a row with a third of the weight nor a third of the rows
+    with almost none makes a hot group. Columns are a few bytes wide throughout.
     """
     spark = weighted.sparkSession
     table = sorted_table(weighted.select(idx, weight), idx)
     facts = table.agg(
-        F.count(F.lit(1)).alias("n"), exact_sum(F.col(weight), 18).alias("weight")
+        F.count(F.lit(1)).alias("n"), exact_sum(F.col(weight)).alias("weight")
     ).first()
     n_new = new_size(facts["n"], multiplier)
     q = _parts(F.col(weight), F.lit(facts["weight"] or 0.0), scale)
     table = table.select(idx, q.alias("q"), "_part", "_pos")
-    total = table.agg(F.sum("q")).first()[0]
-    spans = running_sum(table, "q", key=idx).where("q > 0")
-    points = spans.select((F.col("hi") - F.col("q")).alias("at"), idx, "q")
-    probes = spark.range(n_new).select(
-        F.col("id").alias("draw"),
-        F.floor(uniform_hash(seed, F.col("id")) * float(total)).cast("bigint").alias("at"),
+
+    # One row per range partition, so this fits the driver whatever the data.
+    sums = table.groupBy("_part").agg(F.sum("q").alias("mass")).where("mass > 0").collect()
+    masses = sorted((r["_part"], r["mass"]) for r in sums)
+    starts = [0, *accumulate(m for _, m in masses)]
+    total = starts.pop()
+    offsets = spark.createDataFrame(
+        [(part, n, start) for n, ((part, _), start) in enumerate(zip(masses, starts))],
+        "_part bigint, part int, start bigint",
+    )
+    width = max(1, -(-total * draws_per_group // n_new))  # weight per slice
+
+    spans = running_sum(table, "q", key=idx).where("q > 0").join(F.broadcast(offsets), "_part")
+    hi = F.col("start") + F.col("hi")
+    spans = spans.select(idx, "part", (hi - F.col("q")).alias("lo"), (hi - 1).alias("end"))
+    slices = F.sequence(F.expr(f"lo div {width}"), F.expr(f"end div {width}"))
+    points = spans.select(idx, "part", "lo", F.explode(slices).alias("slice")).select(
+        "part",
+        "slice",
+        F.greatest(F.col("lo"), F.col("slice") * width).alias("at"),
+        F.lit(None).cast("bigint").alias("draw"),
+        idx,
+    )
+    uniform = F.floor(uniform_hash(seed, F.col("id")) * float(total)).cast("bigint")
+    probes = spark.range(n_new).select(F.col("id").alias("draw"), uniform.alias("at"))
+    probes = _with_part(probes, starts, total).select(
+        "part",
+        F.expr(f"at div {width}").alias("slice"),
+        "at",
+        "draw",
+        F.lit(None).cast(weighted.schema[idx].dataType).alias(idx),
+    )
+    # A point comes before the draws at its place: null draw numbers sort first.
+    group = Window.partitionBy("part", "slice").orderBy("at", "draw")
+    seen = F.last(idx, True).over(group.rowsBetween(Window.unboundedPreceding, 0))
+    hits = points.unionByName(probes).withColumn("_idx", seen).where("draw is not null")
+    return materialize(hits.select("draw", F.col("_idx").alias(idx)), "draws")
+
+
+def _with_part(probes: DataFrame, starts: list[int], total: int) -> DataFrame:
+    """Add the number of the last start that is not above `at`.
+
+    The range is cut into equal cells. A cell knows the part at its left edge and the starts inside
+    it: none or one as a rule, and where many crowd into a cell, few probes fall there.
+    """
+    cell = max(1, -(-total // CELLS))
+    rows = []
+    for n in range(-(-total // cell)):
+        first = bisect_right(starts, n * cell)
+        rows.append((n, first - 1, starts[first : bisect_right(starts, (n + 1) * cell - 1)]))
+    cells = probes.sparkSession.createDataFrame(
+        rows, "cell bigint, first int, edges array<bigint>"
     )
-    hits = nearest_at_or_below(points, probes, at="at", payload=[idx, "q"], probe_id="draw")
-    return materialize(hits.select("draw", idx, "q"), "draws")
+    inside = F.size(F.filter("edges", lambda e: e <= F.col("at")))
+    joined = probes.withColumn("cell", F.expr(f"at div {cell}")).join(F.broadcast(cells), "cell")
+    return joined.select(*probes.columns, (F.col("first") + inside).alias("part"))
 
 
 def gather(

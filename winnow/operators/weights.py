@@ -22,7 +22,7 @@ def _positive(lo: float, c: Column) -> Column:
 def normalised(raw: str, out: str, df: DataFrame, *, floor: float | None = None) -> DataFrame:
     """Divide a column by its total; a total that is not positive is replaced by `floor`, or gives
     the uniform weight when there is no floor."""
-    stats = df.agg(exact_sum(F.col(raw), 18).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
+    stats = df.agg(exact_sum(F.col(raw)).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
     rows = _with_one_row(df, stats)
     if floor is None:
         weight = F.when(F.col("_sum") > 0, F.col(raw) / F.col("_sum")).otherwise(
@@ -80,7 +80,7 @@ def brown_weights(
     mean = rows.agg((exact_sum(improve) / F.count(F.lit(1))).alias("_mean"))
     spread = _with_one_row(rows, mean).agg(
         F.sqrt(
-            exact_sum((improve - F.col("_mean")) * (improve - F.col("_mean")), 18)
+            exact_sum((improve - F.col("_mean")) * (improve - F.col("_mean")))
             / F.count(F.lit(1))
         ).alias("_std")
     )

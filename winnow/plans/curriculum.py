@@ -57,9 +57,9 @@ def entropy_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ADA_SQL = """
 totals AS (
-  SELECT CAST(sum(CAST(entropy_0 AS DECIMAL(28,12))) AS DOUBLE) AS z1,
-         CAST(sum(CAST(CASE WHEN d < 0 THEN -d ELSE 0 END AS DECIMAL(28,12))) AS DOUBLE) AS z2,
-         CAST(sum(CAST(CASE WHEN d > 0 THEN d ELSE 0 END AS DECIMAL(28,12))) AS DOUBLE) AS z3
+  SELECT fsum(entropy_0) AS z1,
+         fsum(CASE WHEN d < 0 THEN -d ELSE 0 END) AS z2,
+         fsum(CASE WHEN d > 0 THEN d ELSE 0 END) AS z3
   FROM (SELECT entropy_0, entropy_1 - entropy_0 AS d FROM entropies)
 ), raw_ada AS (
   SELECT idx, d, greatest(0.1::DOUBLE * (entropy_0 / z1)
@@ -67,7 +67,7 @@ totals AS (
          + CASE WHEN d > 0 THEN 0.1::DOUBLE * (d / z3) ELSE 0 END, 0) AS raw
   FROM (SELECT *, entropy_1 - entropy_0 AS d FROM entropies), totals
 ), ada AS (
-  SELECT idx, d, raw / (SELECT CAST(sum(CAST(raw AS DECIMAL(28,18))) AS DOUBLE) FROM raw_ada) AS w
+  SELECT idx, d, raw / (SELECT fsum(raw) FROM raw_ada) AS w
   FROM raw_ada
 )
 """
@@ -144,7 +144,7 @@ weighted AS (
   SELECT o_orderkey AS idx, coalesce(w, 0) AS w, ada.idx IS NULL AS missing
   FROM orders LEFT JOIN ada ON o_orderkey = ada.idx
 ), q AS (
-  SELECT idx, missing, CAST(round(w / (SELECT CAST(sum(CAST(w AS DECIMAL(28,18))) AS DOUBLE)
+  SELECT idx, missing, CAST(round(w / (SELECT fsum(w)
          FROM weighted) * 1e12) AS BIGINT) AS q FROM weighted
 )
 """
