@@ -13,7 +13,8 @@ from winnow.session import materialize
 
 DRAWS_PER_SPLIT = 100_000
 MAX_HOT_ROWS = 10_000
-DRAWS_PER_GROUP = 32_768
+# Small groups sort mostly by their group number; a row's slices still fit one array.
+DRAWS_PER_GROUP = 1024
 CELLS = 4096
 SCALE = 1e12
 
@@ -117,7 +118,7 @@ def weighted_draws(
     total = starts.pop()
     offsets = spark.createDataFrame(
         [(part, n, start) for n, ((part, _), start) in enumerate(zip(masses, starts))],
-        "_part bigint, part int, start bigint",
+        "_part bigint, part bigint, start bigint",
     )
     width = max(1, -(-total * draws_per_group // n_new))  # weight per slice
 
@@ -125,9 +126,9 @@ def weighted_draws(
     hi = F.col("start") + F.col("hi")
     spans = spans.select(idx, "part", (hi - F.col("q")).alias("lo"), (hi - 1).alias("end"))
     slices = F.sequence(F.expr(f"lo div {width}"), F.expr(f"end div {width}"))
+    per_part = total // width + 1
     points = spans.select(idx, "part", "lo", F.explode(slices).alias("slice")).select(
-        "part",
-        "slice",
+        (F.col("part") * F.lit(per_part) + F.col("slice")).alias("group"),
         F.greatest(F.col("lo"), F.col("slice") * width).alias("at"),
         F.lit(None).cast("bigint").alias("draw"),
         idx,
@@ -135,15 +136,14 @@ def weighted_draws(
     uniform = F.floor(uniform_hash(seed, F.col("id")) * float(total)).cast("bigint")
     probes = spark.range(n_new).select(F.col("id").alias("draw"), uniform.alias("at"))
     probes = _with_part(probes, starts, total).select(
-        "part",
-        F.expr(f"at div {width}").alias("slice"),
+        (F.col("part") * F.lit(per_part) + F.expr(f"at div {width}")).alias("group"),
         "at",
         "draw",
         F.lit(None).cast(weighted.schema[idx].dataType).alias(idx),
     )
     # A point comes before the draws at its place: null draw numbers sort first.
-    group = Window.partitionBy("part", "slice").orderBy("at", "draw")
-    seen = F.last(idx, True).over(group.rowsBetween(Window.unboundedPreceding, 0))
+    place = Window.partitionBy("group").orderBy("at", "draw")
+    seen = F.last(idx, True).over(place.rowsBetween(Window.unboundedPreceding, 0))
     hits = points.unionByName(probes).withColumn("_idx", seen).where("draw is not null")
     return materialize(hits.select("draw", F.col("_idx").alias(idx)), "draws")
 
@@ -160,9 +160,11 @@ def _with_part(probes: DataFrame, starts: list[int], total: int) -> DataFrame:
         first = bisect_right(starts, n * cell)
         rows.append((n, first - 1, starts[first : bisect_right(starts, (n + 1) * cell - 1)]))
     cells = probes.sparkSession.createDataFrame(
-        rows, "cell bigint, first int, edges array<bigint>"
+        rows, "cell bigint, first bigint, edges array<bigint>"
+    )
+    inside = F.when(F.size("edges") == 0, F.lit(0)).otherwise(
+        F.size(F.filter("edges", lambda e: e <= F.col("at")))
     )
-    inside = F.size(F.filter("edges", lambda e: e <= F.col("at")))
     joined = probes.withColumn("cell", F.expr(f"at div {cell}")).join(F.broadcast(cells), "cell")
     return joined.select(*probes.columns, (F.col("first") + inside).alias("part"))
 
