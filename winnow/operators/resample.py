@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from winnow.functions.exact import exact_sum
+from winnow.functions.stage import stage
 from winnow.operators.ordering import dense_index, running_sum, sorted_table
 from winnow.session import materialize
 
@@ -134,7 +134,8 @@ def weighted_draws(
         idx,
     )
     uniform = F.floor(uniform_hash(seed, F.col("id")) * float(total)).cast("bigint")
-    probes = spark.range(n_new).select(F.col("id").alias("draw"), uniform.alias("at"))
+    # Staged, or the null checks a join infers would hash every draw again.
+    probes = stage(spark.range(n_new), at=uniform).withColumnRenamed("id", "draw")
     probes = _with_part(probes, starts, total).select(
         (F.col("part") * F.lit(per_part) + F.expr(f"at div {width}")).alias("group"),
         "at",
@@ -151,22 +152,26 @@ def weighted_draws(
 def _with_part(probes: DataFrame, starts: list[int], total: int) -> DataFrame:
     """Add the number of the last start that is not above `at`.
 
-    The range is cut into equal cells. A cell knows the part at its left edge and the starts inside
-    it: none or one as a rule, and where many crowd into a cell, few probes fall there.
+    The range is cut into equal cells, and a cell at the starts inside it, so a lookup is a hash
+    join with a range condition on at most CELLS plus one row per start. Where many starts crowd
+    into a cell few probes fall there.
     """
     cell = max(1, -(-total // CELLS))
     rows = []
-    for n in range(-(-total // cell)):
-        first = bisect_right(starts, n * cell)
-        rows.append((n, first - 1, starts[first : bisect_right(starts, (n + 1) * cell - 1)]))
+    for part, (lo, hi) in enumerate(zip(starts, [*starts[1:], total])):
+        for number in range(lo // cell, (hi - 1) // cell + 1):
+            rows.append(
+                (number, max(lo, number * cell), min(hi, (number + 1) * cell), part)
+            )
     cells = probes.sparkSession.createDataFrame(
-        rows, "cell bigint, first bigint, edges array<bigint>"
+        rows, "_cell bigint, _lo bigint, _hi bigint, part bigint"
     )
-    inside = F.when(F.size("edges") == 0, F.lit(0)).otherwise(
-        F.size(F.filter("edges", lambda e: e <= F.col("at")))
+    inside = (
+        (F.expr(f"at div {cell}") == F.col("_cell"))
+        & (F.col("at") >= F.col("_lo"))
+        & (F.col("at") < F.col("_hi"))
     )
-    joined = probes.withColumn("cell", F.expr(f"at div {cell}")).join(F.broadcast(cells), "cell")
-    return joined.select(*probes.columns, (F.col("first") + inside).alias("part"))
+    return probes.join(F.broadcast(cells), inside).select(*probes.columns, "part")
 
 
 def gather(
