@@ -97,6 +97,9 @@ def test_bad_inputs(spark):
     twice = spark.createDataFrame([(1, 0.5), (1, 0.5)], "idx long, sampling_weight double")
     with pytest.raises(Exception, match="repeated idx"):
         resample.weighted_draws(twice).count()
+    negative = spark.createDataFrame([(1, 0.5), (2, -0.1)], "idx long, sampling_weight double")
+    with pytest.raises(Exception, match="negative weight"):
+        resample.weighted_draws(negative)
     with pytest.raises(ValueError, match="leaves no draws"):
         resample.weighted_draws(table(spark, CASES["even"]), multiplier=0.001)
 

@@ -1,11 +1,13 @@
 """Weights against numpy versions written from the formulas."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from winnow.functions.exact import exact_quantiles
+from winnow.functions.exact import exact_quantiles, exact_sum
 from winnow.operators import entropy, tokens, weights
 
 
@@ -58,6 +60,26 @@ def test_brown(spark, params):
     assert abs(out.sampling_weight.sum() - 1) < 1e-9
 
 
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_incomplete_samples_fail(spark, bad):
+    rows = [(0, 1.0, 2.0, 1.0), (1, 1.0, bad, 1.0)]
+    df = spark.createDataFrame(rows, "idx int, entropy_0 double, entropy_1 double, entropy_2 double")
+    for weigh in (weights.ada_weights, weights.brown_weights):
+        with pytest.raises(Exception, match="without a value"):
+            weigh(df).collect()
+
+
+def test_exact_sum(spark):
+    rng = np.random.default_rng(9)
+    values = [*rng.normal(0, 1, 500), *rng.normal(0, 1e6, 500), 1e-9, -0.25, 0.0]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    found = {df.repartition(n).agg(exact_sum(F.col("v"))).first()[0] for n in (1, 3, 9)}
+    assert len(found) == 1
+    np.testing.assert_allclose(found.pop(), math.fsum(values), rtol=1e-14)
+    with pytest.raises(Exception, match="cannot sum"):
+        df.agg(exact_sum(F.col("v") * float("nan"))).collect()
+
+
 def test_unknown_method(spark):
     with pytest.raises(ValueError, match="unknown"):
         weights.sampling_weights(spark.createDataFrame(entropies(5)), "other")

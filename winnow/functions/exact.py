@@ -12,10 +12,13 @@ def exact_sum(c: Column) -> Column:
     """Sum that is the same double for any partitioning and any row order.
 
     Each value is cut into a whole part and two 28-bit limbs of its fraction, so the sums are of
-    integers. Resolution is 2**-56; 2**35 rows fit, and an overflow is an error, not a wrap.
+    integers. Resolution is 2**-56 and 2**35 rows fit. Nulls are left out; NaN, values of 2**62 and
+    more, and an overflowing sum are errors.
     """
     x = c.cast("double")
-    whole = F.floor(x)
+    usable = x.isNull() | (F.abs(x) < float(1 << 62))
+    refused = F.raise_error(F.concat(F.lit("cannot sum "), x.cast("string"))).cast("bigint")
+    whole = F.when(usable, F.floor(x)).otherwise(refused)
     fraction = (x - whole) * _LIMB
     high = F.floor(fraction)
     low = F.floor((fraction - high) * _LIMB)

@@ -59,8 +59,15 @@ def uniform_hash(seed: int, c: Column) -> Column:
 
 
 def _parts(weight: Column, total: Column, scale: float) -> Column:
-    """Share of the total weight in whole parts of 1/scale; equal parts when nothing has weight."""
-    share = F.when(total > 0, F.round(weight / total * scale)).otherwise(1.0)
+    """Share of the total weight in whole parts of 1/scale; equal parts when nothing has weight.
+
+    A negative weight is an error.
+    """
+    share = (
+        F.when(weight < 0, F.raise_error(F.lit("negative weight")).cast("double"))
+        .when(total > 0, F.round(weight / total * scale))
+        .otherwise(1.0)
+    )
     return share.cast("bigint")
 
 

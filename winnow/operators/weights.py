@@ -34,6 +34,17 @@ def normalised(raw: str, out: str, df: DataFrame, *, floor: float | None = None)
     return rows.select(*kept, weight.alias(out))
 
 
+def _complete(df: DataFrame, *fields: str) -> DataFrame:
+    """Fail on a sample without one of its entropies, which would otherwise pass as zero."""
+    names = F.lit(f"sample without a value for {', '.join(fields)}")
+
+    def checked(name: str) -> Column:
+        c = F.col(name).cast("double")
+        return F.when(c.isNull() | F.isnan(c), F.raise_error(names).cast("double")).otherwise(c)
+
+    return df.withColumns({name: checked(name) for name in fields})
+
+
 def ada_weights(df: DataFrame, alpha: float = 0.1, beta: float = 0.8, gamma: float = 0.1) -> DataFrame:
     """Weights from entropy level, entropy drop and entropy rise between two checkpoints.
 
@@ -41,7 +52,9 @@ def ada_weights(df: DataFrame, alpha: float = 0.1, beta: float = 0.8, gamma: flo
     totals, the normaliser and the weights each need a pass over it.
     """
     h0, delta = F.col("entropy_0"), F.col("delta_entropy")
-    rows = materialize(df, "ada").withColumn("delta_entropy", F.col("entropy_1") - F.col("entropy_0"))
+    rows = materialize(_complete(df, "entropy_0", "entropy_1"), "ada").withColumn(
+        "delta_entropy", F.col("entropy_1") - F.col("entropy_0")
+    )
     totals = rows.agg(
         exact_sum(h0).alias("_z1"),
         exact_sum(F.when(delta < 0, -delta).otherwise(0.0)).alias("_z2"),
@@ -73,7 +86,7 @@ def brown_weights(
     need a pass over it.
     """
     eps = K.BROWN_EPS
-    rows = materialize(df, "brown")
+    rows = materialize(_complete(df, "entropy_0", "entropy_1", "entropy_2"), "brown")
     easy, hard = exact_quantiles(rows, "entropy_2", [easy_quantile, hard_quantile])
 
     improve = F.col("entropy_0") - F.col("entropy_2")
