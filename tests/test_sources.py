@@ -139,6 +139,34 @@ def test_summary_sink(spark, tmp_path):
     assert row["pass_at_1"] is None and row["model"] == "m" and row["timestamp_utc"].startswith("20")
 
 
+def test_curation_from_zst_to_jsonl(spark, tmp_path):
+    """The whole curation job: scan, filter, number in file order, write, release."""
+    from winnow.operators.ordering import with_scan_order
+    from winnow.session import release
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    good = "<think>t</think> <answer>\\boxed{4}</answer>"
+    for name in ("b", "a"):
+        lines = []
+        for n in range(50):
+            info = {"reference_answer": "4" if n % 3 else "5"}
+            messages = [{"role": "user", "content": f"{name}{n:02d}", "info": info},
+                        {"role": "assistant", "content": good, "info": {}}]
+            lines.append(json.dumps({"messages": messages}))
+        zst(folder / f"{name}.jsonl.zst", "broken\n" + "\n".join(lines))
+    scan = with_scan_order(jsonl.scan_zst_jsonl(spark, str(folder), schemas.CHAT))
+    rows = curate.with_drop_reason(jsonl.good_lines(scan))
+    report = {r["reason"]: r["n"] for r in curate.drop_report(rows).collect()}
+    assert report == {"kept": 66, "incorrect": 34}
+    sinks.write_jsonl(curate.indexed(curate.kept(rows)), str(tmp_path / "kept"))
+    assert release(spark) > 0 and release(spark) == 0
+    kept = jsonl.scan_jsonl_strict(spark, str(tmp_path / "kept"), schemas.CHAT).orderBy("idx").collect()
+    expected = [f"{name}{n:02d}" for name in "ab" for n in range(50) if n % 3]
+    assert [r["messages"][0]["content"] for r in kept] == expected
+    assert [r["idx"] for r in kept] == list(range(66))
+
+
 def test_stream_equals_batch(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

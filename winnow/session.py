@@ -12,6 +12,9 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 # One folder per local session when the cluster names none.
 _local_roots: dict[str, str] = {}
 
+# Tables written per application, for `release`.
+_written: dict[str, list[str]] = {}
+
 
 def build_session(app: str = "winnow", master: str | None = None, **conf: str) -> SparkSession:
     """Session with adaptive execution on; `master` is left to spark-submit unless given."""
@@ -65,10 +68,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables this application wrote to cut lineage; call it once results are stored.
+
+    DataFrames built on them cannot be read afterwards. Returns the number of tables.
+    """
+    context = spark.sparkContext
+    paths = _written.pop(context.applicationId, [])
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a small input over all cores; a scan with enough splits is left as it is.
 
