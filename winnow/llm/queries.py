@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import langid, mixing, tokencount, toxicity, urls
+from winnow.llm import langid, mixing, neardup, tokencount, toxicity, urls
 from winnow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.minhash_dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.langid(table(spark, sf_dir, "documents"))
