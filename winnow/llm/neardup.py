@@ -7,12 +7,15 @@ still empty takes the smallest value of all shingles, so every place gets filled
 and Thorup, 2017). 32 bands of 4 places make texts candidates: at a Jaccard similarity of 0.85 a
 pair is missed with a probability below 1e-10, at 0.8 below 1e-7.
 
-Texts with equal sets form a class, and only a class's smallest id goes on. In each band bucket a few
-hubs (lowest ids) are compared with the other members, on full shingle sets; then links are
-contracted to components, hubs leave, and buckets whose members are all in one component are done.
-What is left goes into the next round, until no bucket holds two members of different components
-that were not compared. So no pair that could join two components is left out, while a group of
-near copies costs one comparison per member and all pairs of a bucket are never written at once.
+Texts with equal sets form a class, and only a class's smallest id goes on. In each band bucket the
+member that shares most buckets is the hub, and every other member is compared with it on full
+shingle sets. Links found so are contracted to components. What a hub was compared with is its
+group; two members of one bucket are always in the group of that bucket's hub. A group whose members
+lie in more than one component is cut into blocks of bounded size, by distance from the hub, and
+pairs of blocks are compared inside a task, except where all rows are in one component or where the
+triangle inequality of the Jaccard distance rules a link out. So every candidate pair that could
+join two components is compared or ruled out, a group of near copies costs one comparison per
+member plus that of its outliers, and the pairs of a group are never written as rows.
 
 Null, empty and blank texts have no shingles and are linked with nothing. Rows with equal ids share
 a node of the graph: they get the same component. Rows with a null id are left alone (null
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from winnow.llm.common import materialize
 from winnow.llm.components import components
@@ -34,7 +37,9 @@ from winnow.llm.shingles import mix, shingle_sets
 PLACES = 128
 ROWS = 4
 PERCENT = 85
-HUBS = 8
+CELLS = 64  # of distance from the hub
+BLOCK_ROWS = 256
+BLOCK_SHINGLES = 500_000
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -110,61 +115,131 @@ def set_table(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (`a`, `b`) whose full sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (`a`, `b`) with `both` and `either`: sizes of intersection and union of the full sets."""
     left, right = (sets.select(F.col("id").alias(f"_{e}"), F.col("shingles").alias(f"s{e}")) for e in "ab")
     rows = pairs.join(right, F.col("b") == F.col("_b")).join(left, F.col("a") == F.col("_a"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    rows = rows.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return rows.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
-
-
-def links_and_labels(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Components of the ids in `members` (band, id, n); null when nothing is linked."""
-    labels: DataFrame | None = None
-    links: DataFrame | None = None
-    hubs = 1
-    while True:
-        place = F.row_number().over(Window.partitionBy("band").orderBy("id"))
-        # A rank limit is applied in each task before the shuffle; the rest keeps its place by id.
-        top = members.withColumn("_place", place).where(F.col("_place") <= hubs)
-        top = materialize(
-            top.select(
-                F.col("band").alias("_band"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")
-            ),
-            "dedup-hubs",
-        )
-        near = F.least("n", "na") * 100 >= F.greatest("n", "na") * percent
-        pairs = materialize(
-            members.join(top, (F.col("band") == F.col("_band")) & (F.col("id") > F.col("a")))
-            .where(near & (F.col("component") != F.col("ca")))
-            .select("a", F.col("id").alias("b"))
-            .distinct(),
-            "dedup-pairs",
-        )
-        found = materialize(verified(pairs, sets, percent), "dedup-links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        last = top.groupBy("_band").agg(F.max("a").alias("_last"))
-        left = members.join(last, F.col("band") == F.col("_band"), "left").where(
-            F.col("_last").isNull() | (F.col("id") > F.col("_last"))
-        )
-        left = left.select("band", "id", "n", "component")
-        if labels is not None:
-            new = labels.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
-            left = left.join(new, F.col("id") == F.col("_id"), "left").select(
-                "band", "id", "n", F.coalesce("_component", "component").alias("component")
-            )
-        left = materialize(left, "dedup-left")
-        live = left.groupBy(F.col("band").alias("_band")).agg(
-            F.min("component").alias("_low"), F.max("component").alias("_high")
+    rows = rows.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
+    return rows.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("either"))
+
+
+def similar(percent: int) -> Column:
+    return F.col("both") * 100 >= F.col("either") * percent
+
+
+def block_pairs(group: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (hub, id, block, component), and the pairs of blocks of a hub that can hold a link.
+
+    Blocks are cells of distance from the hub, cut by a hash of the id until each holds about
+    BLOCK_ROWS rows and BLOCK_SHINGLES shingles.
+    """
+    cell = F.concat_ws(":", F.col("near").cast("string"), F.floor(F.col("distance") * CELLS).cast("string"))
+    rows = group.withColumn("cell", cell)
+    cells = rows.groupBy(F.col("hub").alias("_hub"), F.col("cell").alias("_cell")).agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).alias("_cuts")
+    )
+    cut = F.pmod(F.xxhash64("id"), F.col("_cuts"))
+    rows = rows.join(cells, (F.col("hub") == F.col("_hub")) & (F.col("cell") == F.col("_cell")))
+    rows = materialize(
+        rows.select("hub", "id", "component", "distance", F.concat_ws(":", "cell", cut.cast("string")).alias("block")),
+        "dedup-blocks",
+    )
+    blocks = rows.groupBy("hub", "block").agg(
+        F.min("distance").alias("low"),
+        F.max("distance").alias("high"),
+        F.min("component").alias("first"),
+        F.max("component").alias("last"),
+    )
+    one, two = (blocks.select([F.col(c).alias(f"{c}{i}") for c in blocks.columns]) for i in (1, 2))
+    reach = 1 - percent / 100 + 1e-9
+    apart = (F.col("low2") - F.col("high1") > reach) | (F.col("low1") - F.col("high2") > reach)
+    joined = (F.col("first1") == F.col("last1")) & (F.col("first2") == F.col("last2")) & (F.col("first1") == F.col("first2"))
+    met = one.join(two, (F.col("hub1") == F.col("hub2")) & (F.col("block1") <= F.col("block2")))
+    return rows, met.where(~apart & ~joined).select(F.col("hub1").alias("hub"), "block1", "block2")
+
+
+def links_in_blocks(rows: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (`a`, `b`) between different components of the rows of each pair of blocks."""
+    sides = pairs.select("hub", "block1", "block2", F.explode(F.array_distinct(F.array("block1", "block2"))).alias("block"))
+    held = rows.join(sides, ["hub", "block"]).select("hub", "block1", "block2", "block", "id", "component")
+    held = held.join(sets, "id")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, component = table["id"].to_numpy(), table["component"].to_numpy()
+        lists = table["shingles"].combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        _, token, seen = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = seen[token] > 1
+        names, token = np.unique(token[shared], return_inverse=True)
+        owner = owner[shared]
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        for at in range(0, len(names), 4096):
+            lo, hi = np.searchsorted(token, (at, at + 4096))
+            held_in = np.zeros((len(ids), 4096), np.float32)
+            held_in[owner[lo:hi], token[lo:hi] - at] = 1
+            both += held_in @ held_in.T
+        either = sizes[:, None] + sizes[None, :] - both
+        linked = (both * 100.0 >= either.astype(np.float64) * percent) & (component[:, None] != component[None, :])
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        found = []
+        for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+            x, y = find(int(component[i])), find(int(component[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                found.append((int(ids[i]), int(ids[j])))
+        return pa.table(
+            {"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())}
         )
-        live = live.where("_low < _high").select("_band")
-        members = materialize(left.join(live, F.col("band") == F.col("_band"), "left_semi"), "dedup-members")
-        if members.isEmpty():
-            return labels
-        hubs = HUBS
+
+    return held.groupBy("hub", "block1", "block2").applyInArrow(run, "a bigint, b bigint")
+
+
+def labels_of(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Components of the ids in `members` (band, id, n, size of the bucket); null when none is linked."""
+    score = members.groupBy(F.col("id").alias("_id")).agg(F.sum("bucket").alias("score"))
+    scored = members.join(score, F.col("id") == F.col("_id")).select("band", "id", "n", "score")
+    hubs = scored.groupBy(F.col("band").alias("_band")).agg(
+        F.max_by("id", F.struct("score", -F.col("id"))).alias("hub")
+    )
+    stars = members.join(hubs, F.col("band") == F.col("_band")).where("id != hub")
+    tested = materialize(
+        compared(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), sets), "dedup-stars"
+    )
+    links = materialize(tested.where(similar(percent)).select("a", "b"), "dedup-links")
+    labels = None if links.isEmpty() else components(links)
+    sized = members.select(F.col("id").alias("_id"), "n").distinct()
+    group = tested.join(sized, F.col("b") == F.col("_id")).select(
+        F.col("a").alias("hub"),
+        F.col("b").alias("id"),
+        "n",
+        (1 - F.col("both") / F.col("either")).alias("distance"),
+        similar(percent).alias("near"),
+    )
+    if labels is None:
+        group = group.withColumn("component", F.col("id"))
+    else:
+        own = labels.select(F.col("id").alias("_id"), "component")
+        group = group.join(own, F.col("id") == F.col("_id"), "left").drop("_id")
+        group = group.withColumn("component", F.coalesce("component", "id"))
+    group = materialize(group, "dedup-group")
+    open_ = group.groupBy(F.col("hub").alias("_hub")).agg(
+        F.min("component").alias("_low"), F.max("component").alias("_high")
+    )
+    group = group.join(open_.where("_low < _high").select("_hub"), F.col("hub") == F.col("_hub"), "left_semi")
+    rows, pairs = block_pairs(group, percent)
+    more = materialize(links_in_blocks(rows, pairs, sets, percent), "dedup-more")
+    return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
@@ -179,14 +254,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     spread = reps.select("id", "n", F.explode("bands").alias("band"))
     shared = spread.groupBy(F.col("band").alias("_band")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     members = materialize(
-        spread.join(shared, F.col("band") == F.col("_band"), "left_semi").select(
-            "band", "id", "n", F.col("id").alias("component")
+        spread.join(shared, F.col("band") == F.col("_band")).select(
+            "band", "id", "n", F.col("_n").alias("bucket")
         ),
         "dedup-members",
     )
     ids = materialize(members.select("id").distinct(), "dedup-ids")
     sets = materialize(set_table(docs, ids, id_col).dropDuplicates(["id"]), "dedup-sets")
-    labels = links_and_labels(members, sets, percent)
+    labels = labels_of(members, sets, percent)
     result = rows.join(
         classes.select(F.col("name1").alias("_1"), F.col("name2").alias("_2"), "rep"),
         F.expr("name1 = _1 and name2 = _2 and n > 0 and id is not null"),
