@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import langid, mixing, neardup, tokencount, toxicity, urls
+from winnow.llm import decontaminate, langid, mixing, neardup, tokencount, toxicity, urls, vptree
 from winnow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.minhash_dedup(table(spark, sf_dir, "documents"))
