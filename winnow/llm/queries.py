@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontaminate, langid, mixing, neardup, tokencount, toxicity, urls, vptree
+from winnow.llm import decontaminate, langid, mixing, neardup, suffixes, tokencount, toxicity, urls, vptree
 from winnow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,11 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(table(spark, sf_dir, "pages"))
 
 
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing(table(spark, sf_dir, "documents"))
