@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontaminate, langid, mixing, neardup, suffixes, tokencount, toxicity, urls, vptree
+from winnow.llm import decontaminate, langid, mixing, neardup, pii, suffixes, tokencount, toxicity, urls, vptree
 from winnow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.langid(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
