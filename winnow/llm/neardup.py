@@ -37,8 +37,8 @@ from winnow.llm.shingles import mix, shingle_sets
 PLACES = 128
 ROWS = 4
 PERCENT = 85
-CELLS = 64  # of distance from the hub
-BLOCK_ROWS = 256
+CELLS = 8  # of distance from the hub
+BLOCK_ROWS = 512
 BLOCK_SHINGLES = 500_000
 _EMPTY = np.uint64(2**64 - 1)
 
