@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from winnow.llm.common import buckets, materialize
 from winnow.llm.shingles import Powers, mix
@@ -40,8 +40,11 @@ from winnow.llm.shingles import Powers, mix
 LENGTH = 50
 GRAM = 20
 CHUNK = 1 << 22
-PACK = 1 << 20  # anchors held before they are sent
+PACK = 1 << 18  # anchors held before they are sent
+STRINGS = 1 << 19  # strings matched at a time, unless one anchor has more
+GROUPS = 2  # per shuffle partition
 _MASK = np.uint64((1 << 48) - 1)
+_PRIME = 1_000_003
 _POWERS = Powers()
 
 
@@ -153,7 +156,12 @@ def anchor_rows(n: int):
 
 
 def dealt_to(ids: np.ndarray, n: int) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)
+    """The group of an id; `dealt_column` gives the same."""
+    return ids % _PRIME * 7919 % _PRIME % n
+
+
+def dealt_column(n: int) -> Column:
+    return F.expr(f"pmod(coalesce(id, 0L), {_PRIME}L) * 7919L % {_PRIME}L % {n}L")
 
 
 def shared_rows(n: int):
@@ -198,6 +206,29 @@ def front_coded(suffixes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
 def run_rows(n: int):
     """Front-coded sorted runs of the suffixes at shared anchors of a group of documents, per bucket."""
 
+    def coded(parts: list[tuple]) -> list[tuple]:
+        every, suffix, size, before, left, first, ids, ths = (np.concatenate(p) for p in zip(*parts))
+        out = []
+        for b, rows in _by_bucket((every % np.uint64(n)).astype(np.int64), n):
+            order, number, prefix, sizes, tails = front_coded(suffix[rows], size[rows])
+            rows = rows[order]
+            short = np.arange(-(LENGTH - GRAM), 0) >= -before[rows][:, None]
+            out.append(
+                (
+                    b,
+                    prefix.astype(np.uint8).tobytes(),
+                    sizes.astype(np.uint8).tobytes(),
+                    tails,
+                    number.astype(np.uint32).tobytes(),
+                    before[rows].astype(np.uint8).tobytes(),
+                    left[rows][short].tobytes(),
+                    ids[rows].astype(np.int64).tobytes(),
+                    ths[rows].astype(np.int64).tobytes(),
+                    first[rows].astype(np.int64).tobytes(),
+                )
+            )
+        return out
+
     def run(key: tuple, texts: pa.Table, shared: pa.Table) -> pa.Table:
         want: dict[int, list[np.ndarray]] = {}
         for ids, packed in zip(shared["ids"].to_pylist(), shared["hashes"].to_pylist()):
@@ -207,7 +238,7 @@ def run_rows(n: int):
             first = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
             for ident, part in zip(owner[first], np.split(every, first[1:])):
                 want.setdefault(int(ident), []).append(part)
-        parts = []
+        parts, held, out = [], 0, []
         for ident, th, raw, copy in _texts(texts) if want else ():
             if ident is None or copy or ident not in want:
                 continue
@@ -216,25 +247,19 @@ def run_rows(n: int):
             every, spot, first, last = every[keep], spot[keep], first[keep], last[keep]
             if not len(every):
                 continue
-            data = np.concatenate((np.frombuffer(raw, np.uint8), np.zeros(LENGTH, np.uint8)))
+            data = np.concatenate((np.zeros(LENGTH, np.uint8), np.frombuffer(raw, np.uint8), np.zeros(LENGTH, np.uint8)))
+            around = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
             size = last + LENGTH - spot
-            suffix = data[spot[:, None] + np.arange(LENGTH)]
+            suffix = around[spot + LENGTH]
             suffix[np.arange(LENGTH) >= size[:, None]] = 0
-            before = spot - first
-            padded = np.concatenate((np.zeros(LENGTH, np.uint8), data))
-            left = padded[(spot + LENGTH)[:, None] + np.arange(-(LENGTH - GRAM), 0)]
-            parts.append((every, suffix, size, before, left, first, np.full(len(every), ident), np.full(len(every), th)))
-        if not parts:
-            return _rows(RUN_ROWS, [])
-        every, suffix, size, before, left, first, ids, ths = (np.concatenate(p) for p in zip(*parts))
-        out = []
-        for b, rows in _by_bucket((every % np.uint64(n)).astype(np.int64), n):
-            order, number, prefix, sizes, tails = front_coded(suffix[rows], size[rows])
-            rows = rows[order]
-            short = np.arange(-(LENGTH - GRAM), 0) >= -before[rows][:, None]
-            out.append(
-                (b, prefix.astype(np.uint8).tobytes(), sizes.astype(np.uint8).tobytes(), tails, number.astype(np.uint32).tobytes(), before[rows].astype(np.uint8).tobytes(), left[rows][short].tobytes(), ids[rows].astype(np.int64).tobytes(), ths[rows].astype(np.int64).tobytes(), first[rows].astype(np.int64).tobytes())
-            )
+            left = around[spot][:, -(LENGTH - GRAM) :]
+            parts.append((every, suffix, size, spot - first, left, first, np.full(len(every), ident), np.full(len(every), th)))
+            held += len(every)
+            if held >= PACK:
+                out += coded(parts)
+                parts, held = [], 0
+        if parts:
+            out += coded(parts)
         return _rows(RUN_ROWS, out)
 
     return run
@@ -313,6 +338,32 @@ def merged(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, bytes
         best, known = winner, shared[winner]
 
 
+def matched(
+    rows: np.ndarray, sizes: np.ndarray, base: np.ndarray, every: np.ndarray, ids: np.ndarray, starts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the strings around some anchors' occurrences, those a smaller id holds too, as spans:
+    occurrence, start, end. Starts in a row of one occurrence become one span."""
+    count = sizes[rows] - LENGTH + 1
+    owner = np.repeat(rows, count)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    lead = np.concatenate([every[base[i] : base[i] + sizes[i]] for i in rows])
+    shift = np.cumsum(sizes[rows]) - sizes[rows]
+    names = gram_hashes(lead, LENGTH)[np.repeat(shift, count) + offset]
+    order = np.argsort(names, kind="stable")
+    first = np.concatenate(([0], np.flatnonzero(np.diff(names[order])) + 1))
+    smallest = np.minimum.reduceat(ids[owner][order], first)
+    least = np.empty(len(names), np.int64)
+    least[order] = np.repeat(smallest, np.diff(np.concatenate((first, [len(order)]))))
+    hit = least < ids[owner]
+    owner, place = owner[hit], (starts[owner] + offset)[hit]
+    if not len(owner):
+        return owner, place, place
+    new = np.concatenate(([True], (np.diff(owner) != 0) | (np.diff(place) != 1)))
+    begin = np.flatnonzero(new)
+    end = np.concatenate((begin[1:] - 1, [len(owner) - 1]))
+    return owner[begin], place[begin], place[end] + LENGTH
+
+
 def span_rows(n: int):
     """Merge a bucket's runs, match strings around anchors, and report bytes to remove per group."""
 
@@ -347,25 +398,21 @@ def span_rows(n: int):
         base = np.cumsum(sizes) - sizes
         # Anchors that only equal hashes, not equal bytes, brought together end here.
         several = np.flatnonzero((low < high)[own])
-        count = sizes[several] - LENGTH + 1
-        owner = np.repeat(several, count)
-        offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        names = gram_hashes(every, LENGTH)[base[owner] + offset] if len(owner) else np.zeros(0, np.uint64)
-        order = np.argsort(names, kind="stable")
-        first = np.concatenate(([0], np.flatnonzero(np.diff(names[order])) + 1)) if len(order) else np.zeros(0, np.int64)
-        least = np.zeros(len(names), np.int64)
-        if len(order):
-            smallest = np.minimum.reduceat(ids[owner][order], first)
-            least[order] = np.repeat(smallest, np.diff(np.concatenate((first, [len(order)]))))
-        hit = least < ids[owner]
-        owner, place = owner[hit], (starts[owner] + offset)[hit]
-        if not len(owner):
+        several = several[np.argsort(own[several], kind="stable")]
+        total = np.cumsum(sizes[several] - LENGTH + 1)
+        owners, los, his = [], [], []
+        at = 0
+        while at < len(several):
+            # As many whole anchors as fit; equal strings have equal anchors.
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STRINGS)))
+            end = int(np.searchsorted(own[several], own[several[end - 1]], "right"))
+            found = matched(several[at:end], sizes, base, every, ids, starts)
+            for kept, part in zip((owners, los, his), found):
+                kept.append(part)
+            at = end
+        if not owners:
             return _rows(SPAN_ROWS, [])
-        # Starts in a row of one anchor become one span.
-        new = np.concatenate(([True], (np.diff(owner) != 0) | (np.diff(place) != 1)))
-        begin = np.flatnonzero(new)
-        end = np.concatenate((begin[1:] - 1, [len(owner) - 1]))
-        owner, lo, hi = owner[begin], place[begin], place[end] + LENGTH
+        owner, lo, hi = np.concatenate(owners), np.concatenate(los), np.concatenate(his)
         out = []
         for d, part in _by_bucket(dealt_to(ids[owner], n), n):
             w = owner[part]
@@ -414,7 +461,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", with_text: bool =
 
     The text leaves out bytes of a sign that was cut apart; the hash is over all bytes that stay.
     """
-    n = buckets(docs.sparkSession)
+    n = GROUPS * buckets(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), "text").withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)))
     narrow = materialize(
         rows.where("id is not null and text is not null").select("id", "th", F.sha2("text", 256).alias("sha")), "suffix-texts"
@@ -429,12 +476,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", with_text: bool =
     )
     packed = texts.mapInArrow(anchor_rows(n), ddl(ANCHOR_ROWS))
     shared = packed.groupBy("bucket").applyInArrow(shared_rows(n), ddl(SHARED_ROWS))
-
-    def place(ids: pa.Array) -> pa.Array:
-        return pa.array(dealt_to(ids.fill_null(0).to_numpy(), n))
-
-    group = F.arrow_udf(place, "bigint")(F.col("id"))
-    dealt = texts.withColumn("dealt", group).repartition(n, "dealt")
+    dealt = texts.withColumn("dealt", dealt_column(n)).repartition(n, "dealt")
     runs = (
         dealt.groupBy("dealt")
         .cogroup(shared.repartition(n, "dealt").groupBy("dealt"))
