@@ -248,7 +248,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", per_language: int = PER_LANG
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
-        every = pd.concat(parts).sort_values([id_col, "text"]) if parts else pd.DataFrame({"text": [], "lang": []})
+        if not parts:
+            return
+        every = pd.concat(parts).sort_values([id_col, "text"])
         model = train(every["text"].tolist(), every["lang"].tolist())
         names = sorted(model.params)
         yield pd.DataFrame(
@@ -261,7 +263,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", per_language: int = PER_LANG
         )
 
     kind = "languages array<string>, values array<binary>, shapes array<array<bigint>>, names array<string>"
-    row = sample.repartition(1).mapInPandas(learn, kind).collect()[0]
+    found = sample.repartition(1).mapInPandas(learn, kind).collect()
+    if not found:  # no row, hence no task
+        return train([], [])
+    row = found[0]
     params = {
         k: np.frombuffer(v, np.float32).reshape(s) for k, v, s in zip(row["names"], row["values"], row["shapes"])
     }

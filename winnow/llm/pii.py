@@ -236,16 +236,16 @@ def sanitised(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """`docs` with personal data replaced in the text; every other text and column as it is."""
     scanned = materialize(scan(docs, id_col), "pii-scan")
     terms = term_spans(docs, scanned)
-    rows = docs.withColumn("_key", F.xxhash64("text"))
-    rows = rows.join(terms, rows[id_col].eqNullSafe(F.col("_id")) & rows["_key"].eqNullSafe(F.col("_th")), "left")
-    rows = rows.select(*docs.columns, F.col("terms").alias("_terms"))
+    # The row as one struct: its column names cannot clash with the others.
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_own"), F.xxhash64("text").alias("_key"))
+    rows = rows.join(terms, F.expr("_own <=> _id and _key <=> _th"), "left").select("_row.*", "terms")
     place, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [
                 None if t is None else replaced(t, [(s["start"], s["end"], s["remove"]) for s in spans or ()])
-                for t, spans in zip(batch["text"].to_pylist(), batch["_terms"].to_pylist())
+                for t, spans in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
             ]
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns[place] = pa.array(texts, pa.string())

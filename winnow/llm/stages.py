@@ -22,7 +22,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows = neardup.near_duplicates(docs, percent=SIMILARITY_PERCENT)
     gone = materialize(rows.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-copies")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     rows = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     gone = materialize(rows.where("n_hit > 0").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-leaks")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,11 +46,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that share an id, each is there as often as the copies of all of them allow: the copies
     are summed per id and size and dealt to its rows evenly, which is exact for equal rows.
     """
-    plan = mixing.mix(docs).select(F.col("doc_id").alias("_id"), "size", "copies")
-    plan = plan.groupBy("_id", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    plan = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "copies")
+    plan = plan.groupBy("_id", "_size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     plan = materialize(plan.where("_copies > 0"), "pipeline-mix")
-    rows = docs.withColumn("size", mixing.n_words(F.col("text")))
-    rows = rows.join(plan.withColumnRenamed("size", "_size"), rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")))
+    # The row as one struct: its column names cannot clash with the others.
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_own"), mixing.n_words(F.col("text")).alias("_words"))
+    rows = rows.join(plan, F.expr("_own <=> _id and _words = _size"))
     times = F.round(F.col("_copies") / F.col("_rows")).cast("int")
-    rows = rows.where(times > 0)
-    return rows.select(*docs.columns, "size", F.explode(F.sequence(F.lit(1), times)).alias("copy"))
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("size", "copy")]
+    rows = rows.where(times > 0).select(*kept, F.col("_words").alias("size"), F.sequence(F.lit(1), times).alias("copy"))
+    return rows.withColumn("copy", F.explode("copy"))

@@ -125,14 +125,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", max_rows:
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
-        if parts:
-            every = pd.concat(parts).drop_duplicates(id_col).sort_values(id_col)
-            model = train(every["text"].tolist(), every["_toxic"].to_numpy(np.int64))
-        else:
-            model = train([], np.zeros(0, np.int64))
+        if not parts:
+            return
+        every = pd.concat(parts).drop_duplicates(id_col).sort_values(id_col)
+        model = train(every["text"].tolist(), every["_toxic"].to_numpy(np.int64))
         yield pd.DataFrame({"weights": [model.weights.tobytes()], "intercept": [model.intercept]})
 
     found = rows.repartition(1).mapInPandas(learn, "weights binary, intercept double").collect()
+    if not found:  # no row, hence no task
+        return train([], np.zeros(0, np.int64))
     return Model(np.frombuffer(found[0]["weights"], np.float32), found[0]["intercept"])
 
 
