@@ -16,8 +16,8 @@ e by a term t is their pointwise mutual information over the entity's informatio
 term is replaced by its class, from REMOVE on it is taken out; base findings always stay. Where it is
 sanitised, a term goes at the places where it stands beside the entity.
 
-Rows and counts stay proportional to the mentions: no pairs are built beyond a mention's neighbours,
-and df(t) is counted for terms with support only.
+Rows and counts stay proportional to the mentions: no pairs are built beyond a mention's neighbours.
+Document counts of all words are summed in each task before they are shuffled.
 
 Null and empty texts have no findings. Repeated rows get equal rows each, and rows with equal ids and
 different texts their own. An empty table gives an empty result. Other columns pass through
@@ -182,12 +182,9 @@ def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     pair = mentions.select("id", "th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
     holder = mentions.select("id", "th", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
     words = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(_WORD), F.lit(0)))
-    seen = (
-        docs.select(F.explode(words).alias("term"))
-        .join(materialize(tested.select("term").distinct(), "pii-terms"), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("with_term"))
-    )
+    # Counted before the join, so that what crosses the shuffle is the vocabulary, whatever terms are tested.
+    counted = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    seen = counted.join(materialize(tested.select("term").distinct(), "pii-terms"), "term", "left_semi")
     rows = tested.join(pair, ["entity", "term"]).join(holder, "entity").join(seen, "term")
     information = F.log(F.lit(float(total)) / F.col("with_entity"))
     mutual = F.log(F.lit(float(total)) * F.col("together") / (F.col("with_term") * F.col("with_entity")))
