@@ -184,7 +184,8 @@ def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     words = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(_WORD), F.lit(0)))
     # Counted before the join, so that what crosses the shuffle is the vocabulary, whatever terms are tested.
     counted = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    seen = counted.join(materialize(tested.select("term").distinct(), "pii-terms"), "term", "left_semi")
+    # An inner join: a semi join would be moved below the sum.
+    seen = counted.join(materialize(tested.select("term").distinct(), "pii-terms"), "term")
     rows = tested.join(pair, ["entity", "term"]).join(holder, "entity").join(seen, "term")
     information = F.log(F.lit(float(total)) / F.col("with_entity"))
     mutual = F.log(F.lit(float(total)) * F.col("together") / (F.col("with_term") * F.col("with_entity")))
