@@ -132,3 +132,21 @@ def test_written_shards(spark, tmp_path):
     df = resample.with_shard(spark.range(20).withColumnRenamed("id", "idx"), 4)
     resample.write_shards(df, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s" / "shard=3")).count() == 5
+
+
+def test_sparse_position_has_no_shard(spark):
+    from pyspark.errors import PySparkException
+
+    from winnow.operators.resample import with_shard
+
+    sparse = spark.createDataFrame([(0,), (1000,), (2000,)], "idx bigint")
+    with pytest.raises(PySparkException, match="dense position"):
+        with_shard(sparse, 2).collect()
+
+
+def test_infinite_values_have_no_quantiles(spark):
+    from winnow.functions.exact import exact_quantiles
+
+    values = spark.createDataFrame([(1.0,), (float("inf"),)], "v double")
+    with pytest.raises(ValueError, match="infinite"):
+        exact_quantiles(values, "v", [0.5])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 _BINS = 1024
@@ -42,6 +44,8 @@ def exact_quantiles(df: DataFrame, column: str, quantiles: list[float]) -> list[
     first = values.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     if not first["n"]:
         raise ValueError(f"no values in {column}")
+    if math.isinf(first["lo"]) or math.isinf(first["hi"]):
+        raise ValueError(f"{column} holds an infinite value")
     places = [q * (first["n"] - 1) for q in quantiles]
     ranks = sorted({int(p) for p in places} | {min(int(p) + 1, first["n"] - 1) for p in places})
     found: dict[int, float] = {}

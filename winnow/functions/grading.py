@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import signal
+import threading
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -114,36 +117,48 @@ GRADE = T.StructType(
 Grader = Callable[[str, str], Any]
 
 
-def run_grader(
-    grader: Grader, response: str, answer: str, timeout: float
-) -> tuple[bool | None, str | None]:
-    """One call under a time limit: the verdict, or null and "Type:message".
+@contextmanager
+def deadline(seconds: float) -> Iterator[None]:
+    """Interrupt the block with a TimeoutError after so many seconds.
 
-    A mapping result is reduced to its `acc` entry. The alarm needs the main thread, which is where
-    a Spark Python worker runs user code.
+    Signals reach the main thread only, which is where a Spark Python worker runs user code; on any
+    other thread there would be no limit, so that is an error.
     """
-    import signal
-    import threading
+    if threading.current_thread() is not threading.main_thread():
+        raise RuntimeError("a grader's time limit needs the main thread")
 
-    def expire(*_: Any) -> None:
+    def stop(number: int, frame: Any) -> None:
         raise TimeoutError("grader timed out")
 
-    use_alarm = threading.current_thread() is threading.main_thread()
-    previous = None
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
     try:
-        if use_alarm:
-            previous = signal.signal(signal.SIGALRM, expire)
-            signal.setitimer(signal.ITIMER_REAL, timeout)
-        result = grader(response, answer)
-        if isinstance(result, Mapping):
-            result = result.get("acc")
-        return bool(result), None
-    except Exception as exc:
-        return None, f"{type(exc).__name__}:{exc}"
+        yield
     finally:
-        if use_alarm:
-            signal.setitimer(signal.ITIMER_REAL, 0)
-            signal.signal(signal.SIGALRM, previous)
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def _truth(result: Any) -> bool:
+    """A mapping is reduced to its `acc` entry."""
+    return bool(result.get("acc") if isinstance(result, Mapping) else result)
+
+
+def graded(
+    grader: Grader, pairs: Iterable[tuple[str | None, str | None]], timeout: float
+) -> Iterator[tuple[bool | None, str | None]]:
+    """A verdict, or null and "Type:message", for each pair; both null where a text is missing."""
+    for response, answer in pairs:
+        if response is None or answer is None:
+            yield None, None
+            continue
+        try:
+            with deadline(timeout):
+                verdict = _truth(grader(response, answer))
+        except Exception as error:
+            yield None, f"{type(error).__name__}:{error}"
+        else:
+            yield verdict, None
 
 
 def external_grade(
@@ -162,10 +177,7 @@ def external_grade(
 
     @F.pandas_udf(GRADE)
     def grade(responses: pd.Series, answers: pd.Series) -> pd.DataFrame:
-        rows = [
-            (None, None) if r is None or a is None else run_grader(grader, r, a, timeout)
-            for r, a in zip(responses, answers)
-        ]
+        rows = list(graded(grader, zip(responses, answers), timeout))
         out = pd.DataFrame(rows, columns=["verified", "grader_error"], dtype=object)
         return out
 

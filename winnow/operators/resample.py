@@ -245,7 +245,10 @@ def seeded_shuffle(df: DataFrame, *, seed: int = 42, idx: str = "idx", out: str
 def with_shard(
     df: DataFrame, shards: int, *, position: str = "idx", contiguous: bool = True, out: str = "shard"
 ) -> DataFrame:
-    """Shard number of a dense position: equal runs (the first ones longer by one), or round robin."""
+    """Shard number of a dense position: equal runs (the first ones longer by one), or round robin.
+
+    For runs, a position outside 0 to rows - 1 is an error.
+    """
     if not contiguous:
         return df.withColumn(out, F.pmod(F.col(position), F.lit(shards)).cast("int"))
     count = df.agg(F.count(F.lit(1)).alias("_rows"))
@@ -254,7 +257,11 @@ def with_shard(
     shard = F.when(
         F.col(position) < edge, F.floor(F.col(position) / (size + 1))
     ).otherwise(longer + F.floor((F.col(position) - edge) / size))
-    return df.crossJoin(F.broadcast(count)).select(*df.columns, shard.cast("int").alias(out))
+    sparse = F.raise_error(F.concat(F.lit(f"{position} is not a dense position: "), F.col(position).cast("string")))
+    inside = F.col(position).between(0, F.col("_rows") - 1)
+    return df.crossJoin(F.broadcast(count)).select(
+        *df.columns, F.when(inside, shard.cast("int")).otherwise(sparse.cast("int")).alias(out)
+    )
 
 
 def write_shards(df: DataFrame, path: str, *, shard: str = "shard", mode: str = "errorifexists") -> None:
