@@ -76,8 +76,8 @@ def sketch_table(docs: DataFrame, id_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 sets = list(shingle_sets(part.column(1).to_pylist()))
                 keys = bands(sketches(sets))
                 with np.errstate(over="ignore"):
@@ -104,8 +104,8 @@ def set_table(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 sets = [s.view(np.int64) for s in shingle_sets(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"]

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 SIZE = 5
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

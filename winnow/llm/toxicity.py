@@ -67,7 +67,11 @@ def train(
 ) -> Model:
     """Log-count ratios, then logistic regression by Adam on mini-batches."""
     features = Featuriser()
-    rows = [features(t) for t in texts]
+    # Packed a few hundred texts at a time: many small arrays would stay in the worker's heap.
+    rows: list[np.ndarray] = []
+    for at in range(0, len(texts), 256):
+        own = [features(t) for t in texts[at : at + 256]]
+        rows += np.split(np.concatenate(own), np.cumsum([len(r) for r in own])[:-1])
     n = len(rows)
     share = (labels.sum() + 1.0) / (n + 2.0)
     flat = Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
