@@ -447,3 +447,14 @@ def test_empty_tables(spark):
     assert tokencount.token_counts(none).count() == 0
     assert vptree.neighbours(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
     assert langid.langid(none).count() == 0
+
+
+def test_toxicity_features_of_long_texts_and_packed_rows():
+    features = toxicity.Featuriser()
+    words = " ".join(f"w{i}é" for i in range(40_000))
+    for text in (words, words[: toxicity.PIECE - 2], words[: toxicity.PIECE + 2], words[: toxicity.PIECE + 3], "ab", "", None):
+        whole = features._piece(np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le"), np.uint32))
+        assert np.array_equal(np.sort(features(text)), np.sort(whole))
+    packed = toxicity.Packed()
+    packed.add([words, "", "a few words"], features)
+    assert [packed.row(i).tolist() for i in range(3)] == [sorted(features(t).tolist()) for t in (words, "", "a few words")]

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
@@ -48,3 +49,9 @@ def bounded_ids(df: DataFrame, id_col: str, limit: int, by: Iterable[str] = ())
         return ids.orderBy(F.xxhash64(id_col), id_col).limit(limit)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(id_col), id_col))
     return ids.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+
+
+def parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch: what a task holds besides the batch follows the slice."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

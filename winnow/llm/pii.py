@@ -33,7 +33,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from winnow.llm.common import lower_ascii, materialize
+from winnow.llm.common import lower_ascii, materialize, parts
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 6
@@ -136,7 +136,7 @@ def scan(docs: DataFrame, id_col: str) -> DataFrame:
     """Per row: id, th (hash of the text), base findings, mentions with their neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             bases, mentions = [], []
             for text in batch["text"]:
                 text = text.as_py() or ""
@@ -240,7 +240,7 @@ def sanitised(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     place, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             texts = [
                 None if t is None else replaced(t, [(s["start"], s["end"], s["remove"]) for s in spans or ()])
                 for t, spans in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())

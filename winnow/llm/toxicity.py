@@ -7,7 +7,7 @@ presence of buckets times these values (Wang and Manning, 2012).
 
 The classifier is fitted on at most `max_rows` labelled rows, taken in hash order of the id; the
 ids go through a broadcast of that size, so the corpus is scanned without a shuffle. Scoring is a
-map over whole texts.
+map over whole texts, a few hundred rows of an Arrow batch at a time.
 
 Null and empty texts have only the padding and get the score of the intercept. A text of any length
 is scored in memory linear in its length. With no labelled row, or labels of one kind, the score is
@@ -21,14 +21,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from winnow.llm.common import bounded_ids, hash_bucket, with_fields
+from winnow.llm.common import bounded_ids, hash_bucket, parts, with_fields
 
 BITS = 18
 SIZES = (3, 4, 5)
 MAX_ROWS = 8_000
+PIECE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -38,14 +39,15 @@ class Model:
 
 
 class Featuriser:
-    """Distinct buckets of a text; the scratch array makes a text's duplicates cheap to drop."""
+    """Distinct buckets of a text; the scratch array makes a text's duplicates cheap to drop.
+
+    A text is read `PIECE` characters at a time, so only the text itself grows with its length.
+    """
 
     def __init__(self) -> None:
-        self.scratch = np.zeros(1 << BITS, np.int64)
+        self.scratch = np.zeros(1 << BITS, np.int32)
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        padded = f" {(text or '').lower()} "
-        codes = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32)
+    def _piece(self, codes: np.ndarray) -> np.ndarray:
         rolled, found = codes, []
         for size in range(2, SIZES[-1] + 1):
             if len(codes) < size:
@@ -57,29 +59,62 @@ class Featuriser:
         if not found:
             return np.zeros(0, np.uint32)
         every = np.concatenate(found)
-        places = np.arange(len(every))
+        places = np.arange(len(every), dtype=np.int32)
         self.scratch[every] = places
         return every[self.scratch[every] == places]
 
+    def __call__(self, text: str | None) -> np.ndarray:
+        padded = f" {(text or '').lower()} "
+        overlap = SIZES[-1] - 1
+        pieces = (
+            self._piece(np.frombuffer(padded[at : at + PIECE + overlap].encode("utf-32-le", "surrogatepass"), np.uint32))
+            for at in range(0, max(1, len(padded) - overlap), PIECE)
+        )
+        first = next(pieces)
+        if len(padded) - overlap <= PIECE:
+            return first
+        seen = np.zeros(1 << BITS, bool)
+        seen[first] = True
+        for piece in pieces:
+            seen[piece] = True
+        return np.flatnonzero(seen).astype(np.uint32)
+
+
+class Packed:
+    """Buckets of many texts, two bytes each: a row is sorted, and `cuts` tell where the bits above change."""
+
+    def __init__(self) -> None:
+        self.low: list[np.ndarray] = []
+        self.cuts: list[np.ndarray] = []
+
+    def add(self, texts: list[str | None], features: Featuriser) -> None:
+        steps = np.arange(0, (1 << BITS) + 1, 1 << 16)
+        # Packed a few hundred texts at a time: many small arrays would stay in the worker's heap.
+        for at in range(0, len(texts), 256):
+            rows = [np.sort(features(t)) for t in texts[at : at + 256]]
+            self.cuts += [np.diff(np.searchsorted(r, steps)) for r in rows]
+            low = np.concatenate(rows).astype(np.uint16)
+            self.low += np.split(low, np.cumsum([len(r) for r in rows])[:-1])
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def row(self, i: int) -> np.ndarray:
+        return self.low[i] + np.repeat(np.arange(len(self.cuts[i]), dtype=np.int32) << 16, self.cuts[i])
+
 
 def train(
-    texts: list[str], labels: np.ndarray, *, epochs: int = 12, rate: float = 0.05, l2: float = 1e-5, seed: int = 0
+    rows: Packed, labels: np.ndarray, *, epochs: int = 12, rate: float = 0.05, l2: float = 1e-5, seed: int = 0
 ) -> Model:
     """Log-count ratios, then logistic regression by Adam on mini-batches."""
-    features = Featuriser()
-    # Packed a few hundred texts at a time: many small arrays would stay in the worker's heap.
-    rows: list[np.ndarray] = []
-    for at in range(0, len(texts), 256):
-        own = [features(t) for t in texts[at : at + 256]]
-        rows += np.split(np.concatenate(own), np.cumsum([len(r) for r in own])[:-1])
     n = len(rows)
     share = (labels.sum() + 1.0) / (n + 2.0)
     flat = Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
     if n == 0 or labels.min() == labels.max():
         return flat
     counts = np.ones((2, 1 << BITS))
-    for row, label in zip(rows, labels):
-        counts[label][row] += 1
+    for i, label in enumerate(labels):
+        counts[label][rows.row(i)] += 1
     shares = counts / (np.bincount(labels, minlength=2) + 2.0)[:, None]
     ratio = np.log(shares[1] / shares[0])
     w, m, v = (np.zeros(1 << BITS) for _ in range(3))
@@ -88,8 +123,8 @@ def train(
     for _ in range(epochs):
         for part in np.array_split(order.permutation(n), max(1, n // 128)):
             step += 1
-            columns = np.concatenate([rows[i] for i in part])
-            owner = np.repeat(np.arange(len(part)), [len(rows[i]) for i in part])
+            columns = np.concatenate([rows.row(i) for i in part])
+            owner = np.repeat(np.arange(len(part)), [len(rows.low[i]) for i in part])
             value = ratio[columns]
             z = b + np.bincount(owner, w[columns] * value, minlength=len(part))
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[part]) / len(part)
@@ -111,7 +146,10 @@ def score_texts(model: Model, texts: list[str | None], features: Featuriser | No
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
-    """Fit on at most `max_rows` rows whose crc32(id) modulo 5 is not 0, in one task."""
+    """Fit on at most `max_rows` ids whose crc32 modulo 5 is not 0, in one task.
+
+    Of texts that share an id the smallest counts, found by a partial aggregate.
+    """
     spark = docs.sparkSession
     known = (
         labels.where(F.col("toxic").isin(0, 1) & (hash_bucket(5, F.col(id_col)) != 0))
@@ -125,19 +163,24 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", max_rows:
     sample = docs.select(id_col, "text").join(
         F.broadcast(known.join(F.broadcast(ids), id_col, "left_semi")), id_col
     )
-    rows = sample.select(id_col, F.coalesce("text", F.lit("")).alias("text"), F.col("_toxic").cast("int"))
-
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [b for b in batches if len(b)]
-        if not parts:
-            return
-        every = pd.concat(parts).drop_duplicates(id_col).sort_values(id_col)
-        model = train(every["text"].tolist(), every["_toxic"].to_numpy(np.int64))
-        yield pd.DataFrame({"weights": [model.weights.tobytes()], "intercept": [model.intercept]})
+    rows = sample.groupBy(id_col).agg(
+        F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("_toxic").cast("int").alias("_toxic")
+    )
 
-    found = rows.repartition(1).mapInPandas(learn, "weights binary, intercept double").collect()
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, packed, marks = Featuriser(), Packed(), []
+        for batch in batches:
+            for part in parts(batch):
+                packed.add(part["text"].to_pylist(), features)
+                marks += part["_toxic"].to_pylist()
+        if marks:
+            model = train(packed, np.array(marks, np.int64))
+            yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "intercept": [model.intercept]})
+
+    one = rows.repartition(1).sortWithinPartitions(id_col)
+    found = one.mapInArrow(learn, "weights binary, intercept double").collect()
     if not found:  # no row, hence no task
-        return train([], np.zeros(0, np.int64))
+        return train(Packed(), np.zeros(0, np.int64))
     return Model(np.frombuffer(found[0]["weights"], np.float32), found[0]["intercept"])
 
 
@@ -145,30 +188,33 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id") -> DataFrame
     """All columns of `docs` but the text, with `score` and `predicted` added."""
     keep = docs.drop("text", "score", "predicted")
     held = docs.select(*keep.columns, "text")
+    width = len(keep.columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featuriser()
         for batch in batches:
-            out = batch.drop(columns=["text"])
-            out["score"] = score_texts(model, batch["text"].tolist(), features)
-            out["predicted"] = (out["score"] >= 0.5).astype("int32")
-            yield out
+            for part in parts(batch):
+                scores = score_texts(model, part.column(width).to_pylist(), features)
+                columns = [*part.columns[:width], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:width], "score", "predicted"])
 
     schema = with_fields(keep.schema, score="double", predicted="int")
-    return held.mapInPandas(run, schema)
+    return held.mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that are not rejected, with the columns of `docs`; the text passes through."""
     model = fit(docs, labels)
-    schema = docs.schema
+    place = docs.columns.index("text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Featuriser()
         for batch in batches:
-            yield batch[score_texts(model, batch["text"].tolist(), features) < 0.5]
+            for part in parts(batch):
+                scores = score_texts(model, part.column(place).to_pylist(), features)
+                yield part.filter(pa.array(scores < 0.5))
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
