@@ -60,7 +60,7 @@ def test_brown(spark, params):
     assert abs(out.sampling_weight.sum() - 1) < 1e-9
 
 
-@pytest.mark.parametrize("bad", [None, float("nan")])
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf")])
 def test_incomplete_samples_fail(spark, bad):
     rows = [(0, 1.0, 2.0, 1.0), (1, 1.0, bad, 1.0)]
     df = spark.createDataFrame(rows, "idx int, entropy_0 double, entropy_1 double, entropy_2 double")

@@ -35,12 +35,13 @@ def normalised(raw: str, out: str, df: DataFrame, *, floor: float | None = None)
 
 
 def _complete(df: DataFrame, *fields: str) -> DataFrame:
-    """Fail on a sample without one of its entropies, which would otherwise pass as zero."""
+    """Fail on a sample without one of its entropies, which would otherwise pass as zero, or with an infinite one."""
     names = F.lit(f"sample without a value for {', '.join(fields)}")
 
     def checked(name: str) -> Column:
         c = F.col(name).cast("double")
-        return F.when(c.isNull() | F.isnan(c), F.raise_error(names).cast("double")).otherwise(c)
+        finite = F.coalesce(F.abs(c) < float("inf"), F.lit(False))
+        return F.when(~finite, F.raise_error(names).cast("double")).otherwise(c)
 
     return df.withColumns({name: checked(name) for name in fields})
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from winnow import schemas
-from winnow.session import shared_path
 
 
 def read_chat_stream(
@@ -30,15 +29,17 @@ def read_chat_stream(
 
 
 def run_available(
-    stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str
+    stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, progress: str
 ) -> StreamingQuery:
-    """Process what has arrived, append Parquet, stop. Progress is kept in the shared folder."""
-    spark = stream.sparkSession
+    """Process what has arrived, append Parquet, stop.
+
+    Progress is kept in the folder `progress`, one per `out`: the next run goes on from there.
+    """
     return (
         transform(stream)
         .writeStream.format("parquet")
         .option("path", out)
-        .option("checkpointLocation", shared_path(spark, "stream"))
+        .option("checkpointLocation", progress)
         .outputMode("append")
         .trigger(availableNow=True)
         .start()
