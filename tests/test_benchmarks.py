@@ -141,8 +141,30 @@ def test_completeness(spark, n):
     df = spark.createDataFrame(good + bad + swapped + nulls, "position int, sample_index int")
     expected = {1, 2, 3, 4, 5, 6} if n > 1 else {2, 3, 4, 5, 6}
     assert {r["position"] for r in metrics.incomplete_prompts(df, n).collect()} == expected
-    with pytest.raises(ValidationError):
-        metrics.summary(df.withColumn("correct", F.lit(1)), n, validate=True)
+    graded = df.withColumn("correct", F.lit(1))
+    for part in (graded, graded.where("position = 2"), graded.where("position = 6 or position = 0")):
+        if n > 1 or part is not graded:
+            with pytest.raises(Exception, match="sample indices|no rows"):
+                metrics.summary(part.where("position > 0"), n).select("n_prompts").collect()
+    assert metrics.summary(graded.where("position = 0"), n).first()["pass_at_n"] == 1.0
+    assert metrics.summary(graded, n, validate=False).first()["n_prompts"] == (7 if n > 1 else 6)
+
+
+def test_empty_table_has_no_summary(spark):
+    empty = spark.createDataFrame([], "position int, sample_index int, correct int")
+    with pytest.raises(Exception, match="no rows"):
+        metrics.summary(empty, 4).collect()
+    with pytest.raises(Exception, match="no rows"):
+        metrics.summary(empty, 4).select("pass_at_n").collect()
+
+
+def test_fingerprint_tells_nulls_and_separators_apart(spark):
+    cases = [("a", None), (None, "a"), ("", "a"), ("a", ""), (None, None), ("a\x1fb", "c"), ("a", "b\x1fc"), ("1:a", "b")]
+    marks = set()
+    for pair in cases:
+        df = spark.createDataFrame([(0, *pair)], "position int, question string, answer string")
+        marks.add(tuple(benchmarks.fingerprint(df, position="position", question="question", answer="answer").first()))
+    assert len(marks) == len(cases)
 
 
 def test_wrong_candidate_counts(spark):

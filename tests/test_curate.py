@@ -38,7 +38,7 @@ CASES = [
     (record("q", GOOD, None), "no_reference"),
     (record("q", GOOD, ""), "no_reference"),
     (record("q", GOOD, "5"), "incorrect"),
-    (record("q", GOOD, "x+1"), "incorrect"),
+    (record("q", GOOD, "x+1"), "undecided"),
 ]
 
 
@@ -47,7 +47,7 @@ def test_reasons_and_report(spark):
     found = [r["reason"] for r in rows.orderBy("n").select("reason").collect()]
     assert found == [e for _, e in CASES]
     report = {r["reason"]: r["n"] for r in curate.drop_report(rows).collect()}
-    assert report == {"kept": 2, "structural": 5, "denied": 1, "format": 1, "no_reference": 2, "incorrect": 2}
+    assert report == {"kept": 2, "structural": 5, "denied": 1, "format": 1, "no_reference": 2, "incorrect": 1, "undecided": 1}
 
 
 def test_denied_source_and_grader(spark):
@@ -90,6 +90,17 @@ def test_index_after_shuffle_falls_back(spark, tmp_path):
         assert [r["q"] for r in found] == sorted(r["q"] for r in found)
 
 
+def test_index_of_rows_moved_within_their_split(spark, tmp_path):
+    """Both ends of the split stay in place, what lies between is turned round."""
+    with open(tmp_path / "a.jsonl", "w") as out:
+        out.writelines(json.dumps(record(f"a{n:04d}", GOOD)) + "\n" for n in range(20))
+    scan = with_scan_order(spark.read.schema(schemas.CHAT).json(str(tmp_path)).drop("idx"))
+    user = first_content(F.col("messages"), "user")
+    place = F.when(user == "a0000", -1).when(user == "a0019", 100).otherwise(20 - F.substring(user, 2, 4).cast("int"))
+    rows = curate.indexed(scan.sortWithinPartitions(place)).select("idx", user.alias("q"))
+    assert [(r["idx"], r["q"]) for r in rows.orderBy("idx").collect()] == [(n, f"a{n:04d}") for n in range(20)]
+
+
 def test_pairs(spark):
     user_answer = {"source": "codeio", "answer_content": " u "}
     records = [

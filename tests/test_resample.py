@@ -1,6 +1,7 @@
 """The weighted draw against a brute-force inverse CDF, also under skew."""
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -13,12 +14,15 @@ from winnow.operators.ordering import dense_index
 def brute_draws(weights: dict[int, float], n_new: int, seed: int) -> list[int]:
     keys = sorted(weights)
     w = np.array([weights[k] for k in keys])
-    q = np.round(w / w.sum() * 1e12).astype(np.int64) if w.sum() > 0 else np.ones(len(w), dtype=np.int64)
+    total = math.fsum(w)
+    q = np.ones(len(w), dtype=np.int64)
+    if total > 0:
+        q = np.where(w > 0, np.maximum(np.round(w / total * 2.0**60), 1), 0).astype(np.int64)
     edges = np.cumsum(q)
     out = []
     for k in range(n_new):
-        u = int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:13], 16) / 2**52
-        at = int(np.floor(u * float(edges[-1])))
+        u = int(hashlib.md5(f"{seed}:{k}".encode()).hexdigest()[:15], 16)
+        at = u * int(edges[-1]) >> 60
         out.append(keys[int(np.searchsorted(edges, at, side="right"))])
     return out
 
@@ -34,6 +38,8 @@ CASES = {
     "one heavy": {k: (500.0 if k == 250 else 1.0) for k in range(501)},
     "many tiny": {**{k: 1e-11 for k in range(600)}, **{k: 1.0 for k in range(600, 640)}},
     "zeros": {k: float(k % 3 == 0) for k in range(400)},
+    "far apart": {0: 1e13, 1: 1.0, 2: 1e-20, 3: 0.0, **{k: 3.0 for k in range(4, 300)}},
+    "all tiny": {k: 1e-20 * (1 + k % 7) for k in range(300)},
     "all zero": {k: 0.0 for k in range(300)},
     "sparse keys": {int(k): 1.0 for k in RNG.choice(10**15, 300, replace=False)},
 }
@@ -93,6 +99,23 @@ def test_join_weights(spark):
         resample.join_weights(spark.createDataFrame([(None,)], "idx long"), w, order=["line"]).collect()
 
 
+def test_second_weight_of_a_key_fails(spark):
+    data = spark.createDataFrame([(1,), (2,)], "idx long")
+    twice = spark.createDataFrame([(1, 0.5), (1, 0.7), (None, 1.0), (None, 2.0)], "idx long, sampling_weight double")
+    with pytest.raises(Exception, match="repeated idx: 1"):
+        resample.join_weights(data, twice).collect()
+
+
+def test_positive_weights_keep_a_part(spark):
+    rows = [(0, 1e13), (1, 1.0), (2, 1e-20), (3, 0.0), (4, 1e-60)]
+    df = spark.createDataFrame(rows, "idx int, sampling_weight double")
+    q = {r["idx"]: r["q"] for r in resample.quantised(df).collect()}
+    total = math.fsum(w for _, w in rows)
+    assert q == {0: round(1e13 / total * 2**60), 1: round(1 / total * 2**60), 2: 1, 3: 0, 4: 1}
+    small = df.where("idx in (2, 4)")
+    assert {r["idx"]: r["q"] for r in resample.quantised(small).collect()} == {2: 2**60, 4: 1}
+
+
 def test_bad_inputs(spark):
     twice = spark.createDataFrame([(1, 0.5), (1, 0.5)], "idx long, sampling_weight double")
     with pytest.raises(Exception, match="repeated idx"):

@@ -72,8 +72,32 @@ def test_number(spark):
 def test_boxed_nesting(spark):
     texts = ["\\boxed{1} \\boxed{\\frac{1}{2}}", "\\boxed{\\frac{\\sqrt{2}}{2}}", "\\boxed{}", "x"]
     assert values(spark, texts, X.answer_boxed) == ["\\frac{1}{2}", None, None, None]
-    deep = values(spark, texts, lambda c: X.answer_boxed(c, 3))
-    assert deep[1] == "\\frac{\\sqrt{2}}{2}"
+    assert values(spark, texts, X.last_box) == ["\\frac{1}{2}", "\\frac{\\sqrt{2}}{2}", None, None]
+
+
+@pytest.mark.parametrize("depth", range(1, 12))
+def test_box_of_any_depth(spark, depth):
+    nested = "2"
+    for _ in range(depth - 1):
+        nested = "\\sqrt{1+" + nested + "}"
+    assert values(spark, ["\\boxed{12} but \\boxed{" + nested + "} }{"], X.last_box) == [nested]
+
+
+def test_odd_boxes(spark):
+    texts = [
+        "\\boxed{open \\boxed{3}",
+        "\\boxed{1} \\boxed{",
+        "\\boxed{1} \\boxed{}",
+        "\\boxed{\\boxed{4}+1}",
+        "} } \\boxed{ \u00e9\U0001f600 } {",
+        "\\boxed \\\\boxed{5}",
+        "",
+        None,
+    ]
+    expected = ["3", "1", "1", "\\boxed{4}+1", "\u00e9\U0001f600", "5", None, None]
+    assert values(spark, texts, X.last_box) == expected
+    long = "x{y}" * 20_000
+    assert values(spark, ["\\boxed{" + long + "}" + long], X.last_box) == [long]
 
 
 def test_names(spark):

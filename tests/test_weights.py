@@ -80,6 +80,25 @@ def test_exact_sum(spark):
         df.agg(exact_sum(F.col("v") * float("nan"))).collect()
 
 
+def test_exact_sum_of_far_apart_values(spark):
+    def total(values):
+        df = spark.createDataFrame([(float(v),) for v in values], "v double")
+        return df.repartition(3).agg(exact_sum(F.col("v"))).first()[0]
+
+    assert total([1e-17] * 10) == pytest.approx(1e-16, rel=1e-14)
+    assert total([-1e-17] * 10 + [1.0, -1.0]) == pytest.approx(-1e-16, rel=1e-14)
+    assert total([1e13, 1e-20, -1e13]) == pytest.approx(1e-20, rel=1e-14)
+    assert total([2.5, -0.5, -3.0]) == -1.0
+    with pytest.raises(Exception, match="cannot sum"):
+        total([1.0, 1e30])
+
+
+def test_tiny_weights_are_not_uniform(spark):
+    df = spark.createDataFrame([(0, 1e-18), (1, 3e-18)], "idx int, raw double")
+    out = by_idx(weights.normalised("raw", "w", df))
+    np.testing.assert_allclose(out.w, [0.25, 0.75], rtol=1e-12)
+
+
 def test_unknown_method(spark):
     with pytest.raises(ValueError, match="unknown"):
         weights.sampling_weights(spark.createDataFrame(entropies(5)), "other")
@@ -221,7 +240,7 @@ def test_mix_and_next_token_loss(spark):
 def test_null_and_odd_logits(spark):
     from winnow.functions import logits as L
 
-    rows = [(0, None, 0), (1, [], 0), (2, [1.0], 0), (3, [1.0, 2.0, 3.0], 2), (4, [1.0, 2.0], 5), (5, [0.0, 0.0], None)]
+    rows = [(0, None, 0), (1, [], 0), (2, [1.0], 0), (3, [1.0, 2.0, 3.0], 2), (4, [1.0, 2.0], -100), (5, [0.0, 0.0], None)]
     df = spark.createDataFrame(rows, "n int, x array<float>, y int").coalesce(1)
     out = df.select("n", L.token_entropy(F.col("x")).alias("h"), L.token_cross_entropy(F.col("x"), F.col("y")).alias("ce"),
                     L.margin(F.col("x"), F.col("y")).alias("m")).orderBy("n").collect()
@@ -231,3 +250,29 @@ def test_null_and_odd_logits(spark):
     np.testing.assert_allclose(out[5]["h"], np.log(2), rtol=1e-10)
     pair = df.select("n", L.mix([F.col("x"), F.array(F.lit(1.0), F.lit(1.0)).cast("array<float>")]).alias("v")).orderBy("n")
     assert [r["v"] for r in pair.collect()] == [None, None, None, None, [1.0, 1.5], [0.5, 0.5]]
+
+
+def test_not_a_number_logits_stay_visible(spark):
+    nan = float("nan")
+    rows = [(0, 0, 1, [1.0, nan]), (1, 0, 1, [nan, nan]), (1, 1, 0, [1.0, 2.0]), (2, 0, -100, [nan, nan]), (2, 1, 0, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = by_idx(tokens.sample_entropy(df, prompt_len=F.lit(0))).entropy
+    assert np.isnan(found).all()
+    ce = by_idx(tokens.sample_cross_entropy(df)).ce
+    assert np.isnan(ce[0]) and np.isnan(ce[1])
+    np.testing.assert_allclose(ce[2], np.log(2))
+
+
+@pytest.mark.parametrize("label", [2, -1, -7])
+def test_label_outside_the_vocabulary_fails(spark, label):
+    df = spark.createDataFrame([(0, 0, 0, [1.0, 2.0]), (0, 1, label, [1.0, 2.0])], SCHEMA)
+    for run in (tokens.sample_cross_entropy, tokens.with_margin):
+        with pytest.raises(Exception, match="outside a vocabulary"):
+            run(df).collect()
+
+
+def test_no_cut_by_default(spark):
+    rows = [(0, p, 0, [0.0, 0.0]) for p in (8191, 8192, 20000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    labels = df.select(tokens.masked_label(F.col("pos"), F.col("label"), F.lit(1)).alias("l")).collect()
+    assert [r["l"] for r in labels] == [0, 0, 0]

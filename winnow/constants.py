@@ -42,6 +42,7 @@ UNTEMPLATED_DATASETS = ("math_10k", "gsm8k", "svamp", "mawps")
 FORMAT_PATTERN = r"^<think>.*?</think>\s*<answer>.*?\\boxed\{.*?\}.*?</answer>$"
 FORMAT_SCORE = 0.25
 HEAD_ROWS = 1000
+BOXED_PATTERN = r"\\boxed\{([^{}]+(?:\{[^{}]*\}[^{}]*)*)\}"
 
 # --- fixed values: benchmarks ----------------------------------------------------------------
 QUESTION_FIELDS = ("question", "instruction", "problem", "input", "original_text", "prompt")
@@ -86,7 +87,6 @@ CHOICE_LETTERS = ("A", "B", "C", "D", "E")
 
 # --- fixed values: tokens and weights --------------------------------------------------------
 IGNORED_LABEL = -100
-MAX_TOKENS = 8192
 ENTROPY_EPS = 1e-12
 ADA_EPS = 1e-12
 BROWN_EPS = 1e-8

@@ -61,7 +61,7 @@ def with_question(
 
     The prompt is plain text, one message, or a list of messages, the last two as JSON text. List
     items may be JSON text themselves. Exactly one user message must remain; a missing role means
-    user. `require_user_only` refuses any other message.
+    user, an explicit null does not. `require_user_only` refuses any other message.
     """
     prompt, kind = F.col(value), F.col("_kind")
     rows = stage(df, _kind=_kind(prompt))
@@ -82,7 +82,13 @@ def with_question(
             ),
         ),
     )
-    users = F.filter("_messages", lambda m: F.coalesce(m["role"], F.lit("user")) == "user")
+
+    def is_user(message: Column, place: Column) -> Column:
+        keys = F.json_object_keys(F.get("_items", place))
+        absent = F.when(~F.array_contains(keys, "role"), F.lit("user"))
+        return F.coalesce(message["role"], absent) == "user"
+
+    users = F.filter("_messages", is_user)
     rows = stage(rows, _users=users)
     n_users, structured = F.size("_users"), F.col("_items").isNotNull()
     problem = F.when(structured & ~F.col("_valid"), F.lit("invalid message"))

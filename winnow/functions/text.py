@@ -51,17 +51,58 @@ def answer_choice(c: Column) -> Column:
     return F.upper(F.coalesce(last(boxed), last(stated)))
 
 
-def boxed_pattern(depth: int) -> str:
-    """Pattern of a boxed value whose braces nest up to `depth` levels."""
-    inner = r"[^{}]*"
-    for _ in range(depth - 1):
-        inner = r"[^{}]*(?:\{" + inner + r"\}[^{}]*)*"
-    return r"\\boxed\{([^{}]+(?:\{" + inner + r"\}[^{}]*)*)\}"
+def answer_boxed(c: Column) -> Column:
+    """Last boxed value whose braces nest one level at most, stripped."""
+    return strip(last(all_matches(c, K.BOXED_PATTERN, 1)))
 
 
-def answer_boxed(c: Column, depth: int = 1) -> Column:
-    """Last boxed value, stripped."""
-    return strip(last(all_matches(c, boxed_pattern(depth), 1)))
+def last_box(c: Column) -> Column:
+    """Value of the box that closes last, with braces nested to any depth, stripped.
+
+    One pass over the signs from the first box on. Boxes still open are kept on a stack, so one that
+    never closes hides none inside it. An empty box counts for nothing; null when there is no box.
+    """
+    head = "\\boxed{"
+    first = F.locate(head, c)
+    tail = F.when(first > 0, F.substring(c, first, F.length(c)))
+    tokens = all_matches(tail, r"\\boxed\{|[^{}\\]+|[{}\\]")
+    kind = "struct<at:int,depth:int,open:array<struct<at:int,depth:int>>,first:int,end:int>"
+    nothing = F.array().cast("array<struct<at:int,depth:int>>")
+
+    def state(at, depth, opened, begin, end) -> Column:
+        return F.struct(
+            at.cast("int").alias("at"),
+            depth.cast("int").alias("depth"),
+            opened.alias("open"),
+            begin.cast("int").alias("first"),
+            end.cast("int").alias("end"),
+        ).cast(kind)
+
+    def step(s: Column, token: Column) -> Column:
+        at, depth, opened = s["at"] + F.length(token), s["depth"], s["open"]
+        box = F.struct(at.cast("int").alias("at"), (depth + 1).cast("int").alias("depth"))
+        inner = F.try_element_at(opened, F.lit(-1))
+        filled = s["at"] > inner["at"]
+        closed = state(
+            at,
+            depth - 1,
+            F.slice(opened, F.lit(1), F.greatest(F.size(opened) - 1, F.lit(0))),
+            F.when(filled, inner["at"]).otherwise(s["first"]),
+            F.when(filled, s["at"]).otherwise(s["end"]),
+        )
+        return (
+            F.when(token == head, state(at, depth + 1, F.concat(opened, F.array(box)), s["first"], s["end"]))
+            .when(token == "{", state(at, depth + 1, opened, s["first"], s["end"]))
+            .when((token == "}") & (inner["depth"] == depth), closed)
+            .when(token == "}", state(at, depth - 1, opened, s["first"], s["end"]))
+            .otherwise(state(at, depth, opened, s["first"], s["end"]))
+        )
+
+    def value(s: Column) -> Column:
+        return F.when(s["end"] > s["first"], F.substring(tail, s["first"] + 1, s["end"] - s["first"]))
+
+    zero = F.lit(0)
+    return strip(F.aggregate(tokens, state(zero, zero, nothing, zero, zero), step, value))
 
 
 def answer_choices(c: Column) -> Column:

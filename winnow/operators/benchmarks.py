@@ -201,18 +201,21 @@ def fingerprint(df: DataFrame, *, position: str, question: str, answer: str) ->
     """One row that changes with any pair and with the order, computed by partial aggregation.
 
     Each row hashes its position together with its pair; count, xor and sum of the hashes do not
-    depend on how rows are distributed.
+    depend on how rows are distributed. Every value is led by its length, and a null is a dash, so
+    that different rows never hash the same text.
     """
-    pair = F.concat_ws(
-        "\x1f", F.col(position).cast("string"), X.strip(F.col(question)), X.strip(F.col(answer))
-    )
-    digest = F.md5(pair.cast("binary"))
+
+    def sized(c: Column) -> Column:
+        return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+
+    values = (F.col(position).cast("string"), X.strip(F.col(question)), X.strip(F.col(answer)))
+    digest = F.md5(F.concat(*(sized(v) for v in values)).cast("binary"))
     high = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
     low = F.conv(F.substring(digest, 16, 8), 16, 10).cast("bigint")
     return df.select(high.alias("high"), low.alias("low")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.bit_xor("high").alias("hash_xor"),
-        F.sum("low").alias("hash_sum"),
+        F.sum(F.col("low").cast("decimal(20,0)")).cast("decimal(38,0)").alias("hash_sum"),
     )
 
 

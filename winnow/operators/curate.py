@@ -18,7 +18,8 @@ DENIED = "denied"
 FORMAT = "format"
 NO_REFERENCE = "no_reference"
 INCORRECT = "incorrect"
-REASONS = (STRUCTURAL, DENIED, FORMAT, NO_REFERENCE, INCORRECT)
+UNDECIDED = "undecided"
+REASONS = (STRUCTURAL, DENIED, FORMAT, NO_REFERENCE, INCORRECT, UNDECIDED)
 
 
 def is_structural(messages: Column) -> Column:
@@ -76,8 +77,9 @@ def with_drop_reason(
 
 
 def _reason(early: Column, right: Column) -> Column:
-    """The early reason, else `incorrect` for an answer that is not known to be right."""
-    return F.coalesce(early, F.when(~F.coalesce(right, F.lit(False)), F.lit(INCORRECT)))
+    """The early reason, else `incorrect` for a wrong answer, `undecided` where no check could tell."""
+    late = F.when(right.isNull(), F.lit(UNDECIDED)).when(~right, F.lit(INCORRECT))
+    return F.coalesce(early, late)
 
 
 def kept(df: DataFrame, reason: str = "reason") -> DataFrame:
@@ -102,6 +104,6 @@ def indexed(df: DataFrame, *order: str) -> DataFrame:
     return dense_index(df, *SCAN_ORDER).drop(*SCAN_ORDER)
 
 
-def head(df: DataFrame, rows: int = K.HEAD_ROWS) -> DataFrame:
+def head(df: DataFrame, rows: int) -> DataFrame:
     """The first rows of an indexed table: a filter, no sort."""
     return df.where(F.col("idx") < rows)

@@ -9,7 +9,6 @@ from winnow.functions import grading as G
 from winnow.functions import text as X
 from winnow.functions.stage import stage
 
-_BOXED_DEPTH = 3
 _ANY_MATH = r"\\boxed|\$|\\\(|\\\["
 
 
@@ -21,10 +20,10 @@ def with_math_verdict(
     The last boxed value is compared with gold, as normalised text and as a number. Blank gold is
     null. A response with neither a box nor any math delimiter holds no answer and is false.
     """
-    boxed = X.answer_boxed(F.col(prediction), _BOXED_DEPTH)
+    rows = stage(df, _mv_box=X.last_box(F.col(prediction)))
     rows = stage(
-        df,
-        _mv_pred=G.without_assignment(G.normal_math(boxed)),
+        rows,
+        _mv_pred=G.without_assignment(G.normal_math(F.col("_mv_box"))),
         _mv_gold=G.without_assignment(G.normal_math(G.without_dollars(F.col(gold)))),
     )
     pred, truth = F.col("_mv_pred"), F.col("_mv_gold")
@@ -34,7 +33,7 @@ def with_math_verdict(
         .when(no_answer, F.lit(False))
         .otherwise(G.math_equal(truth, pred, G.math_number(truth), G.math_number(pred)))
     )
-    return stage(rows, **{out: verdict}).drop("_mv_pred", "_mv_gold")
+    return stage(rows, **{out: verdict}).drop("_mv_box", "_mv_pred", "_mv_gold")
 
 
 def with_choice_verdict(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from winnow.functions import text as X
-from winnow.operators.checks import check
 from winnow.operators.skew import attach_group_stats
 
 _WORD_BITS = 62
@@ -90,6 +89,18 @@ def incomplete_prompts(
     collected index list would grow with the group.
     """
     keys = keys or ["position"]
+    facts, whole = _sample_facts(n_samples, sample)
+    groups = df.groupBy(*keys).agg(*facts)
+    return groups.where(~whole).select(
+        *keys,
+        F.col("_found").alias("n_found"),
+        F.col("_first_index").alias("first_index"),
+        F.col("_last_index").alias("last_index"),
+    )
+
+
+def _sample_facts(n_samples: int, sample: str) -> tuple[list[Column], Column]:
+    """Aggregates over a prompt's sample indices, and the test on them for exactly 0..n-1."""
     index = F.col(sample)
     words = range(0, n_samples, _WORD_BITS)
     full = [(1 << min(_WORD_BITS, n_samples - w)) - 1 for w in words]
@@ -107,18 +118,16 @@ def incomplete_prompts(
         ).alias(f"_w{w}")
         for w in words
     ]
-    groups = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_found"),
-        F.min(sample).alias("first_index"),
-        F.max(sample).alias("last_index"),
+    facts = [
+        F.count(F.lit(1)).alias("_found"),
+        F.min(sample).alias("_first_index"),
+        F.max(sample).alias("_last_index"),
         *bit,
-    )
-    whole = (F.col("n_found") == n_samples) & (F.col("first_index") == 0)
+    ]
+    whole = (F.col("_found") == n_samples) & (F.col("_first_index") == 0)
     for w, mask in zip(words, full):
         whole = whole & (F.col(f"_w{w}") == F.lit(mask).cast("bigint"))
-    return groups.where(~F.coalesce(whole, F.lit(False))).select(
-        *keys, "n_found", "first_index", "last_index"
-    )
+    return facts, F.coalesce(whole, F.lit(False))
 
 
 def wrong_candidate_counts(
@@ -129,19 +138,16 @@ def wrong_candidate_counts(
 
 
 def summary(
-    df: DataFrame, n_samples: int, *, by: list[str] | None = None, validate: bool = False
+    df: DataFrame, n_samples: int, *, by: list[str] | None = None, validate: bool = True
 ) -> DataFrame:
     """mean@n, pass@n, first-sample accuracy and counts; one row, or one per `by` group.
 
     pass@1 is given only for n = 1: the first of several samples is a diagnostic, not a pass@1 run.
-    Truncation and grader-error metrics follow when their columns exist.
+    Truncation and grader-error metrics follow when their columns exist. With `validate`, a prompt
+    whose sample indices are not exactly 0..n-1 fails the job, and so does an empty table unless
+    there are groups: no rows, no groups. Both are checked in the same aggregation.
     """
     by = by or []
-    if validate:
-        check(
-            incomplete_prompts(df, n_samples, keys=[*by, "position"]),
-            f"sample indices must be 0..{n_samples - 1}",
-        )
     right = F.coalesce(F.col("correct").cast("int"), F.lit(0))
     per_prompt = [
         F.max(right).alias("_passed"),
@@ -160,10 +166,18 @@ def summary(
     if "grader_error" in df.columns:
         per_prompt.append(F.count("grader_error").alias("_failed"))
         extra.append(F.sum("_failed").alias("grader_errors"))
-    prompts = df.groupBy(*by, "position").agg(*per_prompt)
+    facts, whole = _sample_facts(n_samples, "sample_index") if validate else ([], F.lit(True))
+    prompts = df.groupBy(*by, "position").agg(*per_prompt, *facts)
+    if validate:
+        # A filter, which column pruning cannot take away.
+        text = F.concat(
+            F.lit(f"sample indices must be 0..{n_samples - 1}: position "),
+            F.coalesce(F.col("position").cast("string"), F.lit("null")),
+        )
+        prompts = prompts.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
     n_prompts = F.count(F.lit(1))
     first = F.sum("_first") / n_prompts
-    return prompts.groupBy(*by).agg(
+    out = prompts.groupBy(*by).agg(
         n_prompts.alias("n_prompts"),
         total.alias("n_generations"),
         F.lit(n_samples).alias("n_samples"),
@@ -176,6 +190,10 @@ def summary(
         (F.sum("_passed") / n_prompts).alias("pass_at_n"),
         *extra,
     )
+    if not validate or by:
+        return out
+    nothing = F.raise_error(F.lit("no rows to summarise")).cast("boolean")
+    return out.where(F.when(F.col("n_prompts") > 0, F.lit(True)).otherwise(nothing))
 
 
 def latest_version(

@@ -12,9 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from winnow.session import materialize
 
-# Largest split table that is broadcast, about 128 TB of input at the default split size.
-MAX_SPLITS = 1_000_000
-
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -80,39 +77,27 @@ def _range_index(df: DataFrame, order: tuple[str, ...], out: str, start: int) ->
 def _scan_index(df: DataFrame, out: str, start: int) -> DataFrame:
     """Dense index in scan order: one write, one count per file split, no shuffle of rows.
 
-    Rows of a split keep their order inside one task, so a row's number is the rows of earlier
-    splits plus its place in its own. The split table grows with input bytes (one row per split,
-    128 MB each by default); it is counted before it is broadcast. If the rows were shuffled since
-    the scan, or the splits are too many, the rows are range-partitioned instead.
+    Rows are sorted inside their task first, which leaves rows that still lie as scanned where they
+    are; so a row's number is the rows of earlier splits plus its place in its own, whatever moved
+    rows within a task before. The running count over splits goes through `sorted_table`, and Spark
+    broadcasts the result, one row per split, only below its own size limit. If a split's rows were
+    spread over tasks since the scan, all rows are range-partitioned instead.
     """
-    table = materialize(df.withColumn("_rid", F.monotonically_increasing_id()), "scan")
-    splits = materialize(
-        table.groupBy("_file", "_block").agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.min("_rid").alias("_first"),
-            F.max("_rid").alias("_end"),
-            (
-                (F.min_by("_row", "_rid") != F.min("_row"))
-                | (F.max_by("_row", "_rid") != F.max("_row"))
-            ).alias("_turned"),
-        ),
-        "splits",
+    placed = df.sortWithinPartitions(*SCAN_ORDER).withColumn("_rid", F.monotonically_increasing_id())
+    table = materialize(placed, "scan")
+    splits = table.groupBy("_file", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_first"), F.max("_rid").alias("_end")
     )
-    facts = splits.agg(
-        F.count(F.lit(1)).alias("splits"),
-        F.count_if(
-            F.col("_turned") | (F.col("_end") - F.col("_first") + 1 != F.col("_n"))
-        ).alias("torn"),
-    ).first()
-    if facts["torn"] or facts["splits"] > MAX_SPLITS:
+    splits = sorted_table(splits, "_file", "_block")
+    torn = splits.where(F.col("_end") - F.col("_first") + 1 != F.col("_n"))
+    if not torn.isEmpty():
         return _range_index(table.drop("_rid"), SCAN_ORDER, out, start)
-    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select(
-        "_file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
-    )
-    index = (F.col("_before") + F.col("_rid") - F.col("_first") + start).cast("bigint")
+    sums = running_sum(splits, "_n", "_up_to").join(_before(splits, F.sum("_n")), "_part")
+    earlier = F.col("_before") + F.col("_up_to") - F.col("_n")
+    offsets = materialize(sums.select("_file", "_block", "_first", earlier.alias("_earlier")), "splits")
+    index = (F.col("_earlier") + F.col("_rid") - F.col("_first") + start).cast("bigint")
     kept = [c for c in df.columns if c != out]
-    return table.join(F.broadcast(offsets), ["_file", "_block"]).select(*kept, index.alias(out))
+    return table.join(offsets, ["_file", "_block"]).select(*kept, index.alias(out))
 
 
 def running_sum(table: DataFrame, value: str, out: str = "hi", *, key: str | None = None) -> DataFrame:

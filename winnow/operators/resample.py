@@ -16,7 +16,8 @@ MAX_HOT_ROWS = 10_000
 # Small groups sort mostly by their group number; a row's slices still fit one array.
 DRAWS_PER_GROUP = 1024
 CELLS = 4096
-SCALE = 1e12
+# Parts the total weight is cut into; a power of two, so that a draw's place is a shift.
+PARTS = 1 << 60
 
 
 def last_per_key(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:
@@ -25,6 +26,13 @@ def last_per_key(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(value, by).alias(value))
 
 
+def _one_per_key(weights: DataFrame, key: str, value: str) -> DataFrame:
+    """Key and value, failing on a key that comes twice; the join reuses this partitioning."""
+    again = F.raise_error(F.concat(F.lit(f"repeated {key}: "), F.col(key).cast("string")))
+    only = F.when(F.count(F.lit(1)) > 1, again.cast(weights.schema[value].dataType)).otherwise(F.max(value))
+    return weights.where(F.col(key).isNotNull()).groupBy(key).agg(only.alias(value))
+
+
 def join_weights(
     dataset: DataFrame,
     weights: DataFrame,
@@ -35,10 +43,13 @@ def join_weights(
 ) -> DataFrame:
     """Dataset rows with their weight: 0.0 and `missing` = true where the weight table has none.
 
-    `weights` must have one row per idx, unless `order` says which of several comes last. Only the
-    join key needs to be in `dataset`: keep wide columns for `gather`. A null idx is an error.
+    A second weight of an idx is an error, unless `order` says which of several comes last. Only
+    the join key needs to be in `dataset`: keep wide columns for `gather`. A null idx is an error.
     """
-    table = weights.select(idx, weight) if order is None else last_per_key(weights, idx, weight, *order)
+    if order is None:
+        table = _one_per_key(weights, idx, weight)
+    else:
+        table = last_per_key(weights, idx, weight, *order)
     checked = F.when(
         F.col(idx).isNull(), F.raise_error(F.lit(f"dataset row without {idx}"))
     ).otherwise(F.col(idx))
@@ -53,32 +64,37 @@ def join_weights(
 
 
 def uniform_hash(seed: int, c: Column) -> Column:
-    """Uniform double in [0, 1) from seed and counter: 52 bits of md5, the same on any cluster."""
+    """Uniform integer below 2**60 from seed and counter: bits of md5, the same on any cluster."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
+def _place(hashed: Column, total: int) -> Column:
+    """`hashed * total / 2**60`, cut to a whole number, in integers throughout."""
+    product = hashed.cast("decimal(19,0)") * F.lit(total).cast("decimal(19,0)")
+    return F.call_function("div", product, F.lit(PARTS).cast("decimal(19,0)"))
 
 
-def _parts(weight: Column, total: Column, scale: float) -> Column:
-    """Share of the total weight in whole parts of 1/scale; equal parts when nothing has weight.
+def _parts(weight: Column, total: Column) -> Column:
+    """Share of the total weight in whole parts of 2**-60; equal parts when nothing has weight.
 
-    A negative weight is an error.
+    Any positive weight gets a part at least. A negative weight is an error.
     """
     share = (
         F.when(weight < 0, F.raise_error(F.lit("negative weight")).cast("double"))
-        .when(total > 0, F.round(weight / total * scale))
+        .when(total > 0, F.when(weight > 0, F.greatest(F.round(weight / total * float(PARTS)), F.lit(1.0))).otherwise(0.0))
         .otherwise(1.0)
     )
     return share.cast("bigint")
 
 
-def quantised(df: DataFrame, *, weight: str = "sampling_weight", scale: float = SCALE) -> DataFrame:
-    """Add `q`, the share of the total weight in whole parts of 1/scale.
+def quantised(df: DataFrame, *, weight: str = "sampling_weight") -> DataFrame:
+    """Add `q`, the share of the total weight in whole parts of 2**-60.
 
-    Integer parts make every later sum exact. Above about a billion rows use scale 1e15. When no
-    weight is positive all rows get the same part.
+    Integer parts make every later sum exact. When no weight is positive all rows get the same part.
     """
     stats = df.agg(exact_sum(F.col(weight)).alias("_sum"))
-    q = _parts(F.col(weight), F.col("_sum"), scale)
+    q = _parts(F.col(weight), F.col("_sum"))
     return df.crossJoin(F.broadcast(stats)).select(*df.columns, q.alias("q"))
 
 
@@ -97,7 +113,6 @@ def weighted_draws(
     seed: int = 42,
     idx: str = "idx",
     weight: str = "sampling_weight",
-    scale: float = SCALE,
     draws_per_group: int = DRAWS_PER_GROUP,
 ) -> DataFrame:
     """Draws `(draw, idx)`: inverse-CDF match of n·multiplier uniforms to running weight.
@@ -115,7 +130,7 @@ def weighted_draws(
         F.count(F.lit(1)).alias("n"), exact_sum(F.col(weight)).alias("weight")
     ).first()
     n_new = new_size(facts["n"], multiplier)
-    q = _parts(F.col(weight), F.lit(facts["weight"] or 0.0), scale)
+    q = _parts(F.col(weight), F.lit(facts["weight"] or 0.0))
     table = table.select(idx, q.alias("q"), "_part", "_pos")
 
     # One row per range partition, so this fits the driver whatever the data.
@@ -127,7 +142,7 @@ def weighted_draws(
         [(part, n, start) for n, ((part, _), start) in enumerate(zip(masses, starts))],
         "_part bigint, part bigint, start bigint",
     )
-    width = max(1, -(-total * draws_per_group // n_new))  # weight per slice
+    width = min(total, max(1, -(-total * draws_per_group // n_new)))  # weight per slice
 
     spans = running_sum(table, "q", key=idx).where("q > 0").join(F.broadcast(offsets), "_part")
     hi = F.col("start") + F.col("hi")
@@ -140,7 +155,7 @@ def weighted_draws(
         F.lit(None).cast("bigint").alias("draw"),
         idx,
     )
-    uniform = F.floor(uniform_hash(seed, F.col("id")) * float(total)).cast("bigint")
+    uniform = _place(uniform_hash(seed, F.col("id")), total)
     # Staged, or the null checks a join infers would hash every draw again.
     probes = stage(spark.range(n_new), at=uniform).withColumnRenamed("id", "draw")
     probes = _with_part(probes, starts, total).select(

@@ -9,13 +9,14 @@ from winnow.functions import logits as L
 from winnow.functions.exact import exact_sum
 
 
-def is_answer(pos: Column, prompt_len: Column, max_tokens: int = K.MAX_TOKENS) -> Column:
-    """Positions after the prompt and before the cut."""
-    return (pos >= prompt_len) & (pos < max_tokens)
+def is_answer(pos: Column, prompt_len: Column, max_tokens: int | None = None) -> Column:
+    """Positions after the prompt, and before the cut when there is one."""
+    after = pos >= prompt_len
+    return after if max_tokens is None else after & (pos < max_tokens)
 
 
 def masked_label(
-    pos: Column, label: Column, prompt_len: Column, max_tokens: int = K.MAX_TOKENS
+    pos: Column, label: Column, prompt_len: Column, max_tokens: int | None = None
 ) -> Column:
     """Label of answer tokens, the ignored value elsewhere."""
     return F.when(is_answer(pos, prompt_len, max_tokens), label).otherwise(
@@ -30,7 +31,7 @@ def sample_entropy(
     idx: str = "idx",
     pos: str = "pos",
     logits: str = "logits",
-    max_tokens: int = K.MAX_TOKENS,
+    max_tokens: int | None = None,
     out: str = "entropy",
 ) -> DataFrame:
     """Mean entropy of the answer tokens of each sample, 0.0 when it has none.

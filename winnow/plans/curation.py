@@ -167,7 +167,7 @@ def curated_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT * FROM ({_CURATED_SQL}) WHERE idx < 1000")
 def curated_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curate.head(_curated(spark, sf_dir))
+    return curate.head(_curated(spark, sf_dir), K.HEAD_ROWS)
 
 
 # --- training pairs --------------------------------------------------------------------------------

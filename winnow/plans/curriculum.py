@@ -145,23 +145,26 @@ weighted AS (
   FROM orders LEFT JOIN ada ON o_orderkey = ada.idx
 ), q AS (
   SELECT idx, missing, CAST(round(w / (SELECT fsum(w)
-         FROM weighted) * 1e12) AS BIGINT) AS q FROM weighted
+         FROM weighted) * 1152921504606846976.0::DOUBLE) AS BIGINT) AS q FROM weighted
 )
 """
 WEIGHTED = with_ctes(S.ENTROPIES_SQL, _ADA_SQL, _WEIGHTED_SQL)
 
 
-@query(WEIGHTED + "SELECT idx, missing, q FROM q")
+@query(WEIGHTED + "SELECT idx, missing, q > 0 AS drawable, CAST(round(q / 1048576.0::DOUBLE) AS BIGINT) AS q FROM q")
 def weight_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.quantised(_weighted(spark, sf_dir)).select("idx", "missing", "q")
+    """Parts in units of 2**-40, where sums of doubles in another order agree."""
+    rows = resample.quantised(_weighted(spark, sf_dir))
+    units = F.round(F.col("q") / float(1 << 20)).cast("bigint")
+    return rows.select("idx", "missing", (F.col("q") > 0).alias("drawable"), units.alias("q"))
 
 
 _DRAWS_SQL = """
 spans AS (
   SELECT idx, q, sum(q) OVER (ORDER BY idx) - q AS lo FROM q WHERE q > 0
 ), probes AS (
-  SELECT k AS draw, CAST(floor(CAST('0x' || substr(md5('42:' || k), 1, 13) AS BIGINT)
-           / 4503599627370496.0::DOUBLE * (SELECT sum(q) FROM q)::DOUBLE) AS BIGINT) AS u
+  SELECT k AS draw, CAST(CAST('0x' || substr(md5('42:' || k), 1, 15) AS BIGINT)::HUGEINT
+           * (SELECT sum(q) FROM q)::HUGEINT // 1152921504606846976 AS BIGINT) AS u
   FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS k)
 ), draws AS (
   SELECT draw, idx FROM probes ASOF JOIN spans ON u >= lo

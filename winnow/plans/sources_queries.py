@@ -73,10 +73,10 @@ def scan_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.scan_json_document(spark, path, rows.schema)
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = datasets.read_dataset(spark, f"{sf_dir}/orders.parquet")
-    return rows.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+    return rows.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
 @query(
@@ -105,15 +105,19 @@ def file_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT count(*) AS n_rows, CAST(bit_xor(high) AS BIGINT) AS hash_xor,
-           CAST(sum(low) AS BIGINT) AS hash_sum
+           CAST(sum(low) AS VARCHAR) AS hash_sum
     FROM (SELECT CAST('0x' || substr(d, 1, 15) AS BIGINT) AS high,
                  CAST('0x' || substr(d, 16, 8) AS BIGINT) AS low
-          FROM (SELECT md5(doc_id || chr(31) || text || chr(31) || n_chars) AS d FROM documents))
+          FROM (SELECT md5(length(k) || ':' || k || coalesce(length(t) || ':' || t, '-')
+                            || coalesce(length(n) || ':' || n, '-')) AS d
+                FROM (SELECT CAST(doc_id AS VARCHAR) AS k, text AS t, CAST(n_chars AS VARCHAR) AS n
+                      FROM documents)))
     """
 )
 def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = X.table(spark, sf_dir, "documents").withColumn("answer", F.col("n_chars").cast("string"))
-    return benchmarks.fingerprint(docs, position="doc_id", question="text", answer="answer")
+    rows = benchmarks.fingerprint(docs, position="doc_id", question="text", answer="answer")
+    return rows.withColumn("hash_sum", F.col("hash_sum").cast("string"))
 
 
 @query(
