@@ -127,15 +127,19 @@ def test_sinks(spark, tmp_path):
     assert len(sinks.preview(df)) == 2
 
 
+DECODING = {"temperature": 0.6, "stop": ["a", "b"], "scorer": {"name": "n", "limit": 20}}
+
+
 def test_summary_sink(spark, tmp_path):
     from winnow.operators import metrics
 
     graded = spark.createDataFrame([(0, 0, 1), (0, 1, 0)], "position int, sample_index int, correct int")
     named = sinks.named_metrics(metrics.summary(graded, 2), 2)
-    sinks.write_summary(sinks.with_provenance(named, model="m", seed=42), str(tmp_path / "s"))
+    sinks.write_summary(sinks.with_provenance(named, model="m", seed=42, decoding=DECODING), str(tmp_path / "s"))
     (part,) = [f for f in os.listdir(tmp_path / "s") if f.startswith("part")]
     row = json.loads((tmp_path / "s" / part).read_text())
     assert (row["mean_at_2"], row["pass_at_2"], row["acc"], row["total"], row["orig_total"]) == (0.5, 1.0, 0.5, 2, 1)
+    assert row["decoding"] == DECODING
     assert row["pass_at_1"] is None and row["model"] == "m" and row["timestamp_utc"].startswith("20")
 
 

@@ -11,6 +11,8 @@ from winnow.functions.messages import first_content
 from winnow.operators import curate, pairs
 from winnow.plans import fixtures as S
 from winnow.plans.registry import query, with_ctes
+from winnow.session import shared_path
+from winnow.sources import jsonl, sinks
 
 RAW = with_ctes(S.GENERATIONS_SQL, S.RAW_CHAT_SQL)
 TURNS = with_ctes(S.FIRST_TURNS_SQL)
@@ -165,6 +167,14 @@ def curated_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _curated(spark, sf_dir)
 
 
+@query(_CURATED_SQL)
+def curated_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The indexed records as JSON lines, read back."""
+    rows, path = _curated(spark, sf_dir), shared_path(spark, "curated")
+    sinks.write_jsonl(rows, path)
+    return jsonl.scan_jsonl_strict(spark, path, rows.schema)
+
+
 @query(f"SELECT * FROM ({_CURATED_SQL}) WHERE idx < 1000")
 def curated_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.head(_curated(spark, sf_dir), K.HEAD_ROWS)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from winnow import schemas
 from winnow.operators import entropy, resample, tokens, weights
+from winnow.operators.ordering import SCAN_ORDER, dense_index, with_scan_order
 from winnow.plans import fixtures as S
 from winnow.plans.registry import query, with_ctes
+from winnow.session import shared_path
+from winnow.sources import jsonl, sinks
 
 ENTROPIES = with_ctes(S.ENTROPIES_SQL)
 
@@ -249,6 +253,19 @@ def entropy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("idx", F.round("entropy_0", 9).alias("entropy_0")).orderBy("idx")
 
 
+@query(
+    LOGITS
+    + f"""SELECT idx, entropy AS entropy_0, row_number() OVER (ORDER BY idx) - 1 AS place
+          FROM ({_ENTROPY_SQL})"""
+)
+def entropy_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written in order of idx; read back and numbered by file and line."""
+    path = shared_path(spark, "entropies")
+    sinks.write_sorted_jsonl(entropy_table(spark, sf_dir), path)
+    scan = jsonl.scan_jsonl_strict(spark, path, schemas.entropy_schema("entropy_0"))
+    return dense_index(with_scan_order(scan), *SCAN_ORDER, out="place").drop(*SCAN_ORDER)
+
+
 _CE_SQL = """
 SELECT idx, coalesce(avg(norm - logits[label + 1]) FILTER (WHERE pos >= 2), 0) AS ce
 FROM norms GROUP BY idx

@@ -10,7 +10,7 @@ from winnow.plans.registry import query
 from winnow.session import shared_path
 from winnow.sources import checksums, datasets, jsonl, sinks
 
-DOCUMENT_ROWS = 10_000
+DOCUMENT_ROWS = 100
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
@@ -61,7 +61,7 @@ def scan_jsonl_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, p_name, p_size FROM part")
 def scan_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of at most 10,000 rows each, top-level array or wrapped in `data` by turns."""
+    """Documents of at most 100 rows each, top-level array or wrapped in `data` by turns."""
     rows = X.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     block = F.expr(f"p_partkey div {DOCUMENT_ROWS}")
     array = F.to_json(F.collect_list(F.struct(*rows.columns)))

@@ -62,8 +62,9 @@ def read_entropy_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         if not exists(spark, path):
             warnings.warn(f"entropy file not found, skipped: {path}", stacklevel=2)
             continue
-        scan = jsonl.scan_jsonl_strict(spark, path, schemas.entropy_schema(field))
-        tables.append(scan.withColumn("_line", F.monotonically_increasing_id()))
+        scan = with_scan_order(jsonl.scan_jsonl_strict(spark, path, schemas.entropy_schema(field)))
+        # By file name, then line: the number of a row alone follows the packing of splits.
+        tables.append(scan.withColumn("_line", F.struct(*SCAN_ORDER)).drop(*SCAN_ORDER))
     if not tables:
         raise FileNotFoundError(f"none of the entropy files exists: {list(paths)}")
     return entropy.merge_entropies(tables, line="_line")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from winnow.operators.checks import ValidationError
@@ -40,10 +42,12 @@ def write_detail_csv(df: DataFrame, path: str, *, overwrite: bool = False) -> No
 
 
 def with_provenance(summary: DataFrame, **fields: object) -> DataFrame:
-    """Add provenance values and the time of the run to a summary row."""
+    """Add provenance values and the time of the run to a summary row; lists and dicts stay nested."""
     rows = summary
     for name, value in fields.items():
-        rows = rows.withColumn(name, F.lit(value))
+        text = F.lit(json.dumps(value))
+        nested = isinstance(value, (dict, list))
+        rows = rows.withColumn(name, F.from_json(text, F.schema_of_json(text)) if nested else F.lit(value))
     return rows.withColumn("timestamp_utc", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
 
 
