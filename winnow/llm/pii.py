@@ -4,19 +4,23 @@ Patterns find e-mail addresses, IP addresses, card numbers (16 to 19 digits that
 numbers (8 to 15 digits), leftmost first, per kind. Each is written so that a long run without a
 match costs linear time.
 
-What the patterns find are the protected entities. The words that stand within `REACH` words of one
-are terms under test. Over the whole corpus, with a document as the unit, the disclosure of an entity
-e by a term t is their pointwise mutual information over the entity's information content:
+What the patterns find are the protected entities. All words of a text that holds one, outside the
+findings themselves, are terms under test, of any length. Over the whole corpus, with a row as the
+unit, the disclosure of an entity e by a term t is their pointwise mutual information over the
+entity's information content:
 
     log(N * df(t, e) / (df(t) * df(e))) / log(N / df(e))
 
-1 means that every document with the term has the entity beside it; 0 that they are independent
-(after Sanchez and Batet, "C-sanitized", 2016). A term is judged once it is seen beside the entity in
-`SUPPORT` different contexts, so that copies of one sentence are no evidence. From GENERALISE on a
-term is replaced by its class, from REMOVE on it is taken out; base findings always stay. Where it is
-sanitised, a term goes at the places where it stands beside the entity.
+1 means that every row with the term holds the entity; 0 that they are independent (after Sanchez and
+Batet, "C-sanitized", 2016). A term is judged once it is seen with the entity in `SUPPORT` different
+texts: in fewer, each word that occurs once would be evidence, and so would copies of one text. From
+GENERALISE on a term is replaced by its class, from REMOVE on it is taken out; base findings always
+stay. A term goes at all its places in the texts that hold an entity it discloses, and stays in texts
+that hold none of them.
 
-Rows and counts stay proportional to the mentions: no pairs are built beyond a mention's neighbours.
+An entity of fewer than `SUPPORT` texts has no terms to judge, so its texts are not cut into words; no
+result changes by that. Counts are partial sums per (entity, term), one row each per task; joins on an
+entity are salted. Rows in between are, for a text, its words times its entities of enough texts.
 Document counts of all words are summed in each task before they are shuffled.
 
 Null and empty texts have no findings. Repeated rows get equal rows each, and rows with equal ids and
@@ -36,11 +40,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from winnow.llm.common import lower_ascii, materialize, parts
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 6
 SUPPORT = 3
 GENERALISE = 0.75
 REMOVE = 0.9
-MIN_TERM = 3
+SALTS = 16  # an entity's rows are dealt to so many groups
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -105,57 +108,48 @@ def entity(kind: str, found: str) -> str:
     return hashlib.sha256(f"{kind}:{value}".encode()).hexdigest()[:32]
 
 
-def neighbours(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, str, int, int, str]]:
-    """(entity, term, start, end, context) for the words beside each finding; words of findings are no terms."""
-    for kind, start, end in spans:
-        words: list[re.Match] = []
-        # Six words need at most a few hundred characters; the range grows until it holds them.
-        for side in (-1, 1):
-            width, edge = 128, False
-            while True:
-                lo, hi = (max(0, start - width), start) if side < 0 else (end, min(len(text), end + width))
-                edge = lo == 0 if side < 0 else hi == len(text)
-                found = list(_WORDS.finditer(text, lo, hi))
-                if edge or len(found) > REACH:
-                    break
-                width *= 2
-            words += found[-REACH:] if side < 0 else found[:REACH]
-        words = [m for m in words if not any(m.start() < b and a < m.end() for _, a, b in spans)]
-        context = hashlib.sha256(" ".join(m[0].translate(_LOWER) for m in words).encode("utf-8", "replace")).hexdigest()[:32]
-        name = entity(kind, text[start:end])
-        for m in words:
-            if len(m[0]) >= MIN_TERM:
-                yield name, m[0].translate(_LOWER), m.start(), m.end(), context
+def outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(word in lower case, start, end) of the words that no finding touches, in order."""
+    cuts = sorted((a, b) for _, a, b in spans)
+    at, reach = 0, -1
+    for m in _WORDS.finditer(text):
+        start, end = m.span()
+        while at < len(cuts) and cuts[at][0] < end:
+            reach = max(reach, cuts[at][1])
+            at += 1
+        if start >= reach:
+            yield m[0].translate(_LOWER), start, end
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+_SPOTS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("remove", pa.bool_())]))
+_SPOTS_DDL = "array<struct<start:bigint,end:bigint,remove:boolean>>"
+
+
 def scan(docs: DataFrame, id_col: str) -> DataFrame:
-    """Per row: id, th (hash of the text), base findings, mentions with their neighbours."""
+    """Per row: id, th (hash of the text), base findings, entities, and the text if it holds any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in parts(b)):
-            bases, mentions = [], []
+            bases, entities, held = [], [], []
             for text in batch["text"]:
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 bases.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                mentions.append(
-                    [dict(zip(("entity", "term", "start", "end", "context"), m)) for m in neighbours(text, spans)]
-                )
+                entities.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
+                held.append(text if spans else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["id"],
                     batch["th"],
                     pa.array(bases, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array(
-                        mentions,
-                        pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("context", pa.string())])),
-                    ),
+                    pa.array(entities, pa.list_(pa.string())),
+                    pa.array(held, pa.string()),
                 ],
-                names=["id", "th", "base", "mentions"],
+                names=["id", "th", "base", "entities", "held"],
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), "text")
@@ -163,30 +157,58 @@ def scan(docs: DataFrame, id_col: str) -> DataFrame:
     return rows.mapInArrow(
         run,
         f"id {kind}, th bigint, base array<struct<kind:string,start:bigint,end:bigint>>, "
-        "mentions array<struct<entity:string,term:string,start:bigint,end:bigint,context:string>>",
+        "entities array<string>, held string",
     )
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
+def _salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+
+def _salt(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def tested_texts(scanned: DataFrame) -> DataFrame:
+    """Per different text with entities of `SUPPORT` texts or more: th, number of rows, text,
+    those entities with their row counts, distinct terms."""
+    texts = scanned.where("held is not null").groupBy("th")
+    texts = texts.agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("held").alias("text"))
+    texts = materialize(texts, "pii-texts")
+    each = texts.select("th", "n", F.explode("entities").alias("entity"))
+    often = each.groupBy("entity").agg(F.sum("n").alias("with_entity"), F.count(F.lit(1)).alias("texts"))
+    often = materialize(often.where(F.col("texts") >= SUPPORT).select("entity", "with_entity"), "pii-entities")
+    of = each.select("th", "entity", _salt(F.col("th"))).join(often.select("*", _salts()), ["entity", "salt"])
+    of = of.groupBy("th").agg(F.collect_list(F.struct("entity", "with_entity")).alias("of"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in parts(b)):
+            terms = [sorted({w for w, _, _ in outside(t, base_spans(t))}) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(terms, pa.list_(pa.string()))], names=[*batch.schema.names, "terms"])
+
+    rows = texts.join(of, "th").select("th", "n", "text", "of")
+    kind = "th bigint, n bigint, text string, of array<struct<entity:string,with_entity:bigint>>, terms array<string>"
+    return materialize(rows.mapInArrow(run, kind), "pii-words")
+
+
+def _pairs(texts: DataFrame) -> DataFrame:
+    pairs = texts.select("th", "n", F.explode("of").alias("e"), "terms")
+    return pairs.select("th", "n", "e.entity", "e.with_entity", F.explode("terms").alias("term"))
+
+
+def disclosing(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(entity, term, disclosure) for terms with support whose disclosure reaches GENERALISE."""
-    mentions = scanned.select("id", "th", F.explode("mentions").alias("m")).select(
-        "id", "th", "m.entity", "m.term", "m.context"
-    )
-    contexts = mentions.select("entity", "term", "context").distinct()
-    support = contexts.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("support"))
-    tested = materialize(support.where(F.col("support") >= SUPPORT), "pii-tested")
-    empty = tested.select("entity", "term", F.lit(0.0).alias("disclosure")).where("false")
+    pair = _pairs(texts).groupBy("entity", "with_entity", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("support"))
+    tested = materialize(pair.where(F.col("support") >= SUPPORT), "pii-tested")
     if tested.isEmpty():
-        return empty
+        return tested.select("entity", "term", F.lit(0.0).alias("disclosure"))
     total = docs.count()
-    pair = mentions.select("id", "th", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
-    holder = mentions.select("id", "th", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
     words = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(_WORD), F.lit(0)))
     # Counted before the join, so that what crosses the shuffle is the vocabulary, whatever terms are tested.
     counted = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     # An inner join: a semi join would be moved below the sum.
     seen = counted.join(materialize(tested.select("term").distinct(), "pii-terms"), "term")
-    rows = tested.join(pair, ["entity", "term"]).join(holder, "entity").join(seen, "term")
+    rows = tested.join(seen, "term")
     information = F.log(F.lit(float(total)) / F.col("with_entity"))
     mutual = F.log(F.lit(float(total)) * F.col("together") / (F.col("with_term") * F.col("with_entity")))
     rows = rows.where(information > 0).select("entity", "term", (mutual / information).alias("disclosure"))
@@ -195,15 +217,28 @@ def disclosing(docs: DataFrame, scanned: DataFrame) -> DataFrame:
 
 def term_spans(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """Per row with such terms: id, th, terms (start, end, remove), in order."""
-    flagged = materialize(disclosing(docs, scanned), "pii-flagged")
-    mentions = scanned.select("id", "th", F.explode("mentions").alias("m")).select("id", "th", "m.*")
-    hits = mentions.join(flagged, ["entity", "term"])
-    hits = hits.groupBy("id", "th", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    spot = F.struct("start", "end", (F.col("disclosure") >= REMOVE).alias("remove"))
-    return materialize(
-        hits.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_set(spot)).alias("terms")),
-        "pii-spans",
-    )
+    texts = tested_texts(scanned)
+    flagged = materialize(disclosing(docs, texts), "pii-flagged")
+    hits = _pairs(texts).select("th", "entity", "term", _salt(F.col("th")))
+    hits = hits.join(flagged.select("*", _salts()), ["entity", "term", "salt"])
+    hits = hits.groupBy("th", "term").agg((F.max("disclosure") >= REMOVE).alias("remove"))
+    hits = hits.groupBy("th").agg(F.collect_list(F.struct("term", "remove")).alias("flagged"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (p for b in batches for p in parts(b)):
+            spots = []
+            for text, found in zip(batch["text"].to_pylist(), batch["flagged"].to_pylist()):
+                remove = {f["term"]: f["remove"] for f in found}
+                places = ((a, b, remove[w]) for w, a, b in outside(text, base_spans(text)) if w in remove)
+                spots.append([dict(zip(("start", "end", "remove"), p)) for p in places])
+            yield pa.RecordBatch.from_arrays([batch["th"], pa.array(spots, _SPOTS)], names=["th", "terms"])
+
+    places = texts.select("th", "text").join(hits, "th").select("th", "text", "flagged")
+    places = places.mapInArrow(run, f"th bigint, terms {_SPOTS_DDL}")
+    # A text that very many rows hold is dealt to several groups by the rows' ids.
+    rows = scanned.where("held is not null").select("id", "th").distinct().select("id", "th", _salt(F.col("id")))
+    rows = rows.join(places.select("*", _salts()), ["th", "salt"])
+    return materialize(rows.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "terms"), "pii-spans")
 
 
 def findings(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
@@ -211,7 +246,7 @@ def findings(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     scanned = materialize(scan(docs, id_col), "pii-scan")
     terms = term_spans(docs, scanned)
     rows = scanned.join(terms, scanned["id"].eqNullSafe(F.col("_id")) & scanned["th"].eqNullSafe(F.col("_th")), "left")
-    none = F.array().cast("array<struct<start:bigint,end:bigint,remove:boolean>>")
+    none = F.array().cast(_SPOTS_DDL)
     return rows.select(F.col("id").alias(id_col), "base", F.coalesce("terms", none).alias("terms"))
 
 
