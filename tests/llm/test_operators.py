@@ -351,6 +351,38 @@ def test_automaton_counts_greedy_pieces(spark):
     assert rows[4].n_tokens >= 3000
 
 
+def test_end_mark_is_one_sign_with_the_last(spark):
+    def brute(word, vocabulary):
+        count = at = 0
+        while at < len(word):
+            rest = word[at:] + "</w>"
+            # A token with the mark closes a word; its signs match none inside.
+            inside = (e for e in range(len(word) - 1, at, -1) if word[at:e] in vocabulary and not word[at:e].endswith("</w>"))
+            end = len(word) if rest in vocabulary else next(inside, None)
+            if end is None:
+                return 1
+            count, at = count + 1, end
+        return count
+
+    rng = np.random.default_rng(12)
+    for _ in range(60):
+        vocabulary = {"".join(rng.choice(list("ab</w>"), rng.integers(1, 6))) for _ in range(rng.integers(1, 25))}
+        vocabulary = {v for v in vocabulary if not v.endswith("</w>")} | {*"</w>"} | {"</w>"}
+        vocabulary |= {v + "</w>" for v in rng.choice(sorted(vocabulary), 12)}
+        automaton = tokencount.Automaton(vocabulary, end="</w>")
+        for _ in range(60):
+            word = "".join(rng.choice(list("ab</w>"), rng.integers(1, 12)))
+            assert automaton.count(tokencount.closed(word, "</w>")) == brute(word, vocabulary), (word, vocabulary)
+    tokens = tokencount.read_tokens(tokencount.VOCABULARY)
+    counting = tokencount.Counting(tokens, tokencount.WORD, tokencount.END)
+    assert [counting.of_word(w) for w in ("für", "thre", "the")] == [3, 2, 1]
+    known = set(tokens)
+    alphabet = tokencount.byte_alphabet()
+    for word in {w.lower() for w in re.findall(r"\w+", LONG + " für thre naïve größe überall entreprise ñandú")}:
+        if word.isalpha():
+            assert counting.of_word(word) == brute("".join(alphabet[b] for b in word.encode()), known), word
+
+
 def test_urls(spark):
     given = [
         (1, "http://www.Example.com/en/1"),

@@ -7,8 +7,11 @@ character; pieces are never built. A word that the vocabulary cannot spell count
 token.
 
 A text is cut into words by a pattern (runs of letters, single digits, runs of other signs, in lower
-case by default), each word's UTF-8 bytes are spelt in the vocabulary's byte alphabet and closed by
-its end-of-word mark. Counts of words seen before are kept in a table of at most `CACHE` words per
+case by default) and each word's UTF-8 bytes are spelt in the vocabulary's byte alphabet. The last sign
+of a word carries the end-of-word mark, and the two are one sign, in the vocabulary as in the word: the
+signs of the mark match no text. So the piece that ends a word is one with the mark; where the longest
+piece would reach the word's end without it, the longest that leaves a rest is taken, and a word that
+no piece with the mark can close is unknown, one token. Counts of words seen before are kept in a table of at most `CACHE` words per
 task, emptied when full.
 
 Null and empty texts have 0 tokens. A long word costs time linear in its length. Repeated rows get a
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter, deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 import regex
@@ -41,15 +44,21 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def closed(word: str, end: str) -> Sequence[str]:
+    """The signs of a word, the end mark and the last sign as one."""
+    return [*word[:-1], word[-1] + end] if word and end else word
+
+
 class Automaton:
     """Trie with failure links and popped-token counts. Node 0 is the start of a word; `rest` the
-    start of what follows a token, which differs where continuations carry a mark such as `##`."""
+    start of what follows a token, which differs where continuations carry a mark such as `##`. Tokens
+    that carry the mark `end` hold it as part of their last sign."""
 
-    def __init__(self, tokens: Iterable[str], continuation: str = "") -> None:
+    def __init__(self, tokens: Iterable[str], continuation: str = "", end: str = "") -> None:
         self.next: list[dict[str, int]] = [{}]
         token = [False]
 
-        def add(root: int, word: str) -> None:
+        def add(root: int, word: Sequence[str]) -> None:
             node = root
             for sign in word:
                 if sign not in self.next[node]:
@@ -64,12 +73,15 @@ class Automaton:
             self.rest = 1
             self.next.append({})
             token.append(False)
+        def signs(word: str) -> Sequence[str]:
+            return closed(word.removesuffix(end), end) if end and word.endswith(end) else word
+
         for word in tokens:
             if continuation and word.startswith(continuation):
                 if word != continuation:
-                    add(self.rest, word[len(continuation) :])
-            elif word:
-                add(0, word)
+                    add(self.rest, signs(word[len(continuation) :]))
+            elif word != end:
+                add(0, signs(word))
         self.fail: list[int] = [-1] * len(self.next)
         self.popped: list[int] = [0] * len(self.next)
         queue = deque({0, self.rest})
@@ -87,7 +99,7 @@ class Automaton:
                 if at >= 0:
                     self.fail[node], self.popped[node] = self.next[at][sign], count
 
-    def count(self, word: str) -> int:
+    def count(self, word: Sequence[str]) -> int:
         """Number of greedy longest-match pieces; 1 when the word cannot be spelt, 0 when empty."""
         if not word:
             return 0
@@ -117,7 +129,7 @@ def read_tokens(path: str) -> list[str]:
 
 class Counting:
     def __init__(self, tokens: list[str], pattern: str, end: str) -> None:
-        self.automaton = Automaton(tokens)
+        self.automaton = Automaton(tokens, end=end)
         self.word, self.end = regex.compile(pattern), end
         self.alphabet = byte_alphabet()
         self.known: dict[str, int] = {}
@@ -126,7 +138,7 @@ class Counting:
         found = self.known.get(word)
         if found is None:
             spelt = "".join(map(self.alphabet.__getitem__, word.encode("utf-8", "replace")))
-            found = self.automaton.count(spelt + self.end)
+            found = self.automaton.count(closed(spelt, self.end))
             if len(self.known) >= CACHE:
                 self.known.clear()
             self.known[word] = found
