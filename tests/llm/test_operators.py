@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +194,25 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert [g[2] for g in got if g[0] is None] == [0]
 
 
+def test_suffix_dedup_deals_strings_of_hot_anchors(spark):
+    shared = prose(61, 60)
+    rows = [(i, f"{prose(i + 2000, 12)} {shared[: 200 + i]} {prose(i + 2500, 9)}") for i in range(60)]
+    rows += [(100, "one line of text, again. " * 60), (101, "one line of text, again. " * 40), (60, rows[3][1]), (7, prose(70, 30) + shared)]
+    docs = docs_of(spark, [*TEXTS, *((d + 50, t) for d, t in rows)])
+    whole = sorted(map(tuple, suffixes.remove_repeats(docs, hot=1 << 40).collect()), key=repr)
+    for hot in (0, 3, 40):
+        assert sorted(map(tuple, suffixes.remove_repeats(docs, hot=hot).collect()), key=repr) == whole
+    # What a bucket of anchors gets of the passage that all share.
+    texts = pa.table({"id": [d for d, _ in rows], "th": [0] * len(rows), "text": [t for _, t in rows], "copy": [False] * len(rows)})
+    packed = pa.Table.from_batches(list(suffixes.anchor_rows(1)(iter(texts.to_batches()))))
+    sizes = []
+    for hot in (1 << 40, 8):
+        told = suffixes.shared_rows(1, hot)((0,), packed)
+        runs = suffixes.run_rows(1)((pa.scalar(0),), texts, told).to_pylist()
+        sizes.append(sum(len(r["ids"]) // 8 for r in runs if r["bucket"] == 0))
+    assert sizes[0] > 300 and sizes[1] < sizes[0] / 4
+
+
 def test_loser_tree_merges_front_coded_runs():
     rng = np.random.default_rng(3)
     runs = []

@@ -13,11 +13,16 @@ comparing only where their anchors are equal.
    tree that keeps the prefix known to be shared with the last suffix put out, so known prefixes are
    not compared again; equal suffixes meet, and anchors of one document fall away. Then the strings
    around the anchors that are left are matched and the smallest id that holds each is found.
+   Anchors with more than `HOT` occurrences go another way, so that no bucket holds all of them: the
+   documents' groups hash the strings around them and reduce them to the smallest id of each string;
+   buckets of string hashes take the minimum of those and send it back to the groups that have a
+   larger one, which then hash the strings again and compare.
 4. Strings whose smallest id is below their document's mark its bytes.
 
 Texts are dealt to as many groups as there are shuffle partitions, once; steps 3 and 4 read the same
 exchange. Packed rows bound the number of shuffled rows; an anchor that very many documents share
-costs a few dozen bytes for each.
+costs the bucket of step 2 a few dozen bytes for each, and a hot string the bucket of its hash 16
+bytes for each group of documents.
 
 Null and empty texts have no bytes: nothing is removed. Texts below 50 bytes lose nothing. Repeated
 rows (equal ids) do not count as earlier documents of each other. Rows with a null id are left as
@@ -41,7 +46,8 @@ LENGTH = 50
 GRAM = 20
 CHUNK = 1 << 22
 PACK = 1 << 18  # anchors held before they are sent
-STRINGS = 1 << 19  # strings matched at a time, unless one anchor has more
+STRINGS = 1 << 19  # strings matched at a time, besides those of one anchor, which are fewer
+HOT = 1 << 14  # occurrences of an anchor from which its strings are dealt by their own hashes
 GROUPS = 2  # per shuffle partition
 _MASK = np.uint64((1 << 48) - 1)
 _PRIME = 1_000_003
@@ -105,12 +111,12 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
 
-ANCHOR_ROWS = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())])
-SHARED_ROWS = pa.schema([("dealt", pa.int64()), ("ids", pa.binary()), ("hashes", pa.binary())])
+ANCHOR_ROWS = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("times", pa.binary())])
+SHARED_ROWS = pa.schema([("dealt", pa.int64()), ("ids", pa.binary()), ("hashes", pa.binary()), ("hot", pa.binary())])
 RUN_ROWS = pa.schema(
-    [("bucket", pa.int64()), ("prefix", pa.binary()), ("sizes", pa.binary()), ("tails", pa.binary()), ("of", pa.binary()), ("before", pa.binary()), ("befores", pa.binary()), ("ids", pa.binary()), ("ths", pa.binary()), ("starts", pa.binary())]
+    [("bucket", pa.int64()), ("prefix", pa.binary()), ("sizes", pa.binary()), ("tails", pa.binary()), ("of", pa.binary()), ("before", pa.binary()), ("befores", pa.binary()), ("ids", pa.binary()), ("ths", pa.binary()), ("starts", pa.binary()), ("names", pa.binary()), ("anchors", pa.binary()), ("origin", pa.int64())]
 )
-SPAN_ROWS = pa.schema([("dealt", pa.int64()), ("ids", pa.binary()), ("ths", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
+SPAN_ROWS = pa.schema([("dealt", pa.int64()), ("ids", pa.binary()), ("ths", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary()), ("names", pa.binary()), ("anchors", pa.binary())])
 
 
 def ddl(schema: pa.Schema) -> str:
@@ -128,29 +134,31 @@ def _by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 def anchor_rows(n: int):
     """Packed anchors of a task's documents: per bucket, ids, number of anchors of each, hashes."""
 
-    def pack(ids: list, hashes: list) -> pa.Table:
+    def pack(ids: list, hashes: list, times: list) -> pa.Table:
+        often = np.concatenate(times)
         every, owner = np.concatenate(hashes), np.repeat(np.arange(len(ids)), [len(h) for h in hashes])
         own, out = np.array(ids, np.int64), []
         for b, rows in _by_bucket((every % np.uint64(n)).astype(np.int64), n):
             who, counts = np.unique(owner[rows], return_counts=True)
-            out.append((b, own[who].tobytes(), counts.astype(np.uint32).tobytes(), _pack48(every[rows])))
+            out.append((b, own[who].tobytes(), counts.astype(np.uint32).tobytes(), _pack48(every[rows]), often[rows].tobytes()))
         return _rows(ANCHOR_ROWS, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, held = [], [], 0
+        ids, hashes, times, held = [], [], [], 0
         for batch in batches:
             for ident, _, raw, copy in _texts(batch):
                 if ident is None or copy or len(raw) < LENGTH:
                     continue
-                found = np.unique(anchors(raw)[0])
+                found, often = np.unique(anchors(raw)[0], return_counts=True)
                 ids.append(ident)
                 hashes.append(found)
+                times.append(np.minimum(often, 65535).astype(np.uint16))
                 held += len(found)
                 if held >= PACK:
-                    yield from pack(ids, hashes).to_batches()
-                    ids, hashes, held = [], [], 0
+                    yield from pack(ids, hashes, times).to_batches()
+                    ids, hashes, times, held = [], [], [], 0
         if ids:
-            yield from pack(ids, hashes).to_batches()
+            yield from pack(ids, hashes, times).to_batches()
 
     return run
 
@@ -164,12 +172,14 @@ def dealt_column(n: int) -> Column:
     return F.expr(f"pmod(coalesce(id, 0L), {_PRIME}L) * 7919L % {_PRIME}L % {n}L")
 
 
-def shared_rows(n: int):
-    """Of a bucket's anchors, those of two documents or more, packed for the documents' groups."""
+def shared_rows(n: int, hot: int = HOT):
+    """Of a bucket's anchors, those of two documents or more, packed for the documents' groups, and
+    whether they occur more than `hot` times."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        owners, hashes = [], []
-        for ids, counts, packed in zip(*(table[c].to_pylist() for c in ("ids", "counts", "hashes"))):
+        owners, hashes, times = [], [], []
+        for ids, counts, packed, often in zip(*(table[c].to_pylist() for c in ("ids", "counts", "hashes", "times"))):
+            times.append(np.frombuffer(often, np.uint16))
             owners.append(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.uint32)))
             hashes.append(_unpack48(packed))
         owner, every = np.concatenate(owners), np.concatenate(hashes)
@@ -177,11 +187,14 @@ def shared_rows(n: int):
         owner, every = owner[order], every[order]
         first = np.concatenate(([0], np.flatnonzero(np.diff(every)) + 1))
         several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
-        keep = np.repeat(several, np.diff(np.concatenate((first, [len(every)]))))
+        size = np.diff(np.concatenate((first, [len(every)])))
+        many = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), first) > hot
+        keep = np.repeat(several, size)
+        many = np.repeat(many, size)[keep]
         owner, every = owner[keep], every[keep]
         out = []
         for d, rows in _by_bucket(dealt_to(owner, n), n) if len(owner) else ():
-            out.append((d, owner[rows].tobytes(), _pack48(every[rows])))
+            out.append((d, owner[rows].tobytes(), _pack48(every[rows]), many[rows].tobytes()))
         return _rows(SHARED_ROWS, out)
 
     return run
@@ -203,8 +216,57 @@ def front_coded(suffixes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
     return order, number, prefix, size, tails
 
 
+def by_owner(owner: np.ndarray, every: np.ndarray, into: dict[int, list[np.ndarray]]) -> None:
+    order = np.argsort(owner, kind="stable")
+    owner, every = owner[order], every[order]
+    first = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
+    for ident, part in zip(owner[first], np.split(every, first[1:])) if len(owner) else ():
+        into.setdefault(int(ident), []).append(part)
+
+
+def hot_strings(raw: bytes, hot: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and starts of the strings around the anchors `hot` of a text, some anchors at a time."""
+    every, _, first, last = anchors(raw)
+    keep = np.isin(every, hot)
+    first, last = first[keep], last[keep]
+    data = np.frombuffer(raw, np.uint8)
+    for at in range(0, len(first), HOT):
+        lo, count = first[at : at + HOT], last[at : at + HOT] - first[at : at + HOT] + 1
+        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        shift = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
+        around = np.concatenate([data[a : a + c + LENGTH - 1] for a, c in zip(lo.tolist(), count.tolist())])
+        yield gram_hashes(around, LENGTH)[np.repeat(shift, count) + offset], np.repeat(lo, count) + offset
+
+
+class Least:
+    """Smallest id of each string hash, in sorted order; what comes is summed up in blocks."""
+
+    def __init__(self) -> None:
+        self.names, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, names: np.ndarray, ids: np.ndarray) -> None:
+        self.waiting.append((names, ids))
+        self.held += len(names)
+        if self.held >= max(STRINGS, len(self.names)):
+            self.settle()
+
+    def settle(self) -> None:
+        names, ids = (np.concatenate(x) for x in zip((self.names, self.ids), *self.waiting))
+        order = np.argsort(names, kind="stable")
+        names, ids = names[order], ids[order]
+        first = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else order
+        self.names, self.ids = names[first], np.minimum.reduceat(ids, first) if len(names) else ids
+        self.waiting, self.held = [], 0
+
+
 def run_rows(n: int):
-    """Front-coded sorted runs of the suffixes at shared anchors of a group of documents, per bucket."""
+    """Front-coded sorted runs of the suffixes at shared anchors of a group of documents, per bucket.
+
+    From bucket n on: the strings around hot anchors with their smallest ids, and, for `origin` itself,
+    the hot anchors of its documents.
+    """
 
     def coded(parts: list[tuple]) -> list[tuple]:
         every, suffix, size, before, left, first, ids, ths = (np.concatenate(p) for p in zip(*parts))
@@ -225,22 +287,28 @@ def run_rows(n: int):
                     ids[rows].astype(np.int64).tobytes(),
                     ths[rows].astype(np.int64).tobytes(),
                     first[rows].astype(np.int64).tobytes(),
+                    b"",
+                    b"",
+                    0,
                 )
             )
         return out
 
     def run(key: tuple, texts: pa.Table, shared: pa.Table) -> pa.Table:
         want: dict[int, list[np.ndarray]] = {}
-        for ids, packed in zip(shared["ids"].to_pylist(), shared["hashes"].to_pylist()):
-            owner, every = np.frombuffer(ids, np.int64), _unpack48(packed)
-            order = np.argsort(owner, kind="stable")
-            owner, every = owner[order], every[order]
-            first = np.concatenate(([0], np.flatnonzero(np.diff(owner)) + 1))
-            for ident, part in zip(owner[first], np.split(every, first[1:])):
-                want.setdefault(int(ident), []).append(part)
+        hot: dict[int, list[np.ndarray]] = {}
+        least = Least()
+        for ids, packed, flags in zip(*(shared[c].to_pylist() for c in ("ids", "hashes", "hot"))):
+            owner, every, many = np.frombuffer(ids, np.int64), _unpack48(packed), np.frombuffer(flags, bool)
+            by_owner(owner[~many], every[~many], want)
+            by_owner(owner[many], every[many], hot)
         parts, held, out = [], 0, []
-        for ident, th, raw, copy in _texts(texts) if want else ():
-            if ident is None or copy or ident not in want:
+        for ident, th, raw, copy in _texts(texts) if want or hot else ():
+            if ident is None or copy:
+                continue
+            for names, _ in hot_strings(raw, np.concatenate(hot[ident])) if ident in hot else ():
+                least.add(names, np.full(len(names), ident, np.int64))
+            if ident not in want:
                 continue
             every, spot, first, last = anchors(raw)
             keep = np.isin(every, np.concatenate(want[ident]))
@@ -260,6 +328,14 @@ def run_rows(n: int):
                 parts, held = [], 0
         if parts:
             out += coded(parts)
+        least.settle()
+        own, none = key[0].as_py(), (b"",) * 6
+        for b, part in _by_bucket((least.names % np.uint64(n)).astype(np.int64), n):
+            out.append((n + b, *none, least.ids[part].tobytes(), b"", b"", least.names[part].tobytes(), b"", own))
+        if hot:
+            owner = np.repeat(np.fromiter(hot, np.int64), [sum(map(len, p)) for p in hot.values()])
+            every = _pack48(np.concatenate([x for p in hot.values() for x in p]))
+            out.append((n + own, *none, owner.tobytes(), b"", b"", b"", every, own))
         return _rows(RUN_ROWS, out)
 
     return run
@@ -364,11 +440,31 @@ def matched(
     return owner[begin], place[begin], place[end] + LENGTH
 
 
+def least_rows(rows: list[dict]) -> pa.Table:
+    """Per group of documents: its strings of which another group has a smaller id, with that id; and
+    its own hot anchors as they came."""
+    out = [(r["origin"], r["ids"], b"", b"", b"", b"", r["anchors"]) for r in rows if r["anchors"]]
+    least = Least()
+    for r in rows:
+        least.add(np.frombuffer(r["names"], np.uint64), np.frombuffer(r["ids"], np.int64)[: len(r["names"]) // 8])
+    least.settle()
+    for r in rows:
+        names = np.frombuffer(r["names"], np.uint64)
+        if len(names):
+            found = least.ids[np.searchsorted(least.names, names)]
+            lower = found < np.frombuffer(r["ids"], np.int64)
+            if lower.any():
+                out.append((r["origin"], found[lower].tobytes(), b"", b"", b"", names[lower].tobytes(), b""))
+    return _rows(SPAN_ROWS, out)
+
+
 def span_rows(n: int):
     """Merge a bucket's runs, match strings around anchors, and report bytes to remove per group."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
+        if key[0].as_py() >= n:
+            return least_rows(rows)
         group = -1
         groups = [np.zeros(len(r["sizes"]), np.int64) for r in rows]
         at = [0] * len(rows)
@@ -416,7 +512,7 @@ def span_rows(n: int):
         out = []
         for d, part in _by_bucket(dealt_to(ids[owner], n), n):
             w = owner[part]
-            out.append((d, ids[w].tobytes(), ths[w].tobytes(), lo[part].tobytes(), hi[part].tobytes()))
+            out.append((d, ids[w].tobytes(), ths[w].tobytes(), lo[part].tobytes(), hi[part].tobytes(), b"", b""))
         return _rows(SPAN_ROWS, out)
 
     return run
@@ -430,12 +526,30 @@ RESULT = pa.schema(
 def result_rows(with_text: bool):
     def run(key: tuple, texts: pa.Table, spans: pa.Table) -> pa.Table:
         found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        hot: dict[int, list[np.ndarray]] = {}
+        least = Least()
         for row in spans.to_pylist():
+            ids = np.frombuffer(row["ids"], np.int64)
+            if row["anchors"]:
+                by_owner(ids, _unpack48(row["anchors"]), hot)
+                continue
+            if row["names"]:
+                least.add(np.frombuffer(row["names"], np.uint64), ids)
+                continue
             columns = (np.frombuffer(row[c], np.int64).tolist() for c in ("ids", "ths", "starts", "ends"))
             for ident, th, lo, hi in zip(*columns):
                 found.setdefault((ident, th), []).append((lo, hi))
+        for ident, _, raw, copy in _texts(texts) if hot else ():
+            for names, _ in hot_strings(raw, np.concatenate(hot[ident])) if ident in hot and not copy else ():
+                least.add(names, np.full(len(names), ident, np.int64))
+        least.settle()
         out = []
         for ident, th, raw, copy in _texts(texts):
+            for names, places in hot_strings(raw, np.concatenate(hot[ident])) if ident in hot and not copy else ():
+                place = np.sort(places[least.ids[np.searchsorted(least.names, names)] < ident])
+                edge = np.flatnonzero(np.concatenate(([True], np.diff(place) != 1)))
+                spans_of = zip(place[edge].tolist(), place[np.concatenate((edge[1:] - 1, [-1]))].tolist()) if len(place) else ()
+                found.setdefault((ident, th), []).extend((a, b + LENGTH) for a, b in spans_of)
             cuts = [(0, len(raw))] if copy and len(raw) >= LENGTH else sorted(found.get((ident, th), ()))
             kept, removed, count, at = [], 0, 0, 0
             reach = -1
@@ -456,9 +570,11 @@ def result_rows(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", with_text: bool = False, hot: int = HOT) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, and the text that is left if asked for.
 
+    Results do not depend on `hot`, the occurrences of an anchor from which its strings are dealt.
+
     The text leaves out bytes of a sign that was cut apart; the hash is over all bytes that stay.
     """
     n = GROUPS * buckets(docs.sparkSession)
@@ -475,7 +591,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", with_text: bool =
         "id", "th", "text", F.coalesce("copy", F.lit(False)).alias("copy")
     )
     packed = texts.mapInArrow(anchor_rows(n), ddl(ANCHOR_ROWS))
-    shared = packed.groupBy("bucket").applyInArrow(shared_rows(n), ddl(SHARED_ROWS))
+    shared = packed.groupBy("bucket").applyInArrow(shared_rows(n, hot), ddl(SHARED_ROWS))
     dealt = texts.withColumn("dealt", dealt_column(n)).repartition(n, "dealt")
     runs = (
         dealt.groupBy("dealt")
