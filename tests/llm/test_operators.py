@@ -255,6 +255,23 @@ def test_vp_tree_factor_one_is_exact_and_ties_go_to_small_ids(spark):
     assert set(got) == {*range(0, 900, 50), 1150, 1200}
 
 
+def test_vp_tree_recall_at_the_production_factor_over_shards(spark):
+    rng = np.random.default_rng(21)
+    centres = rng.standard_normal((40, 32))
+    x = (centres[rng.integers(0, 40, 2400)] + 0.6 * rng.standard_normal((2400, 32))).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in vptree.nearest(table, F.col("vec_id") % 20 == 0, shard_rows=300).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    x, hits = x.astype(float), 0
+    for q in range(0, 2400, 20):
+        score = vptree.cosine(x, np.repeat(x[q : q + 1], len(x), 0))
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.lexsort((np.arange(2400), -score))[:5].tolist()))
+    print("recall", hits / 600)
+    assert hits >= 0.95 * 600
+
+
 def test_langid_learns_labels_positions_and_leaves_letterless_text(spark):
     kinds = {"aa": "bababa daba", "bb": "xyz zyxx qz"}
     rows = [(i, " ".join([kinds[k]] * (1 + i % 9)), k) for i, k in enumerate(["aa", "bb"] * 60)]
