@@ -6,11 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontaminate, langid, mixing, neardup, pii, suffixes, tokencount, toxicity, urls, vptree
+from winnow.llm import (
+    decontaminate,
+    langid,
+    mixing,
+    neardup,
+    oracles,
+    pii,
+    prefixtrie,
+    suffixes,
+    tokencount,
+    toxicity,
+    urls,
+    vptree,
+)
 from winnow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_prefix_trie": oracles.PREFIX_TRIE}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -66,3 +79,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
