@@ -44,3 +44,35 @@ SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_con
 FROM full_nodes n JOIN sums s ON s.depth = n.depth AND s.k = n.k
     LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.k = n.pk
 """
+
+_TERMS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+)
+
+LEXICAL_SEARCH = f"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents WHERE len({_TERMS}) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM docs),
+asked AS (
+    SELECT item_id, term, count(*) AS times
+    FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark))
+    GROUP BY item_id, term),
+counted AS (
+    SELECT r, doc_id, n, term, count(*)::BIGINT AS tf
+    FROM (SELECT r, doc_id, len(ts)::BIGINT AS n, unnest(ts) AS term FROM docs) GROUP BY r, doc_id, n, term),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM counted, totals GROUP BY term, n_docs),
+impacts AS (
+    SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))) AS impact
+    FROM counted JOIN weights USING (term), totals),
+scores AS (
+    SELECT item_id, r, doc_id, sum(times * impact)::BIGINT AS score
+    FROM asked JOIN impacts USING (term) GROUP BY item_id, r, doc_id),
+ranked AS (
+    SELECT item_id, doc_id, score,
+        row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+    FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
