@@ -48,7 +48,8 @@ class Graph:
 
     def _insert(self, rows: np.ndarray) -> None:
         q = self.vectors[rows].astype(np.float32)
-        found = self._descend(q, BUILD_BEAM, BUILD_BEAM) if self.count else []
+        level = (-np.log(1 - self.rng.random(len(rows))) / np.log(LINKS)).astype(np.int64)
+        found = self._candidates(q, level)
         if found:
             best = found[0][0][:, 0]
             joins = np.einsum("nd,nd->n", self.vectors[rows], self.vectors[self.row[best]]) >= BUNDLE
@@ -67,7 +68,7 @@ class Graph:
         fresh = self.count + np.arange(len(chosen))
         self.centre[rows[free]] = self.count + np.searchsorted(chosen, lead)
         self.row[fresh], self.unit[fresh] = rows[free[chosen]], q[free[chosen]]
-        self.level[fresh] = (-np.log(1 - self.rng.random(len(chosen))) / np.log(LINKS)).astype(np.int64)
+        self.level[fresh] = level[free[chosen]]
         self.count += len(chosen)
         if not len(chosen):
             return
@@ -137,26 +138,40 @@ class Graph:
             ids, valid = np.take_along_axis(ids, order, 1), np.take_along_axis(valid, order, 1)
         return np.where(valid, ids, -1)
 
-    def _descend(self, q: np.ndarray, beam: int, above: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(centres, cosines), nearest first, on every level; `above` is the beam on the upper ones."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+    def _candidates(self, q: np.ndarray, level: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By level, (centres, cosines) of each row of `q` that belongs on it, nearest first."""
+        found = []
         entries = np.full((len(q), 1), self.entry)
         for layer in reversed(range(len(self.links))):
-            found.append(self._beam(q, entries, layer, beam if layer == 0 else above))
-            entries = found[-1][0][:, :EXPAND]
+            ids = np.full((len(q), BUILD_BEAM), -1)
+            sims = np.full((len(q), BUILD_BEAM), -np.inf, np.float32)
+            own = np.flatnonzero(level >= layer)
+            if len(own):
+                ids[own], sims[own] = self._beam(q[own], entries[own], layer, BUILD_BEAM)
+            found.append((ids, sims))
+            if layer:
+                entries = self._beam(q, entries, layer, EXPAND)[0]
         return found[::-1]
 
+    def _search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(centres, cosines) of the beam on the lowest level, nearest first."""
+        entries = np.full((len(q), 1), self.entry)
+        for layer in reversed(range(1, len(self.links))):
+            entries = self._beam(q, entries, layer, EXPAND)[0]
+        return self._beam(q, entries, 0, beam)
+
     def _beam(self, q: np.ndarray, entries: np.ndarray, layer: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         n, links = len(q), self.links[layer]
         ids = np.full((n, width), -1)
         sims = np.full((n, width), -np.inf, np.float32)
         k = min(width, entries.shape[1])
-        ids[:, :k] = entries[:, :k]
-        sims[:, :k] = np.einsum("nd,nkd->nk", q, self.unit[entries[:, :k]])
-        sims[:, :k][entries[:, :k] < 0] = -np.inf
-        seen = np.zeros((n, self.count), bool)
-        seen[np.arange(n)[:, None], entries[:, :k]] = True
+        entries = entries[:, :k]
+        ids[:, :k] = entries
+        sims[:, :k] = np.where(entries >= 0, np.einsum("nd,nkd->nk", q, self.unit[entries]), -np.inf)
+        seen = np.zeros(n * self.count, bool)
+        seen[(np.arange(n)[:, None] * self.count + entries)[entries >= 0]] = True
         todo = np.isfinite(sims)
+        worst = sims.min(1)
         k = min(EXPAND, width)
         rows = np.arange(n)
         while len(rows):
@@ -171,28 +186,28 @@ class Graph:
             near = links[ids[rows[:, None], pick]]
             near[~ok] = -1
             near = near.reshape(len(rows), -1)
-            r, c = np.nonzero(near >= 0)
-            v = near[r, c].astype(np.int64)
-            fresh = ~seen[rows[r], v]
-            key = np.unique(r[fresh] * self.count + v[fresh])
-            r, v = key // self.count, key % self.count
-            seen[rows[r], v] = True
-            s = np.einsum("nd,nd->n", q[rows[r]], self.unit[v])
-            better = s > sims[rows].min(1)[r]
+            key = (near + (rows * self.count)[:, None])[near >= 0]
+            key = np.sort(key[~seen[key]])
+            key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+            seen[key] = True
+            r, v = np.divmod(key, self.count)
+            s = np.einsum("nd,nd->n", q[r], self.unit[v])
+            better = s > worst[r]
             r, v, s = r[better], v[better], s[better]
-            touched, first, times = np.unique(r, return_index=True, return_counts=True)
-            if not len(touched):
+            if not len(r):
                 continue
-            at = np.repeat(np.arange(len(touched)), times), np.arange(len(r)) - np.repeat(first, times)
-            new_ids = np.full((len(touched), times.max()), -1)
+            first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+            own, times = r[first], np.diff(np.append(first, len(r)))
+            at = np.repeat(np.arange(len(own)), times), np.arange(len(r)) - np.repeat(first, times)
+            new_ids = np.full((len(own), times.max()), -1)
             new_sims = np.full(new_ids.shape, -np.inf, np.float32)
             new_ids[at], new_sims[at] = v, s
-            own = rows[touched]
             all_sims = np.concatenate([sims[own], new_sims], 1)
             order = np.argpartition(-all_sims, width - 1, 1)[:, :width]
             sims[own] = np.take_along_axis(all_sims, order, 1)
             ids[own] = np.take_along_axis(np.concatenate([ids[own], new_ids], 1), order, 1)
             todo[own] = np.take_along_axis(np.concatenate([todo[own], np.isfinite(new_sims)], 1), order, 1)
+            worst[own] = sims[own].min(1)
         order = np.argsort(-sims, 1, kind="stable")
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         ids[~np.isfinite(sims)] = -1
@@ -213,7 +228,7 @@ class Graph:
                     r, c = np.nonzero(q[rows] @ self.unit[: self.count].T >= floor)
                     open_ = np.zeros(len(rows), bool)
                 else:
-                    ids, sims = self._descend(q[rows], width, FIRST_BEAM)[0]
+                    ids, sims = self._search(q[rows], width)
                     open_ = sims[:, -1] >= floor
                     r, c = np.nonzero((sims >= floor) & ~open_[:, None])
                     c = ids[r, c]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from winnow.llm import (
     decontaminate,
+    embdedup,
     langid,
     lexical,
     mixing,
@@ -90,3 +91,8 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
