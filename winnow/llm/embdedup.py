@@ -6,7 +6,7 @@ shard builds a graph (`winnow.llm.hnsw`) whose nodes are the centres of bundles:
 0.98 of their centre. Its audit sets the beam. Then each shard's vectors are sent to each shard's graph:
 
 * every centre within reach of a query is looked for, reach being the threshold's angle and that of the
-  shard's widest bundle; a query whose beam is full within reach is searched again with a wider one;
+  centre's bundle; a query whose beam is full within the widest reach is searched again with a wider one;
 * a bundle that the angles place wholly within the threshold is linked as one, a bundle wholly outside is
   left, and members of the others are compared one by one in double precision, in slices;
 * a vector's own bundle is always met: any two of its members are linked, as twice its angle is below the
@@ -58,10 +58,10 @@ def unit_rows(flat: np.ndarray, size: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def reach(graph: Graph, threshold: float) -> float:
-    """Least cosine between a query and a centre whose bundle may hold a link."""
-    angle = np.arccos(threshold) + np.arccos(np.clip(graph.least.min(), -1, 1))
-    return float(np.cos(min(np.pi, angle))) - 1e-6
+def reach(graph: Graph, threshold: float) -> np.ndarray:
+    """Least cosine between a query and each centre at which its bundle may hold a link."""
+    angle = np.arccos(threshold) + np.arccos(np.clip(graph.least, -1, 1))
+    return np.cos(np.minimum(np.pi, angle)) - 1e-6
 
 
 def _plant(threshold: float):

@@ -6,9 +6,10 @@ into islands. Every other vector draws a level and is linked on that level and a
 from the entry point downwards and among the vectors of its own batch; of the candidates those are taken
 first that are nearer to the new node than to any taken before (Malkov and Yashunin, 2016).
 
-The beam used later is found by audit: queries are planted at the least cosine that a search has to reach
-from known centres, all centres within reach are found by comparing with every centre, and the beam is
-doubled until it finds AUDIT of them. A beam as wide as the graph compares with every centre.
+The beam used later is found by audit. Each centre has a reach, the least cosine at which a query must find
+it. Queries are planted as far from known centres as their reach allows, all centres that reach a query are
+found by comparing with every centre, and the beam is doubled until it finds AUDIT of them. A beam as wide
+as the graph compares with every centre.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 
 LINKS = 16  # of a new node; twice as many may lead to a node of level 0
 BUILD_BEAM = 48
-FIRST_BEAM = 16
+FIRST_BEAM = 8
 EXPAND = 4  # candidates followed in one step
 BATCH = 512
 BUNDLE = 0.98
@@ -213,42 +214,48 @@ class Graph:
         ids[~np.isfinite(sims)] = -1
         return ids, sims
 
-    def within(self, q: np.ndarray, floor: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, centre) of the centres found with a cosine of `floor` or more.
+    def within(self, q: np.ndarray, reach: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, centre) of the centres found with a cosine of their `reach` or more.
 
-        Where every place of a query's beam is within reach there may be more: it is searched again with
-        twice the beam, up to all centres.
+        Where every place of a query's beam is within the widest reach there may be more: it is searched
+        again with twice the beam, up to all centres.
         """
-        q = q.astype(np.float32)
+        q, reach = q.astype(np.float32), reach.astype(np.float32)
+        widest = reach.min()
         queries, centres = [], []
         for at in range(0, len(q), BATCH):
             rows, width = np.arange(at, min(len(q), at + BATCH)), beam
             while len(rows):
                 if width >= self.count:
-                    r, c = np.nonzero(q[rows] @ self.unit[: self.count].T >= floor)
+                    r, c = np.nonzero(q[rows] @ self.unit[: self.count].T >= reach)
                     open_ = np.zeros(len(rows), bool)
                 else:
                     ids, sims = self._search(q[rows], width)
-                    open_ = sims[:, -1] >= floor
-                    r, c = np.nonzero((sims >= floor) & ~open_[:, None])
+                    open_ = sims[:, -1] >= widest
+                    r, c = np.nonzero((sims >= reach[ids]) & ~open_[:, None])
                     c = ids[r, c]
                 queries.append(rows[r])
                 centres.append(c)
                 rows, width = rows[open_], 2 * width
         return np.concatenate([np.zeros(0, np.int64), *queries]), np.concatenate([np.zeros(0, np.int64), *centres])
 
-    def audited_beam(self, floor: float) -> int:
-        """The narrowest beam, FIRST_BEAM doubled, that passes the audit."""
-        chosen = self.rng.permutation(self.count)[:AUDITS]
-        known = self.unit[chosen].astype(np.float64)
-        away = self.rng.standard_normal(known.shape)
+    def audited_beam(self, reach: np.ndarray) -> int:
+        """The narrowest beam, FIRST_BEAM doubled, that passes the audit.
+
+        A quarter of the queries is planted by centres of wider reach than the others have, if there are any.
+        """
+        order = self.rng.permutation(self.count)
+        wide = order[reach[order] < reach.max()]
+        chosen = np.unique(np.concatenate([wide[: AUDITS // 4], order[:AUDITS]]))
+        known, away = self.unit[chosen].astype(np.float64), self.rng.standard_normal((len(chosen), self.unit.shape[1]))
         away -= known * np.einsum("nd,nd->n", away, known)[:, None]
         away /= np.maximum(np.sqrt((away * away).sum(1, keepdims=True)), 1e-300)
-        q = (known * floor + away * np.sqrt(max(0.0, 1 - floor * floor))).astype(np.float32)
-        true = (q @ self.unit[: self.count].T) >= floor - 1e-6
+        least = reach[chosen][:, None] + 1e-6
+        q = (known * least + away * np.sqrt(np.maximum(0, 1 - least * least))).astype(np.float32)
+        true = (q @ self.unit[: self.count].T) >= reach.astype(np.float32)
         beam = FIRST_BEAM
         while beam < self.count:
-            hit, centre = self.within(q, floor - 1e-6, beam)
+            hit, centre = self.within(q, reach, beam)
             if true[hit, centre].sum() >= AUDIT * true.sum():
                 break
             beam *= 2
