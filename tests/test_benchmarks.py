@@ -112,8 +112,30 @@ def test_semantic_checksum_and_fingerprint(spark):
     df = spark.createDataFrame(pairs, "position int, question string, answer string")
     compact = json.dumps([[q.strip(), a.strip()] for _, q, a in pairs], ensure_ascii=False, separators=(",", ":"))
     assert benchmarks.semantic_sha256(df.repartition(4)) == hashlib.sha256(compact.encode()).hexdigest()
-    with pytest.raises(ValidationError, match="more than 10"):
-        benchmarks.semantic_sha256(df, max_rows=10)
+    for broken in (df.union(df.limit(1)), df.union(spark.createDataFrame([(None, "q", "a")], df.schema)), df.withColumn("position", F.col("position") - 1)):
+        with pytest.raises(ValidationError, match="position"):
+            benchmarks.semantic_sha256(broken)
+    with pytest.raises(ValidationError, match="repeated"):
+        benchmarks.semantic_sha256(spark.createDataFrame([(1, "q", "a")] * 9, df.schema), block_rows=4)
+    assert benchmarks.semantic_digest(df.where("false")).first()[:] == (0, hashlib.sha256(b"[]").hexdigest())
+
+    def tree(block):
+        """Levels of digests, by position from 5 on."""
+        level = {}
+        for n, q, a in pairs:
+            level.setdefault((n + 5) // block, []).append([q.strip(), a.strip()])
+        level = {b: json.dumps(p, ensure_ascii=False, separators=(",", ":")) for b, p in level.items()}
+        level = {b: hashlib.sha256(t.encode()).hexdigest() for b, t in level.items()}
+        while len(level) > 1:
+            upper = {}
+            for b in sorted(level):
+                upper.setdefault(b // block, []).append(level[b])
+            level = {b: hashlib.sha256("\n".join(d).encode()).hexdigest() for b, d in upper.items()}
+        return next(iter(level.values()))
+
+    moved = df.withColumn("position", F.col("position") + 5)
+    for block in (3, 7, 100):
+        assert benchmarks.semantic_digest(moved.repartition(5), block_rows=block).first()[:] == (50, tree(block))
 
     def mark(rows):
         return benchmarks.fingerprint(rows, position="position", question="question", answer="answer").first()

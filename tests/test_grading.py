@@ -35,7 +35,8 @@ def verdicts(spark, rows, **options):
         ("\\boxed{13}", "12", False),
         ("first \\boxed{12} last \\boxed{13}", "12", False),
         ("no answer at all", "12", False),
-        ("\\boxed{x+1}", "1+x", None),
+        ("\\boxed{x+1}", "1+x", True),
+        ("\\boxed{(x+1)^2}", "x^2+2x+1", None),
         ("the answer is $12$", "12", None),
         ("\\boxed{12}", " $ ", None),
     ],
@@ -44,6 +45,34 @@ def test_native_math(spark, response, answer, verdict):
     assert verdicts(spark, [(response, answer, "q")]) == [verdict]
 
 
+FORMS = [
+    ("2x+1", "1+2x", True), ("x+1", "x+2", False), ("x+1", "y+1", None), ("xy", "y\\cdot x", True), ("x+x", "2x", True),
+    ("3-2i", "-2i+3", True), ("3-2i", "3+2i", False), ("x^2", "x*x", None), ("x^{2}+1", "1+x^2", True), ("-\\frac{3}{4}x", "-0.75x", True),
+    ("1e3", "1000", True), ("1e3", "1001", False), ("1.5e-3", "0.0015", True), ("2\\times10^{3}", "2000", True), ("10^{-2}", "0.01", True),
+    ("\\sqrt{12}", "2\\sqrt3", True), ("\\sqrt{2}", "1.5", False), ("\\frac{1}{\\sqrt{2}}", "\\frac{\\sqrt{2}}{2}", True),
+    ("2\\pi", "\\pi\\cdot 2", True), ("2\\pi", "3\\pi", False), ("\\frac{\\pi}{2}", "\\pi/2", True), ("\\frac{x}{2}+y", "y+x/2", True),
+    ("50\\%", "0.5", True), ("50\\%", "50", None), ("50\\%", "50.0\\%", True), ("50\\%", "60\\%", False),
+    ("(1,2)", "(2,1)", False), ("\\left(x+1, \\frac{1}{2}\\right)", "(1+x,0.5)", True), ("(1,2)", "[1,2]", False), ("(1,2]", "(1,\\frac{4}{2}]", True),
+    ("\\{1,2,3\\}", "\\{3,2,1\\}", True), ("\\{1,2\\}", "\\{1,3\\}", False), ("\\{1,1\\}", "\\{1\\}", None), ("1,2", "2,1", None), ("1,2", "1,3", False),
+    ("(-\\infty,3)\\cup(5,\\infty)", "(-\\infty, 6/2)\\cup(5,\\infty)", True), ("(-\\infty,2)", "(-\\infty,3)", False), ("x\\in[1,2]", "[1,4/2]", True),
+    ("\\text{Evelyn}", "\\text{Alice}", None), ("listen", "silent", None), ("5cm", "5", None), ("3!", "6", None), ("1/0", "2", None),
+    ("\\sin x", "\\cos x", None), ("2(x+1)", "2x+2", None), ("x_1", "x_2", None), ("x<3", "x>3", None), ("\\begin{pmatrix}1\\\\2\\end{pmatrix}", "1", None),
+    ("0", "x-x", True), ("e", "2.718281828", None), ("\\frac{3}{x}", "3/x", True), ("(5)", "5", True), ("1e999", "1e998", None), ("x^2+", "x^2", None),
+]
+
+
+def test_canonical_forms_decide_both_ways_round(spark):
+    rows = [(f"\\boxed{{{a}}}", b) for a, b, _ in FORMS] + [(f"\\boxed{{{b}}}", a) for a, b, _ in FORMS]
+    got = verdicts(spark, [(*r, "q") for r in rows])
+    assert [(r, g) for r, g in zip(rows, got)] == [(r, f[2]) for r, f in zip(rows, FORMS * 2)]
+
+
+def test_choice_of_an_equal_form(spark):
+    question = "Which? (A) x+2 (B) 1+2x (C) 1000"
+    rows = [("\\boxed{2x+1}", "B", question), ("\\boxed{2x+1}", "A", question), ("\\boxed{1e3}", "C", question), ("\\boxed{y}", "A", question)]
+    assert verdicts(spark, rows) == [True, False, True, None]
+
+
 def test_choice_answers(spark):
     question = "Which? (A) 10 (B) \\frac{1}{2} (C) 0.5 (D) 7 (E) none"
     rows = [
@@ -89,7 +118,7 @@ def test_external_grader_sees_only_open_rows(spark):
             raise AssertionError("decided row sent to the grader")
         return True
 
-    rows = [("\\boxed{x+1}", "1+x", ""), ("\\boxed{2}", "2", ""), ("\\boxed{3}", "2", "")]
+    rows = [("\\boxed{(x+1)^2}", "x^2+2x+1", ""), ("\\boxed{2}", "2", ""), ("\\boxed{3}", "2", "")]
     df = spark.createDataFrame(rows, "response string, answer string, question string").coalesce(1)
     out = grade.with_verdict(df, grader=grader).collect()
     assert [(r["verified"], r["grader_error"]) for r in out] == [(True, None), (True, None), (False, None)]

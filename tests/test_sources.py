@@ -1,8 +1,11 @@
 import csv
+import fnmatch
 import gzip
 import hashlib
 import json
 import os
+import random
+from urllib.parse import unquote
 
 import pytest
 import zstandard
@@ -33,6 +36,26 @@ def test_zst_windows_blank_lines_and_tail(spark, tmp_path):
     assert [r[0] for r in jsonl.bad_lines(jsonl.scan_zst_jsonl(spark, str(tmp_path), ROW)).collect()] == ["broken"]
 
 
+def test_zst_frames_of_different_windows_in_one_file(spark, tmp_path):
+    """Lines across frames, a skippable frame, numbers of lines, bad lines, and a split size below the file's."""
+    lines = [json.dumps({"a": n, "s": hashlib.sha256(b"%d" % n).hexdigest() * 20}) for n in range(3000)] + ["[1]", "5", '"t"', '{"a":']
+    text = "\n".join(lines)
+    for i, log in enumerate((28, 21, 27, 28)):
+        zst(tmp_path / f"part{i}", text[i * len(text) // 4 : (i + 1) * len(text) // 4], log)
+    parts = [(tmp_path / f"part{i}").read_bytes() for i in range(4)]
+    parts.insert(2, b"\x50\x2a\x4d\x18\x03\x00\x00\x00\n\n\n")
+    (tmp_path / "whole.jsonl.zst").write_bytes(b"".join(parts))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        scan = jsonl.scan_zst_jsonl(spark, str(tmp_path), ROW, with_order=True)
+        good = jsonl.good_lines(scan).orderBy("_row").collect()
+        assert [(r["a"], r["_row"]) for r in good] == [(n, n) for n in range(3000)]
+        assert {r["_file"].rsplit("/")[-1] for r in good} == {"whole.jsonl.zst"}
+        assert sorted(r[0] for r in jsonl.bad_lines(scan).collect()) == ['"t"', "5", "[1]", '{"a":']
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_zst_without_files(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         jsonl.scan_zst_jsonl(spark, str(tmp_path), ROW)
@@ -96,17 +119,29 @@ def test_entropy_files(spark, tmp_path):
     assert [x["idx"] for x in lines] == [1, 2]
 
 
-def test_checksums(spark, tmp_path, monkeypatch):
-    contents = {"a.txt": b"alpha", "b.txt": b"x" * 300_000}
+def test_checksums(spark, tmp_path):
+    """Bytes of any kind, under a suffix (whole files) and under a glob without one (files may be split)."""
+    rng = random.Random(4)
+    contents = {
+        "a.txt": b"alpha", "b.txt": b"x" * 300_000, "c.txt": rng.randbytes(3_000_000), "d.txt": b"", "e.txt": b"\n",
+        "f.txt": b"\xef\xbb\xbf", "g.txt": b"\xef\xbb\xbf\n", "h.txt": b"\xef\xbb\xbfa\r\n\n\rb", "i.txt": b"\n\xef\xbb\xbf\n\n",
+        "no suffix": rng.randbytes(70_000) + b"\n", "j.gz": b"not compressed\n" * 50,
+    }
     for name, data in contents.items():
         (tmp_path / name).write_bytes(data)
     expected = {n: hashlib.sha256(d).hexdigest() for n, d in contents.items()}
-    for limit in (checksums.WHOLE_FILE_BYTES, 1000):
-        monkeypatch.setattr(checksums, "WHOLE_FILE_BYTES", limit)
-        files = checksums.file_checksums(spark, str(tmp_path), glob="*.txt")
-        assert {os.path.basename(r["path"]): r["sha256"] for r in files.collect()} == expected
-    checksums.pin(files, {n: h.upper() for n, h in expected.items()})
-    for wrong in ({"a.txt": "0" * 64}, {"c.txt": expected["a.txt"]}):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        for glob in ("*.txt", "*.gz", "[a-i].*", "no*"):
+            files = checksums.file_checksums(spark, str(tmp_path), glob=glob)
+            found = {unquote(os.path.basename(r["path"])): (r["length"], r["sha256"]) for r in files.collect()}
+            named = {n for n, data in contents.items() if data and fnmatch.fnmatch(n, glob)}
+            assert found == {n: (len(contents[n]), expected[n]) for n in named}, glob
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    files = checksums.file_checksums(spark, str(tmp_path), glob="*.txt")
+    checksums.pin(files, {n: expected[n].upper() for n in ("a.txt", "f.txt")})
+    for wrong in ({"a.txt": "0" * 64}, {"z.txt": expected["a.txt"]}, {"d.txt": expected["d.txt"]}):
         with pytest.raises(ValidationError, match="checksum"):
             checksums.pin(files, wrong)
 
@@ -145,7 +180,6 @@ def test_summary_sink(spark, tmp_path):
 
 def test_curation_from_zst_to_jsonl(spark, tmp_path):
     """The whole curation job: scan, filter, number in file order, write, release."""
-    from winnow.operators.ordering import with_scan_order
     from winnow.session import release
 
     folder = tmp_path / "in"
@@ -158,8 +192,8 @@ def test_curation_from_zst_to_jsonl(spark, tmp_path):
             messages = [{"role": "user", "content": f"{name}{n:02d}", "info": info},
                         {"role": "assistant", "content": good, "info": {}}]
             lines.append(json.dumps({"messages": messages}))
-        zst(folder / f"{name}.jsonl.zst", "broken\n" + "\n".join(lines))
-    scan = with_scan_order(jsonl.scan_zst_jsonl(spark, str(folder), schemas.CHAT))
+        zst(folder / f"{name}.jsonl.zst", "broken\n" + "\n".join(lines), 28 if name == "a" else 21)
+    scan = jsonl.scan_zst_jsonl(spark, str(folder), schemas.CHAT, with_order=True)
     rows = curate.with_drop_reason(jsonl.good_lines(scan))
     report = {r["reason"]: r["n"] for r in curate.drop_report(rows).collect()}
     assert report == {"kept": 66, "incorrect": 34}

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from winnow.functions import text as X
+from winnow.functions.canonical import forms_equal
 
 # Text that float() accepts; a cast alone would also take Java suffixes such as "1d".
 _FLOAT = (
@@ -93,12 +94,14 @@ def math_equal(gold: Column, pred: Column, gold_num: Column, pred_num: Column) -
     )
 
 
-def choice_of_value(choices: Column, pred: Column, pred_num: Column) -> Column:
-    """Letter of the first choice `struct<letter, text>` equal to a normalised answer, else null."""
+def choice_of_value(choices: Column, pred: Column, pred_num: Column, pred_form: Column) -> Column:
+    """Letter of the first choice `struct<letter, text, form>` equal to a normalised answer, else null."""
     same = F.filter(
         choices,
         lambda c: F.coalesce(
-            math_equal(c["text"], pred, math_number(c["text"]), pred_num), F.lit(False)
+            math_equal(c["text"], pred, math_number(c["text"]), pred_num),
+            forms_equal(c["form"], pred_form),
+            F.lit(False),
         ),
     )
     return F.try_element_at(same, F.lit(1))["letter"]

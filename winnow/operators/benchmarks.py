@@ -9,6 +9,7 @@ from winnow.functions import text as X
 from winnow.functions.fields import first_present, is_json_object, json_object_field, with_question
 from winnow.functions.stage import stage
 from winnow.operators.checks import ValidationError, check
+from winnow.session import materialize
 
 
 def _nested_as_json(df: DataFrame) -> DataFrame:
@@ -174,27 +175,50 @@ def pair_json(question: Column, answer: Column) -> Column:
     return F.to_json(F.array(X.strip(question), X.strip(answer)))
 
 
-def semantic_sha256(
+BLOCK_ROWS = 4096
+
+
+def semantic_digest(
     df: DataFrame,
     *,
     position: str = "position",
     question: str = "question",
     answer: str = "answer",
-    max_rows: int = 100_000,
-) -> str:
-    """SHA-256 over the ordered pairs as one JSON array.
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """One row, `n_rows` and `sha256`: a tree of SHA-256 digests over the ordered pairs.
 
-    One digest over the whole text is sequential by definition, so the size is checked first; use
-    `fingerprint` for larger tables.
+    A leaf is the JSON array of the pairs of one block of positions; a node is the digests below it, one
+    a line, again in blocks. A table of one block so has the digest of the plain JSON array, and a larger
+    one needs no task to see more than a block. A repeated, null or negative position fails. An empty table has the
+    digest of `[]`.
     """
-    rows = df.select(position, pair_json(F.col(question), F.col(answer)).alias("pair"))
-    if rows.limit(max_rows + 1).count() > max_rows:
-        raise ValidationError(f"more than {max_rows} rows: use fingerprint()")
-    ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct(position, "pair"))), lambda r: r["pair"]
-    )
-    text = F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]"))
-    return rows.agg(F.sha2(text.cast("binary"), 256).alias("digest")).first()["digest"]
+    rows = df.select(F.col(position).cast("bigint").alias("at"), pair_json(F.col(question), F.col(answer)).alias("pair"))
+    check(rows.where("at is null or at < 0"), "rows without a position from 0 on")
+    rows = materialize(rows.select("at", "pair", F.expr(f"floor(at / {block_rows})").alias("block")), "digest-pairs")
+    # More rows than a block has positions are found before any list is built.
+    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows)
+    check(sizes, "repeated positions")
+    held = F.array_sort(F.collect_list(F.struct("at", "pair")))
+    blocks = rows.groupBy("block").agg(held.alias("held"), F.count(F.lit(1)).alias("n"))
+    places = F.transform("held", lambda r: r["at"])
+    blocks = blocks.withColumn("held", F.when(F.size(F.array_distinct(places)) == F.col("n"), F.col("held")))
+    text = F.concat(F.lit("["), F.array_join(F.transform("held", lambda r: r["pair"]), ","), F.lit("]"))
+    nodes = materialize(blocks.select("block", "n", F.sha2(text.cast("binary"), 256).alias("sha256")), "digest-blocks")
+    check(nodes.where("sha256 is null").select("block"), "blocks with repeated positions")
+    while nodes.count() > 1:
+        below = F.array_sort(F.collect_list(F.struct("block", "sha256")))
+        joined = F.array_join(F.transform(below, lambda r: r["sha256"]), "\n")
+        upper = nodes.groupBy(F.expr(f"floor(block / {block_rows})").alias("above"))
+        upper = upper.agg(F.sum("n").alias("n"), F.sha2(joined.cast("binary"), 256).alias("sha256"))
+        nodes = materialize(upper.withColumnRenamed("above", "block"), "digest-blocks")
+    none = F.sha2(F.lit("[]").cast("binary"), 256)
+    return nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.first("sha256"), none).alias("sha256"))
+
+
+def semantic_sha256(df: DataFrame, **options: object) -> str:
+    """The digest of `semantic_digest` alone."""
+    return semantic_digest(df, **options).first()["sha256"]
 
 
 def fingerprint(df: DataFrame, *, position: str, question: str, answer: str) -> DataFrame:

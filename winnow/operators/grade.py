@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from winnow import constants as K
 from winnow.functions import grading as G
 from winnow.functions import text as X
+from winnow.functions.canonical import ANSWERS, forms_equal, forms_of_answers
 from winnow.functions.stage import stage
 
 _ANY_MATH = r"\\boxed|\$|\\\(|\\\["
@@ -17,8 +18,9 @@ def with_math_verdict(
 ) -> DataFrame:
     """Native level of math equality: true, false, or null when it cannot decide.
 
-    The last boxed value is compared with gold, as normalised text and as a number. Blank gold is
-    null. A response with neither a box nor any math delimiter holds no answer and is false.
+    The last boxed value is compared with gold as normalised text, as a number, and where that leaves it
+    open by canonical form. Blank gold is null. A response with neither a box nor any math delimiter holds
+    no answer and is false. Percent signs on both sides cancel.
     """
     rows = stage(df, _mv_box=X.last_box(F.col(prediction)))
     rows = stage(
@@ -26,6 +28,12 @@ def with_math_verdict(
         _mv_pred=G.without_assignment(G.normal_math(F.col("_mv_box"))),
         _mv_gold=G.without_assignment(G.normal_math(G.without_dollars(F.col(gold)))),
     )
+    percent = r"(?<=\d)%$"
+    both = F.col("_mv_pred").rlike(percent) & F.col("_mv_gold").rlike(percent)
+    pred, truth = (
+        F.when(both, F.regexp_replace(c, percent, "")).otherwise(F.col(c)) for c in ("_mv_pred", "_mv_gold")
+    )
+    rows = stage(rows, _mv_pred=pred, _mv_gold=truth)
     pred, truth = F.col("_mv_pred"), F.col("_mv_gold")
     no_answer = pred.isNull() & ~F.col(prediction).rlike(_ANY_MATH)
     verdict = (
@@ -33,7 +41,13 @@ def with_math_verdict(
         .when(no_answer, F.lit(False))
         .otherwise(G.math_equal(truth, pred, G.math_number(truth), G.math_number(pred)))
     )
-    return stage(rows, **{out: verdict}).drop("_mv_box", "_mv_pred", "_mv_gold")
+    rows = stage(rows, _mv_verdict=verdict)
+    open_ = F.col("_mv_verdict").isNull()
+    rows = stage(rows, **{ANSWERS: F.when(open_, F.array(truth, pred))})
+    rows = stage(rows, _mv_forms=forms_of_answers()).drop(ANSWERS)
+    by_form = F.when(open_, forms_equal(F.col("_mv_forms")[0], F.col("_mv_forms")[1]))
+    helpers = ("box", "pred", "gold", "verdict", "forms")
+    return stage(rows, **{out: F.coalesce("_mv_verdict", by_form)}).drop(*(f"_mv_{h}" for h in helpers))
 
 
 def with_choice_verdict(
@@ -52,9 +66,15 @@ def with_choice_verdict(
             G.without_assignment(G.normal_math(c["value"])).alias("text"),
         ),
     )
-    rows = stage(rows, _cv_choices=choices, _cv_num=G.math_number(F.col("_cv_pred")))
-    letter = G.choice_of_value(F.col("_cv_choices"), F.col("_cv_pred"), F.col("_cv_num"))
-    return stage(rows, **{out: letter == F.col(gold)}).drop("_cv_pred", "_cv_choices", "_cv_num")
+    pred = F.col("_cv_pred")
+    rows = stage(rows, _cv_choices=choices, _cv_num=G.math_number(pred))
+    texts = F.concat(F.array(pred), F.transform("_cv_choices", lambda c: c["text"]))
+    rows = stage(rows, **{ANSWERS: F.when(pred.isNotNull(), texts)})
+    rows = stage(rows, _cv_forms=forms_of_answers()).drop(ANSWERS)
+    forms = F.col("_cv_forms")
+    formed = F.transform("_cv_choices", lambda c, i: c.withField("form", F.get(forms, i + 1)))
+    letter = G.choice_of_value(formed, pred, F.col("_cv_num"), F.get(forms, F.lit(0)))
+    return stage(rows, **{out: letter == F.col(gold)}).drop("_cv_pred", "_cv_choices", "_cv_num", "_cv_forms")
 
 
 def with_native_verdict(

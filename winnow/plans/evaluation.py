@@ -182,6 +182,88 @@ def grade_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("position", "sample_index", "verified", "grader_error")
 
 
+# Gold and response by part, the right answer spoiled in every third; `b` is the number that is spoiled.
+_FORM_CASES: list[tuple[str, str, str | None]] = [
+    ("{a}x+{b}", "{c}+{a}x", "{c} = {b}"),
+    ("({a}, {b})", "\\left({a},{c}\\right)", "{c} = {b}"),
+    ("\\{{{a},{b}\\}}", "\\{{{c},{a}\\}}", "{c} = {b}"),
+    ("{b}000", "{c}e3", "{c} = {b}"),
+    ("{a}\\sqrt{{{b}}}", "\\sqrt{{{d}}}", "{c} = {b}"),
+    ("{b}\\%", "{c}/100", "CASE WHEN {c} = {b} THEN true END"),
+    ("[{a},{b})", "[{a},{c})", "{c} = {b}"),
+    ("\\frac{{x}}{{{b}}}+y", "y+x/{c}", "{c} = {b}"),
+]
+
+
+def _form_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`position, question, answer, response`: one case by key, and two cases with a letter as gold."""
+    k = F.col("p_partkey") % (len(_FORM_CASES) + 3)
+    a, b = F.col("p_size"), F.col("p_partkey") % 50 + 1
+    c = b + F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(0)
+    values = {"a": a, "b": b, "c": c, "d": a * a * c}
+
+    def filled(pattern: str) -> Column:
+        pieces = re.split(r"(\{[abcd]\})", pattern)
+        return F.concat(
+            *(
+                values[p[1]].cast("string") if re.fullmatch(r"\{[abcd]\}", p) else F.lit(p.format())
+                for p in pieces
+                if p
+            )
+        )
+
+    answer, response = F.lit("A"), filled("so \\boxed{{x+{c}}}")
+    n = len(_FORM_CASES)
+    answer = F.when(k == n + 1, F.lit("$c$")).when(k == n + 2, F.lit("7")).otherwise(F.lit("B"))
+    stated = F.when(c == b, F.lit("the answer is (C)")).otherwise(F.lit("the answer is D"))
+    response = F.when(k == n + 1, stated).when(k == n + 2, F.lit("it is $x$")).otherwise(response)
+    for i, (gold, said, _) in enumerate(_FORM_CASES):
+        answer = F.when(k == i, filled(gold)).otherwise(answer)
+        response = F.when(k == i, F.concat(F.lit("so \\boxed{"), filled(said), F.lit("}"))).otherwise(response)
+    question = filled("Which? (A) {a}x (B) {b}+x (C) 7")
+    rows = S.wide_table(spark, sf_dir, "part", "p_partkey", "p_size")
+    return rows.select(
+        F.col("p_partkey").alias("position"), question.alias("question"), answer.alias("answer"), response.alias("response")
+    )
+
+
+def _forms_sql(open_: str) -> str:
+    """`position, verified` with `open_` where the native level cannot decide."""
+    spoiled = {"a": "p_size", "b": "(p_partkey % 50 + 1)", "c": "(p_partkey % 50 + 1 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END)"}
+    n = len(_FORM_CASES)
+    cases = " ".join(f"WHEN {i} THEN coalesce({verdict.format(**spoiled)}, {open_})" for i, (_, _, verdict) in enumerate(_FORM_CASES))
+    right = "{c} = {b}".format(**spoiled)
+    cases += f" WHEN {n} THEN CASE WHEN {right} THEN true ELSE {open_} END WHEN {n + 1} THEN {right}"
+    return f"SELECT p_partkey AS position, CASE p_partkey % {n + 3} {cases} END AS verified FROM part"
+
+
+@query(_forms_sql("NULL::BOOLEAN"))
+def grade_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composite check on sums, tuples, sets, intervals, roots, percent and letters."""
+    return grading.with_verdict(_form_rows(spark, sf_dir)).select("position", "verified")
+
+
+@query(
+    f"""
+    SELECT *, CASE WHEN position % {len(_FORM_CASES) + 3} = {len(_FORM_CASES) + 2} THEN 'ValueError:no box' END AS grader_error
+    FROM ({_forms_sql('false')})
+    """
+)
+def grade_with_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows; those left open go to a caller's grader, which fails where nothing is boxed."""
+    return grading.with_verdict(_form_rows(spark, sf_dir), grader=_digits_or_word_grader).select(
+        "position", "verified", "grader_error"
+    )
+
+
+def _digits_or_word_grader(response: str, answer: str) -> bool:
+    """Stand-in for a caller's grader: the box is the answer, letter by letter."""
+    found = re.search(r"boxed\{(.*)\}", response)
+    if found is None:
+        raise ValueError("no box")
+    return found.group(1) == answer
+
+
 # --- detail and metrics --------------------------------------------------------------------------------
 
 MAX_NEW_TOKENS = 4

@@ -325,36 +325,30 @@ def benchmark_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files -----------------------------------------------------------------------------------------
 
 
-def write_zst_jsonl(df: DataFrame, path: str, *, window_log: int = 21) -> int:
-    """Write JSON lines as one `.jsonl.zst` file per partition below a shared folder.
-
-    A file is named by its partition and renamed into place when whole, so a repeated task replaces
-    its own file.
-    """
-    import os
-
-    import pandas as pd
-    import zstandard
-    from pyspark import TaskContext
-
-    from winnow.sources.jsonl import _local
-
-    folder = _local(path)
-    os.makedirs(folder, exist_ok=True)
-
-    def write(batches):
-        context = TaskContext.get()
-        target = os.path.join(folder, f"part-{context.partitionId():05d}.jsonl.zst")
-        draft = f"{target}.{context.taskAttemptId()}"
-        params = zstandard.ZstdCompressionParameters(window_log=window_log)
-        rows = 0
-        with open(draft, "wb") as raw:
-            with zstandard.ZstdCompressor(compression_params=params).stream_writer(raw) as out:
-                for batch in batches:
-                    rows += len(batch)
-                    out.write("".join(f"{line}\n" for line in batch["line"]).encode())
-        os.replace(draft, target)
-        yield pd.DataFrame({"rows": [rows]})
+# A frame that readers skip, with one byte in it: the line feed that the text writer adds.
+_SKIPPED = b"\x50\x2a\x4d\x18\x01\x00\x00\x00"
+FRAME_ROWS = 500
+WINDOWS = (21, 28)  # as powers of two, by turns
+
+
+def write_zst_jsonl(df: DataFrame, path: str) -> None:
+    """Write JSON lines as zstd frames of small and large windows, through Spark's text writer."""
+
+    def frames(batches):
+        import pyarrow as pa
+        import zstandard
+
+        for batch in batches:
+            out = []
+            for at in range(0, batch.num_rows, FRAME_ROWS):
+                lines = batch.column(0).slice(at, FRAME_ROWS).to_pylist()
+                log = WINDOWS[at // FRAME_ROWS % len(WINDOWS)]
+                press = zstandard.ZstdCompressor(
+                    compression_params=zstandard.ZstdCompressionParameters(window_log=log)
+                ).compressobj()
+                text = "".join(f"{line}\n" for line in lines).encode()
+                out.append(press.compress(text) + press.flush() + _SKIPPED)
+            yield pa.RecordBatch.from_pydict({"frame": pa.array(out, pa.binary())})
 
     lines = df.select(F.to_json(F.struct("*")).alias("line"))
-    return lines.mapInPandas(write, "rows bigint").agg(F.sum("rows")).first()[0]
+    lines.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string")).write.text(path)

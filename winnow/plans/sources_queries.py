@@ -15,10 +15,11 @@ DOCUMENT_ROWS = 100
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def scan_zst_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of small and large windows in one file."""
     rows = X.turns(spark, sf_dir)
     path = shared_path(spark, "zst")
     X.write_zst_jsonl(rows, path)
-    return jsonl.good_lines(jsonl.scan_zst_jsonl(spark, path, rows.schema))
+    return jsonl.good_lines(jsonl.scan_zst_jsonl(spark, path, rows.schema, glob="*.txt"))
 
 
 @query("SELECT event_id, user_id, event_type, value, props FROM events")
@@ -120,6 +121,49 @@ def dataset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("hash_sum", F.col("hash_sum").cast("string"))
 
 
+DIGEST_BLOCK = 64
+
+
+@query(
+    f"""
+    WITH pairs AS (
+      SELECT doc_id // {DIGEST_BLOCK} AS b, count(*) AS n,
+             sha256('[' || string_agg(to_json([text, CAST(n_chars AS VARCHAR)]), ',' ORDER BY doc_id) || ']') AS d
+      FROM documents GROUP BY b),
+    two AS (SELECT b // {DIGEST_BLOCK} AS b, sha256(string_agg(d, chr(10) ORDER BY b)) AS d FROM pairs GROUP BY ALL),
+    three AS (SELECT b // {DIGEST_BLOCK} AS b, sha256(string_agg(d, chr(10) ORDER BY b)) AS d FROM two GROUP BY ALL),
+    four AS (SELECT b // {DIGEST_BLOCK} AS b, sha256(string_agg(d, chr(10) ORDER BY b)) AS d FROM three GROUP BY ALL),
+    roots AS (
+      SELECT 1 AS level, count(*) AS n, min(d) AS d FROM pairs UNION ALL SELECT 2, count(*), min(d) FROM two
+      UNION ALL SELECT 3, count(*), min(d) FROM three UNION ALL SELECT 4, count(*), min(d) FROM four)
+    SELECT (SELECT CAST(sum(n) AS BIGINT) FROM pairs) AS n_rows, arg_min(d, level) AS sha256 FROM roots WHERE n = 1
+    """
+)
+def semantic_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest tree in blocks small enough that the given tables need several levels."""
+    docs = X.table(spark, sf_dir, "documents").withColumn("answer", F.col("n_chars").cast("string"))
+    return benchmarks.semantic_digest(
+        docs, position="doc_id", question="text", answer="answer", block_rows=DIGEST_BLOCK
+    )
+
+
+@query(
+    """
+    SELECT doc_id % 7 AS part, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS length,
+           sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256
+    FROM documents GROUP BY part
+    """
+)
+def written_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums of text files written from a table, one file per part."""
+    docs = X.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 7).alias("part"))
+    path = shared_path(spark, "texts")
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(path)
+    files = checksums.file_checksums(spark, path, glob="*.txt")
+    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint")
+    return files.select(part.alias("part"), "length", "sha256")
+
+
 @query(
     """
     SELECT doc_id AS position, text AS instruction, CAST(quality AS VARCHAR) AS answer

@@ -5,50 +5,43 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from winnow.operators.checks import ValidationError, check
-from winnow.sources.jsonl import _local, list_files
+from winnow.sources.raw import BOM, file_lines, files_of, list_files
 
-# Above this a file is hashed in chunks; below, as one binary value, on any file system.
-WHOLE_FILE_BYTES = 64 << 20
-_CHUNK = 1 << 20
 
-
-def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        digests = []
-        for path in batch["path"]:
-            digest = hashlib.sha256()
-            with open(_local(path), "rb") as stream:
-                while chunk := stream.read(_CHUNK):
-                    digest.update(chunk)
-            digests.append(digest.hexdigest())
-        yield batch.assign(sha256=digests)
+def _hash_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for path, length, pieces in files_of(batches):
+        # A byte order mark is only known of at the end.
+        plain, marked = hashlib.sha256(), hashlib.sha256(BOM)
+        for piece in pieces:
+            if piece is BOM:
+                plain = marked
+            else:
+                plain.update(piece)
+                marked.update(piece)
+        yield pa.RecordBatch.from_pydict({"_path": [path], "sha256": [plain.hexdigest()]})
 
 
 def file_checksums(spark: SparkSession, path: str | list[str], *, glob: str = "*") -> DataFrame:
-    """`path, length, sha256` of every file; large files are streamed, one task per file."""
-    schema = "path string, length bigint, sha256 string"
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    )
-    small = files.where(F.col("length") <= WHOLE_FILE_BYTES).select(
-        "path", "length", F.sha2("content", 256).alias("sha256")
-    )
-    large = (
-        list_files(spark, path, glob)
-        .where(F.col("length") > WHOLE_FILE_BYTES)
-        .mapInPandas(_hash_files, schema)
-    )
-    return small.unionByName(large)
+    """`path, length, sha256` of every file, each streamed by one task.
+
+    Spark's readers pass over files without bytes, so these have no row; a pin on one fails.
+    """
+    files = list_files(spark, path, glob)
+    hashes = file_lines(spark, path, glob).mapInArrow(_hash_files, "_path string, sha256 string")
+    # Without a line, as it holds nothing but a byte order mark.
+    bare = F.when(F.col("length") == len(BOM), hashlib.sha256(BOM).hexdigest())
+    joined = files.join(hashes, F.col("path") == F.col("_path"), "left")
+    return joined.select("path", "length", F.coalesce("sha256", bare).alias("sha256"))
 
 
 def checksum_mismatches(files: DataFrame, expected: DataFrame) -> DataFrame:
     """Pinned files (`name, expected`) that are absent or differ; names are the last path part."""
     named = files.withColumn("name", F.element_at(F.split("path", "/"), -1))
-    joined = F.broadcast(expected).join(named, "name", "left")
+    joined = expected.join(named, "name", "left")
     return joined.where(~F.coalesce(F.col("sha256") == F.lower("expected"), F.lit(False)))
 
 

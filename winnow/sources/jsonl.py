@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from winnow.operators.ordering import SCAN_ORDER, with_scan_order
+from winnow.sources.raw import file_lines, files_of, list_files
 
-# Spark's own zstd reader takes frames up to this window; the fallback takes up to 2 GiB.
-NATIVE_WINDOW = 1 << 27
-MAX_WINDOW = 1 << 31
+MAX_WINDOW = 1 << 31  # the format's limit
 BAD_LINE = "_bad_line"
 
 
@@ -81,10 +80,6 @@ def scan_json_document(
 
 # --- zstd --------------------------------------------------------------------------------------
 
-_FILE = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType())])
-_WINDOW = T.StructType(
-    [T.StructField("path", T.StringType()), T.StructField("window", T.LongType())]
-)
 _LINE = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -94,106 +89,85 @@ _LINE = T.StructType(
 )
 _LINES_PER_BATCH = 4096
 _BATCH_BYTES = 32 << 20
+_FEED_BYTES = 1 << 16
 
 
-def _local(path: str) -> str:
-    """Path on the file system the executors share."""
-    parsed = urlparse(path)
-    if parsed.scheme not in ("", "file"):
-        raise ValueError(f"large-window zstd files must be on a mounted file system: {path}")
-    return unquote(parsed.path)
-
+class _Source(io.RawIOBase):
+    """Pieces of a file as a readable stream."""
 
-def list_files(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
-    """`path, length` of the files below a folder; their content is not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .load(path)
-        .select("path", "length")
-    )
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.held = pieces, memoryview(b"")
 
+    def readable(self) -> bool:
+        return True
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
-
-    for batch in batches:
-        paths = batch.column("path").to_pylist()
-        windows = []
-        for path in paths:
-            with open(_local(path), "rb") as stream:
-                windows.append(zstandard.get_frame_parameters(stream.read(64)).window_size)
-        yield pa.RecordBatch.from_pydict({"path": paths, "window": pa.array(windows, pa.int64())})
+    def read(self, size: int = _FEED_BYTES) -> bytes:
+        while not len(self.held):
+            piece = next(self.pieces, None)
+            if piece is None:
+                return b""
+            self.held = memoryview(piece)
+        out, self.held = self.held[:size], self.held[size:]
+        return bytes(out)
 
 
 def _stream_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import io
-
+    """Lines that are not blank, with their number in the file, a bounded batch at a time."""
     import zstandard
 
-    for batch in batches:
-        for path in batch.column("path").to_pylist():
-            lines: list[str] = []
-            numbers: list[int] = []
-            size = 0
-
-            def flush() -> pa.RecordBatch:
-                return pa.RecordBatch.from_pydict(
-                    {
-                        "path": [path] * len(lines),
-                        "line_no": pa.array(numbers, pa.int64()),
-                        "line": pa.array(lines, pa.string()),
-                    }
-                )
-
-            with open(_local(path), "rb") as raw:
-                reader = zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW).stream_reader(
-                    raw, read_across_frames=True
-                )
-                for number, line in enumerate(io.BufferedReader(reader, 1 << 20)):
-                    if not line.strip():
-                        continue
-                    lines.append(line.decode("utf-8", "replace").rstrip("\n"))
-                    numbers.append(number)
-                    size += len(line)
-                    if len(lines) >= _LINES_PER_BATCH or size >= _BATCH_BYTES:
-                        yield flush()
-                        lines, numbers, size = [], [], 0
-            if lines:
+    for path, _, pieces in files_of(batches):
+        lines: list[str] = []
+        numbers: list[int] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            columns = {"path": [path] * len(lines), "line_no": pa.array(numbers, pa.int64())}
+            return pa.RecordBatch.from_pydict(columns | {"line": pa.array(lines, pa.string())})
+
+        reader = zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW).stream_reader(
+            _Source(pieces), read_across_frames=True
+        )
+        for number, line in enumerate(io.BufferedReader(reader, 1 << 20)):
+            if not line.strip():
+                continue
+            lines.append(line.decode("utf-8", "replace").rstrip("\n"))
+            numbers.append(number)
+            size += len(line)
+            if len(lines) >= _LINES_PER_BATCH or size >= _BATCH_BYTES:
                 yield flush()
+                lines, numbers, size = [], [], 0
+        if lines:
+            yield flush()
+
+
+def zst_lines(spark: SparkSession, path: str | list[str], glob: str = "*.zst") -> DataFrame:
+    """`path, line_no, line` of zstd-compressed text files of any window size; no file is an error.
+
+    Spark reads the compressed bytes, so any store it reads will do; the task that reads a file
+    decompresses it as a stream. Such a file cannot be split: repartition before heavy work.
+    """
+    if list_files(spark, path, glob).isEmpty():
+        raise FileNotFoundError(f"no {glob} files in {path}")
+    return file_lines(spark, path, glob).mapInArrow(_stream_lines, _LINE)
 
 
 def scan_zst_jsonl(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: T.StructType,
     *,
     glob: str = "*.jsonl.zst",
-    check_windows: bool = True,
+    with_order: bool = False,
 ) -> DataFrame:
     """zstd-compressed JSON lines, bad lines marked in `_bad_line`; no file is an error.
 
-    Files go through Spark's reader. Those whose first frame needs a window it refuses are streamed
-    by one task each, a batch of lines at a time. Neither kind of file can be split: repartition the
-    result before heavy work.
+    `with_order` adds the scan-order columns, by path and line number.
     """
-    files = list_files(spark, path, glob)
-    if files.isEmpty():
-        raise FileNotFoundError(f"no {glob} files in {path}")
-    large: list[str] = []
-    if check_windows:
-        windows = files.select("path").mapInArrow(_windows, _WINDOW)
-        large = [r["path"] for r in windows.where(F.col("window") > NATIVE_WINDOW).collect()]
-    if not large:
-        return scan_jsonl_lenient(spark, path, schema, glob=glob)
-    paths = spark.createDataFrame([(p,) for p in sorted(large)], "path string")
-    lines = paths.repartition(len(large), "path").mapInArrow(_stream_lines, _LINE)
+    lines = zst_lines(spark, path, glob)
     marked = T.StructType([*schema.fields, T.StructField(BAD_LINE, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
-    streamed = lines.select(F.from_json("line", marked, options).alias("row")).select("row.*")
-    small = [r["path"] for r in files.select("path").collect() if r["path"] not in set(large)]
-    if not small:
-        return streamed
-    return scan_jsonl_lenient(spark, small, schema).unionByName(streamed)
-
-
+    rows = lines.select("path", "line_no", F.from_json("line", marked, options).alias("row"))
+    if not with_order:
+        return rows.select("row.*")
+    order = (F.col("path"), F.lit(0).cast("bigint"), F.col("line_no"))
+    return rows.select("row.*", *(c.alias(name) for c, name in zip(order, SCAN_ORDER)))
