@@ -26,3 +26,29 @@ def test_stages_keep_columns_and_take_effect(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
     assert 0 < last.count() and set(columns) <= set(last.columns)
     assert last.where("copy > 3").count() == 0
+
+
+CLASHES = "doc_id bigint, text string, lang string, source string, terms string, _row int, size int, copy string"
+
+
+def test_no_text_is_lost_where_ids_repeat_and_no_column_name_breaks_a_stage(spark):
+    from winnow.llm import stages
+
+    one, two, other = (" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b", "c"))
+    rows = [(5, one), (7, one), (5, two), (3, two), (5, other), (9, other + " tail"), (None, one), (4, None), (6, ""), (5, one)]
+    docs = spark.createDataFrame([(*r, "en", "s", "t", 1, 2, "c") for r in rows], CLASHES)
+    kept = [(r.doc_id, r.text) for r in stages.drop_near_copies(spark, docs, SMALL).collect()]
+    assert sorted(kept, key=repr) == sorted([(5, one), (5, one), (3, two), (5, other), (None, one), (4, None), (6, "")], key=repr)
+    mail = docs.union(spark.createDataFrame([(8, "write to a@b.org now", "en", "s", "t", 1, 2, "c")], CLASHES))
+    clean = stages.sanitise(spark, mail, SMALL)
+    assert clean.columns == docs.columns
+    assert {r.text for r in clean.where("doc_id = 8").collect()} == {"write to [EMAIL] now"}
+    mixed = stages.mix_sources(spark, docs, SMALL)
+    assert {r.doc_id for r in mixed.collect()} <= {r[0] for r in rows} and mixed.where("copy > 3").count() == 0
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMALL)
+        assert docs.count() == 0

@@ -17,9 +17,9 @@ triangle inequality of the Jaccard distance rules a link out. So every candidate
 join two components is compared or ruled out, a group of near copies costs one comparison per
 member plus that of its outliers, and the pairs of a group are never written as rows.
 
-Null, empty and blank texts have no shingles and are linked with nothing. Rows with equal ids share
-a node of the graph: they get the same component. Rows with a null id are left alone (null
-component, kept). Columns other than id and text are not read.
+Null, empty and blank texts have no shingles and are linked with nothing. Rows with equal ids and
+different texts have components of their own; `text_hash` tells them apart. Rows with a null id are left
+alone (null component, kept). Columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -72,13 +72,13 @@ def bands(sketch: np.ndarray) -> np.ndarray:
 
 
 def sketch_table(docs: DataFrame, id_col: str) -> DataFrame:
-    """Per row: id, n_shingles, two sums that name its set, band keys."""
+    """Per row: id, th (hash of the text), n_shingles, two sums that name its set, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = list(shingle_sets(part.column(1).to_pylist()))
+                sets = list(shingle_sets(part.column(2).to_pylist()))
                 keys = bands(sketches(sets))
                 with np.errstate(over="ignore"):
                     names = [
@@ -88,19 +88,20 @@ def sketch_table(docs: DataFrame, id_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         *[pa.array(n.view(np.int64)) for n in names],
                         pa.array([list(k) for k in keys.view(np.int64)], pa.list_(pa.int64())),
                     ],
-                    names=["id", "n", "name1", "name2", "bands"],
+                    names=["id", "th", "n", "name1", "name2", "bands"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("bigint"), "text")
-    return rows.mapInArrow(run, "id bigint, n bigint, name1 bigint, name2 bigint, bands array<bigint>")
+    rows = docs.select(F.col(id_col).cast("bigint"), F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(run, "id bigint, th bigint, n bigint, name1 bigint, name2 bigint, bands array<bigint>")
 
 
-def set_table(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """Full shingle sets of the documents named in `ids`."""
+def set_table(docs: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
+    """Full shingle sets of the documents that stand for `nodes` (node, _rep, _th)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +112,8 @@ def set_table(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
                     [part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"]
                 )
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), "text").join(ids, "id", "left_semi")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64("text").alias("_own"), "text")
+    rows = rows.join(nodes, F.expr("_id = _rep and _own = _th")).select("node", "text")
     return rows.mapInArrow(run, "id bigint, shingles array<bigint>")
 
 
@@ -243,15 +245,17 @@ def labels_of(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame |
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
-    """Per row of `docs`: id, n_shingles, component_id (smallest id reachable), kept."""
+    """Per row of `docs`: id, n_shingles, component_id (smallest id reachable), kept, text_hash."""
     rows = materialize(sketch_table(docs, id_col), "dedup-sketches")
     named = rows.where("n > 0 and id is not null")
-    classes = materialize(
-        named.groupBy("name1", "name2", "n").agg(F.min("id").alias("rep")), "dedup-classes"
-    )
-    own = classes.select(F.col("name1").alias("_1"), F.col("name2").alias("_2"), F.col("rep").alias("_rep"))
-    reps = named.join(own, F.expr("name1 = _1 and name2 = _2 and id = _rep"), "left_semi").dropDuplicates(["id"])
-    spread = reps.select("id", "n", F.explode("bands").alias("band"))
+    # A class has a node of its own, as texts may share an id.
+    classes = named.groupBy("name1", "name2", "n").agg(F.min(F.struct("id", "th")).alias("first"))
+    classes = classes.select("name1", "name2", "n", F.col("first.id").alias("rep"), F.col("first.th").alias("rep_th"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "dedup-classes")
+    own = classes.select(*(F.col(c).alias(f"_{c}") for c in ("name1", "name2", "n", "rep", "rep_th")), "node")
+    reps = named.join(own, F.expr("name1 = _name1 and name2 = _name2 and n = _n and id = _rep and th = _rep_th"))
+    reps = reps.select("node", "n", "bands").dropDuplicates(["node"])
+    spread = reps.select(F.col("node").alias("id"), "n", F.explode("bands").alias("band"))
     shared = spread.groupBy(F.col("band").alias("_band")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     members = materialize(
         spread.join(shared, F.col("band") == F.col("_band")).select(
@@ -259,24 +263,31 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
         ),
         "dedup-members",
     )
-    ids = materialize(members.select("id").distinct(), "dedup-ids")
-    sets = materialize(set_table(docs, ids, id_col).dropDuplicates(["id"]), "dedup-sets")
+    held = members.select(F.col("id").alias("_member")).distinct()
+    held = held.join(classes, F.col("_member") == F.col("node")).select("node", F.col("rep").alias("_rep"), F.col("rep_th").alias("_th"))
+    sets = materialize(set_table(docs, materialize(held, "dedup-ids"), id_col).dropDuplicates(["id"]), "dedup-sets")
     labels = labels_of(members, sets, percent)
+    if labels is None:
+        classes = classes.withColumn("component", F.col("rep"))
+    else:
+        labels = labels.select(F.col("id").alias("_id"), F.col("component").alias("label"))
+        labelled = classes.join(labels, F.col("node") == F.col("_id"), "left").drop("_id")
+        labelled = labelled.withColumn("label", F.coalesce("label", "node"))
+        least = labelled.groupBy(F.col("label").alias("_label")).agg(F.min("rep").alias("component"))
+        classes = labelled.join(least, F.col("label") == F.col("_label")).drop("_label", "label")
+        classes = materialize(classes, "dedup-components")
     result = rows.join(
-        classes.select(F.col("name1").alias("_1"), F.col("name2").alias("_2"), "rep"),
-        F.expr("name1 = _1 and name2 = _2 and n > 0 and id is not null"),
+        classes.select(*(F.col(c).alias(f"_{c}") for c in ("name1", "name2", "n")), "component"),
+        F.expr("name1 = _name1 and name2 = _name2 and n = _n and id is not null"),
         "left",
     )
-    component = F.coalesce("rep", "id")
-    if labels is not None:
-        labels = labels.select(F.col("id").alias("_id"), "component")
-        result = result.join(labels, F.col("rep") == F.col("_id"), "left")
-        component = F.coalesce("component", "rep", "id")
+    component = F.coalesce("component", "id")
     return result.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"),
+        F.col("th").alias("text_hash"),
     )
 
 

@@ -271,18 +271,18 @@ def sanitised(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     terms = term_spans(docs, scanned)
     # The row as one struct: its column names cannot clash with the others.
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_own"), F.xxhash64("text").alias("_key"))
-    rows = rows.join(terms, F.expr("_own <=> _id and _key <=> _th"), "left").select("_row.*", "terms")
+    rows = rows.join(terms, F.expr("_own <=> _id and _key <=> _th"), "left").select("_row", "terms")
     place, schema = docs.columns.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in parts(b)):
             texts = [
                 None if t is None else replaced(t, [(s["start"], s["end"], s["remove"]) for s in spans or ()])
-                for t, spans in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())
+                for t, spans in zip(batch.column(0).field(place).to_pylist(), batch.column(1).to_pylist())
             ]
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns = batch.column(0).flatten()
             columns[place] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=list(batch.schema.names[:-1]))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     return rows.mapInArrow(run, schema)
 

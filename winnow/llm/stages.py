@@ -18,11 +18,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group.
 
-    Rows that share an id share their fate: equal rows all stay or all go.
+    Equal rows all stay or all go; of rows that share an id and differ in text, each goes by its own group.
     """
-    rows = neardup.near_duplicates(docs, percent=SIMILARITY_PERCENT)
-    gone = materialize(rows.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "pipeline-copies")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows = neardup.near_duplicates(docs, percent=SIMILARITY_PERCENT).where("not kept")
+    gone = rows.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    gone = materialize(gone, "pipeline-copies")
+    same = (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_hash"])
+    return docs.join(gone, same, "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix takes of a document, numbered by `copy` from 1.
 
     Of rows that share an id, each is there as often as the copies of all of them allow: the copies
-    are summed per id and size and dealt to its rows evenly, which is exact for equal rows.
+    are summed per id and size and dealt to its rows evenly, which is exact for equal rows. Columns of
+    `docs` named `size` or `copy` give way to those of the mix.
     """
     plan = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "copies")
     plan = plan.groupBy("_id", "_size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
