@@ -131,18 +131,18 @@ def test_exact_quantiles(spark, values):
 def test_batch_weights_with_hot_batch(spark):
     rows = [(n, n % 3 if n % 2 else 9, float(n % 7) / 3) for n in range(3000)] + [(5000, None, 2.0), (5001, None, 1.0)]
     df = spark.createDataFrame(rows, "idx int, batch int, ce double")
-    from winnow.operators.skew import attach_group_stats
+    from winnow.operators.groups import with_group_stats
 
-    out = attach_group_stats(df, ["batch"], {"m": F.avg("ce"), "n": F.count("*")}, spread=["idx"], hot_rows=100)
+    out = with_group_stats(df, ["batch"], {"m": F.avg("ce"), "n": F.count("*")})
     got = by_idx(out)
     data = pd.DataFrame(rows, columns=["idx", "batch", "ce"]).sort_values("idx")
     expected = data.groupby("batch", dropna=False).ce.transform("mean")
     np.testing.assert_allclose(got.m, expected, rtol=1e-12)
     assert len(got) == len(rows)
 
-    scaled = by_idx(weights.batch_loss_weights(df, batch=["batch"], spread=["idx"]))
+    scaled = by_idx(weights.batch_loss_weights(df, batch=["batch"]))
     np.testing.assert_allclose(scaled.weight, np.clip(np.exp(2 * data.ce / np.maximum(expected, 1e-8)), 0.2, 5))
-    plain = by_idx(weights.batch_loss_weights(df, batch=["batch"], spread=["idx"], scale_by_mean=False))
+    plain = by_idx(weights.batch_loss_weights(df, batch=["batch"], scale_by_mean=False))
     np.testing.assert_allclose(plain.weight, np.clip(np.exp(2 * data.ce), 0.2, 5))
 
 
@@ -276,3 +276,25 @@ def test_no_cut_by_default(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     labels = df.select(tokens.masked_label(F.col("pos"), F.col("label"), F.lit(1)).alias("l")).collect()
     assert [r["l"] for r in labels] == [0, 0, 0]
+
+
+def test_bucketed_logits_are_mixed_without_an_exchange(spark):
+    """Three tables of one bucketing: nothing moves below the joins, and the result is that of plain tables."""
+    rng = np.random.default_rng(3)
+    tables = []
+    for _ in range(3):
+        rows = [(i, p, [float(x) for x in rng.standard_normal(6)]) for i in range(40) for p in range(5)]
+        tables.append(spark.createDataFrame(rows, "idx bigint, pos int, logits array<double>"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixed = tokens.mix_logits([tokens.bucketed(t, 4) for t in tables])
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+        plain = tokens.mix_logits(tables)
+        assert "Exchange" in plain._jdf.queryExecution().executedPlan().toString()
+        got, want = ({(r.idx, r.pos): r.logits for r in d.collect()} for d in (mixed, plain))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got.keys() == want.keys() and len(got) == 200
+    np.testing.assert_allclose([got[k] for k in sorted(got)], [want[k] for k in sorted(want)])

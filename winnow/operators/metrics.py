@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from winnow.functions import text as X
-from winnow.operators.skew import attach_group_stats
+from winnow.operators.groups import with_group_stats
 
 _WORD_BITS = 62
 
@@ -32,15 +32,15 @@ def with_latency(
     position: str = "position",
     logged: str = "batch_latency",
     batch_size: int = 128,
-    spread: list[str],
     out: str = "latency_s_per_prompt",
 ) -> DataFrame:
-    """Latency of a row's batch divided by the prompts in it; batches are runs of positions."""
+    """Latency of a row's batch divided by the prompts in it; batches are runs of positions.
+
+    Apply it to the table of one row per position, before candidates are exploded, where there is one.
+    """
     batched = df.withColumn("_batch", F.expr(f"{position} div {batch_size}"))
     prompts = F.count_if(F.col("sample_index") == 0) if "sample_index" in df.columns else F.count(F.lit(1))
-    rows = attach_group_stats(
-        batched, ["_batch"], {"_slowest": F.max(logged), "_prompts": prompts}, spread=spread
-    )
+    rows = with_group_stats(batched, ["_batch"], {"_slowest": F.max(logged), "_prompts": prompts})
     return rows.select(
         *df.columns, F.round(F.col("_slowest") / F.col("_prompts"), 6).alias(out)
     )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from winnow import constants as K
 from winnow.functions import logits as L
 from winnow.functions.exact import exact_sum
+from winnow.session import shared_path
 
 
 def is_answer(pos: Column, prompt_len: Column, max_tokens: int | None = None) -> Column:
@@ -67,6 +70,20 @@ def with_weighted_loss(
     return df.withColumn(out, F.col(weight) * F.col(ce))
 
 
+def bucketed(df: DataFrame, buckets: int, *, keys: tuple[str, ...] = ("idx", "pos")) -> DataFrame:
+    """`df` written once in the shared folder, bucketed and sorted by token.
+
+    Tables of as many buckets join by token without an exchange, however many of them are mixed and
+    however often. Rows are dealt to their buckets first, so each bucket is one file.
+    """
+    spark = df.sparkSession
+    name = f"winnow_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, *keys)
+    writer = rows.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", shared_path(spark, "bucketed")).saveAsTable(name)
+    return spark.table(name)
+
+
 def mix_logits(
     models: list[DataFrame],
     *,
@@ -76,8 +93,8 @@ def mix_logits(
 ) -> DataFrame:
     """Logits of several models mixed per token.
 
-    The join moves whole logit rows: keep the tables bucketed by the same keys, and it needs no
-    exchange. The token key is unique, so no group can be hot.
+    The join moves whole logit rows unless the tables are `bucketed` alike, which needs no exchange. The
+    token key is unique, so no group can be hot.
     """
     joined = models[0].withColumnRenamed(logits, "_l0")
     for number, model in enumerate(models[1:], 1):
@@ -93,8 +110,8 @@ def next_token_loss(
 ) -> DataFrame:
     """One row: mean cross entropy of each token's logits against the following label.
 
-    The following label comes from a join on (idx, pos), which reuses the partitioning of the
-    mixed tokens and keeps a long sample spread; a window would put a sample in one task.
+    The following label comes from a join on (idx, pos), which keeps a long sample spread; a window would
+    put a sample in one task. Labels are moved to the tokens before them; logits lying in buckets stay.
     """
     following = df.where(F.col(label) != K.IGNORED_LABEL).select(
         idx, (F.col(pos) - 1).cast(df.schema[pos].dataType).alias(pos), F.col(label).alias("_next")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from winnow import constants as K
 from winnow.functions.exact import exact_quantiles, exact_sum
-from winnow.operators.skew import attach_group_stats
+from winnow.operators.groups import with_group_stats
 from winnow.session import materialize
 
 
@@ -136,7 +136,6 @@ def batch_loss_weights(
     ce: str = "ce",
     *,
     batch: list[str],
-    spread: list[str],
     alpha: float = 2.0,
     w_min: float = 0.2,
     w_max: float = 5.0,
@@ -146,7 +145,7 @@ def batch_loss_weights(
     """Weights that grow with a sample's loss relative to its batch's mean loss, clipped."""
     rows, ratio = df, F.col(ce)
     if scale_by_mean:
-        rows = attach_group_stats(df, batch, {"_mean": F.avg(ce)}, spread=spread)
+        rows = with_group_stats(df, batch, {"_mean": F.avg(ce)})
         ratio = F.col(ce) / F.greatest(F.col("_mean"), F.lit(1e-8))
     weight = F.least(F.greatest(F.exp(alpha * ratio), F.lit(w_min)), F.lit(w_max))
     return rows.select(*df.columns, weight.alias(out))

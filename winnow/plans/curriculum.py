@@ -124,7 +124,7 @@ def weights_batch_ce(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey",
         F.col("l_quantity").alias("ce"),
     )
-    out = weights.batch_loss_weights(rows, batch=["l_suppkey"], spread=["idx", "line", "ce"])
+    out = weights.batch_loss_weights(rows, batch=["l_suppkey"])
     return out.select("idx", "line", F.round("weight", 9).alias("weight"))
 
 
@@ -309,6 +309,26 @@ def logit_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("idx", "pos", "label", F.col("v").cast("bigint").alias("v"), F.round("x", 9).alias("logit"))
 
 
+BUCKETS = 8
+
+
+@query(
+    LOGITS
+    + """SELECT a.idx, a.pos, a.label,
+                round(list_sum([(a.logits[i] + b.logits[i] + c.logits[65 - i]) / 3 * i for i in range(1, 65)]), 6) AS logit_sum
+         FROM logits a JOIN logits_b b USING (idx, pos) JOIN logits c USING (idx, pos)"""
+)
+def logit_mix_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of three models whose tables lie bucketed by token; each row's logits times their place."""
+    first = S.token_logits(spark, sf_dir)
+    second = S.token_logits(spark, sf_dir, second=True).drop("label")
+    third = first.select("idx", "pos", F.reverse("logits").alias("logits"))
+    mixed = tokens.mix_logits([tokens.bucketed(m, BUCKETS) for m in (first, second, third)])
+    placed = F.transform("logits", lambda x, i: x * (i + 1))
+    total = F.aggregate(placed, F.lit(0.0), lambda a, x: a + x)
+    return mixed.select("idx", "pos", "label", F.round(total, 6).alias("logit_sum"))
+
+
 @query(
     LOGITS
     + """, mixed AS (

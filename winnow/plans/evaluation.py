@@ -276,12 +276,9 @@ def _detail(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("question"),
         F.col("p_size").cast("string").alias("answer"),
     )
-    rows = metrics.exploded(benchmark, S.candidates(spark, sf_dir))
     seconds = (F.expr("position div 128") % 7 + 1).cast("double")
-    timed = metrics.with_latency(
-        rows.withColumn("batch_latency", seconds), spread=["position", "sample_index"]
-    )
-    graded = grading.with_verdict(timed, prediction="text")
+    timed = metrics.with_latency(benchmark.withColumn("batch_latency", seconds)).drop("batch_latency")
+    graded = grading.with_verdict(metrics.exploded(timed, S.candidates(spark, sf_dir)), prediction="text")
     counted = graded.withColumn("prompt_tokens", benchmarks.word_count(F.col("question")))
     return metrics.detail(counted, max_new_tokens=F.lit(MAX_NEW_TOKENS))
 
