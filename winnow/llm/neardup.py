@@ -101,20 +101,26 @@ def sketch_table(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def set_table(docs: DataFrame, nodes: DataFrame, id_col: str) -> DataFrame:
-    """Full shingle sets of the documents that stand for `nodes` (node, _rep, _th)."""
+    """`id, shingles`: the full sets of the documents that stand for `nodes` (node, _rep, _th).
+
+    Texts meet the ids alone, which is the least that can be broadcast; what tells texts of one id apart
+    meets the sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [s.view(np.int64) for s in shingle_sets(part.column(1).to_pylist())]
+                sets = [s.view(np.int64) for s in shingle_sets(part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"]
+                    [part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["own", "th", "shingles"]
                 )
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64("text").alias("_own"), "text")
-    rows = rows.join(nodes, F.expr("_id = _rep and _own = _th")).select("node", "text")
-    return rows.mapInArrow(run, "id bigint, shingles array<bigint>")
+    ids = materialize(nodes.select(F.col("_rep").alias("own")).distinct(), "dedup-ids")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("own"), F.xxhash64("text").alias("th"), "text")
+    rows = rows.join(ids, "own", "left_semi").mapInArrow(run, "own bigint, th bigint, shingles array<bigint>")
+    rows = rows.dropDuplicates(["own", "th"]).join(nodes, F.expr("own = _rep and th = _th"))
+    return rows.select(F.col("node").alias("id"), "shingles")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -265,7 +271,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, id_col: str = "d
     )
     held = members.select(F.col("id").alias("_member")).distinct()
     held = held.join(classes, F.col("_member") == F.col("node")).select("node", F.col("rep").alias("_rep"), F.col("rep_th").alias("_th"))
-    sets = materialize(set_table(docs, materialize(held, "dedup-ids"), id_col).dropDuplicates(["id"]), "dedup-sets")
+    sets = materialize(set_table(docs, materialize(held, "dedup-nodes"), id_col), "dedup-sets")
     labels = labels_of(members, sets, percent)
     if labels is None:
         classes = classes.withColumn("component", F.col("rep"))
