@@ -115,6 +115,9 @@ def test_unknown_method(spark):
         [1e-300, 1.0, 1e300, -1e300, 1e308, -1e308],
         [1.0 + k * 2**-52 for k in range(50)],
         [3.0] * 4000 + list(np.random.default_rng(2).normal(3, 1e-9, 2000)),
+        # Enough rows for brackets that leave most of them out; ties at a bracket's edge.
+        list(np.random.default_rng(3).normal(size=60_000)),
+        [0.0, -0.0] * 9000 + list(np.round(np.random.default_rng(4).pareto(1, 30_000), 2)),
     ],
 )
 def test_exact_quantiles(spark, values):
