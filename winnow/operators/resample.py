@@ -33,6 +33,11 @@ def _one_per_key(weights: DataFrame, key: str, value: str) -> DataFrame:
     return weights.where(F.col(key).isNotNull()).groupBy(key).agg(only.alias(value))
 
 
+def rows_without_index(dataset: DataFrame, idx: str = "idx") -> DataFrame:
+    """Rows that no weight can be joined to; `join_weights` fails on the first of them."""
+    return dataset.where(F.col(idx).isNull())
+
+
 def join_weights(
     dataset: DataFrame,
     weights: DataFrame,

@@ -163,6 +163,14 @@ def weight_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("idx", "missing", (F.col("q") > 0).alias("drawable"), units.alias("q"))
 
 
+@query("SELECT o_custkey, count(*) AS n_rows FROM orders WHERE o_orderkey % 29 = 0 GROUP BY o_custkey")
+def rows_without_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose index is lost, by customer."""
+    lost = F.when(F.col("o_orderkey") % 29 != 0, F.col("o_orderkey")).alias("idx")
+    orders = S.table(spark, sf_dir, "orders").select("o_custkey", lost)
+    return resample.rows_without_index(orders).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 _DRAWS_SQL = """
 spans AS (
   SELECT idx, q, sum(q) OVER (ORDER BY idx) - q AS lo FROM q WHERE q > 0

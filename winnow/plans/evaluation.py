@@ -12,6 +12,8 @@ from winnow.functions.fields import with_question
 from winnow.operators import benchmarks, grade as grading, metrics
 from winnow.plans import fixtures as S
 from winnow.plans.registry import query, with_ctes
+from winnow.session import shared_path
+from winnow.sources import sinks
 
 GEN = with_ctes(S.GENERATIONS_SQL)
 
@@ -354,6 +356,52 @@ def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.summary(rows, S.N_SAMPLES, by=["dataset"])
 
 
+@query("SELECT p_partkey AS position, CAST(CASE WHEN p_partkey % 37 = 0 THEN 7 END AS INTEGER) AS n_found "
+       "FROM part WHERE p_partkey % 37 = 0 OR p_partkey % 41 = 0")
+def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with a candidate lost, or with no list at all."""
+    k, eight = F.col("position"), F.col("candidates")
+    cut = F.when(k % 37 == 0, F.slice(eight, 1, 7)).when(k % 41 != 0, eight)
+    rows = S.candidates(spark, sf_dir).select("position", cut.alias("candidates"))
+    wrong = metrics.wrong_candidate_counts(rows, S.N_SAMPLES)
+    return wrong.select("position", F.when(F.col("candidates").isNotNull(), F.size("candidates")).alias("n_found"))
+
+
+@query(GEN + """SELECT position, sample_index, 'said "' || response || '",' || chr(10) || 'then stopped' AS response,
+                       finish_reason = 'stop' AS normal_stop, CASE WHEN output_tokens % 3 > 0 THEN output_tokens END AS output_tokens
+                FROM generations""")
+def detail_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with quotes, commas, line breaks and nulls, written as CSV and read back."""
+    rows = S.generations(spark, sf_dir).select(
+        "position",
+        "sample_index",
+        F.concat(F.lit('said "'), "response", F.lit('",\nthen stopped')).alias("response"),
+        (F.col("finish_reason") == "stop").alias("normal_stop"),
+        F.when(F.col("output_tokens") % 3 > 0, F.col("output_tokens")).alias("output_tokens"),
+    )
+    path = shared_path(spark, "detail-csv")
+    sinks.write_detail_csv(rows, path)
+    reader = spark.read.schema(rows.schema).option("header", True).option("multiLine", True).option("escape", '"')
+    return reader.csv(path)
+
+
+@query(
+    GEN
+    + _METRICS_SQL.format(
+        by="", more=", 42 AS seed, 'paper' AS protocol", inner="", group="",
+        source="(SELECT position, sample_index, CAST(finish_reason = 'stop' AS INTEGER) AS correct FROM generations)",
+    )
+)
+def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary with its provenance, written as JSON and read back without the time of the run."""
+    stopped = (F.col("finish_reason") == "stop").cast("int").alias("correct")
+    rows = S.generations(spark, sf_dir).select("position", "sample_index", stopped)
+    out = sinks.with_provenance(metrics.summary(rows, S.N_SAMPLES), seed=42, protocol="paper")
+    path = shared_path(spark, "summary")
+    sinks.write_summary(out, path)
+    return spark.read.schema(out.schema).json(path).drop("timestamp_utc")
+
+
 @query(
     GEN
     + """, samples AS (

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, functions as F
 
 from winnow.operators.checks import ValidationError
+from winnow.session import materialize
 
 SAFE = "errorifexists"
 REPLACE = "overwrite"
@@ -29,11 +30,15 @@ def write_sorted_jsonl(
 
 
 def write_detail_csv(df: DataFrame, path: str, *, overwrite: bool = False) -> None:
-    """Detail table as CSV with header and quoted line breaks; an empty table is an error."""
-    if df.isEmpty():
+    """Detail table as CSV with header and quoted line breaks; an empty table is an error.
+
+    The rows are written once to the shared folder first, so that looking for one grades nothing twice.
+    """
+    rows = materialize(df, "detail")
+    if rows.isEmpty():
         raise ValidationError("cannot write an empty result table")
     (
-        df.write.mode(write_mode(overwrite))
+        rows.write.mode(write_mode(overwrite))
         .option("header", True)
         .option("escape", '"')
         .option("quoteAll", True)
