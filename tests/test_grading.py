@@ -1,3 +1,5 @@
+import os
+import re
 import time
 
 import pytest
@@ -112,6 +114,25 @@ def test_external_grader(spark):
     assert [r["grader_error"] for r in out][4:] == ["KeyError:'x'", "TimeoutError:grader timed out"]
 
 
+def test_a_grader_stuck_in_c_code_is_killed_at_the_deadline(spark):
+    """An alarm would wait for the regular expression to return, which takes years."""
+
+    def grader(response, answer):
+        if response == "stuck":
+            re.match(r"(a+)+$", "a" * 60 + "b")
+        if response == "gone":
+            os._exit(3)
+        return response == answer
+
+    rows = [("a", "a"), ("stuck", ""), ("b", "a"), (None, "a"), ("gone", ""), ("stuck", ""), ("c", "c")] + [("d", "d")] * 200
+    df = spark.createDataFrame(rows, "response string, answer string").coalesce(1)
+    begun = time.monotonic()
+    out = [(r["verified"], r["grader_error"]) for r in grade.with_external_verdict(df, grader, timeout=1.0).collect()]
+    late, gone = (None, "TimeoutError:grader timed out"), (None, "ChildProcessError:grader ended")
+    assert out == [(True, None), late, (False, None), (None, None), gone, late] + [(True, None)] * 201
+    assert time.monotonic() - begun < 60
+
+
 def test_external_grader_sees_only_open_rows(spark):
     def grader(response, answer):
         if "x+1" not in response:

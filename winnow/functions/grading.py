@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import signal
-import threading
+import itertools
+import multiprocessing
 from collections.abc import Callable, Iterable, Iterator, Mapping
-from contextlib import contextmanager
+from multiprocessing.connection import Connection
 from typing import Any
 
 import pandas as pd
@@ -120,26 +120,7 @@ GRADE = T.StructType(
 Grader = Callable[[str, str], Any]
 
 
-@contextmanager
-def deadline(seconds: float) -> Iterator[None]:
-    """Interrupt the block with a TimeoutError after so many seconds.
-
-    Signals reach the main thread only, which is where a Spark Python worker runs user code; on any
-    other thread there would be no limit, so that is an error.
-    """
-    if threading.current_thread() is not threading.main_thread():
-        raise RuntimeError("a grader's time limit needs the main thread")
-
-    def stop(number: int, frame: Any) -> None:
-        raise TimeoutError("grader timed out")
-
-    before = signal.signal(signal.SIGALRM, stop)
-    signal.setitimer(signal.ITIMER_REAL, seconds)
-    try:
-        yield
-    finally:
-        signal.setitimer(signal.ITIMER_REAL, 0)
-        signal.signal(signal.SIGALRM, before)
+_CHUNK = 64  # pairs sent to the child at once
 
 
 def _truth(result: Any) -> bool:
@@ -147,21 +128,76 @@ def _truth(result: Any) -> bool:
     return bool(result.get("acc") if isinstance(result, Mapping) else result)
 
 
+def _serve(grader: Grader, pipe: Connection, parents: Connection) -> None:
+    """In the child: answer every pair of every list with a verdict or "Type:message"."""
+    parents.close()  # else the child would not see that its parent is gone
+    while True:
+        try:
+            pairs = pipe.recv()
+        except EOFError:
+            return
+        for pair in pairs:
+            try:
+                answer = _truth(grader(*pair)), None
+            except Exception as error:
+                answer = None, f"{type(error).__name__}:{error}"
+            pipe.send(answer)
+
+
+class Child:
+    """A forked process that grades, and can be killed in the middle of anything, C code included."""
+
+    def __init__(self, grader: Grader) -> None:
+        context = multiprocessing.get_context("fork")
+        self.pipe, theirs = context.Pipe()
+        self.process = context.Process(target=_serve, args=(grader, theirs, self.pipe), daemon=True)
+        self.process.start()
+        theirs.close()
+
+    def next_answer(self, timeout: float) -> tuple[bool | None, str | None]:
+        """The next verdict; a TimeoutError when time is up, an EOFError when the process is gone."""
+        if not self.pipe.poll(timeout):
+            raise TimeoutError("grader timed out")
+        return self.pipe.recv()
+
+    def stop(self) -> None:
+        self.process.kill()
+        self.process.join()
+        self.pipe.close()
+
+
 def graded(
     grader: Grader, pairs: Iterable[tuple[str | None, str | None]], timeout: float
 ) -> Iterator[tuple[bool | None, str | None]]:
-    """A verdict, or null and "Type:message", for each pair; both null where a text is missing."""
-    for response, answer in pairs:
-        if response is None or answer is None:
-            yield None, None
-            continue
-        try:
-            with deadline(timeout):
-                verdict = _truth(grader(response, answer))
-        except Exception as error:
-            yield None, f"{type(error).__name__}:{error}"
-        else:
-            yield verdict, None
+    """A verdict, or null and "Type:message", for each pair; both null where a text is missing.
+
+    The grader runs in a child process. Past the deadline the child is killed, whatever it is doing, and
+    another takes the pairs that are left. A grader that ends its process gets an error for that pair.
+    """
+    child: Child | None = None
+    rows = iter(pairs)
+    try:
+        while chunk := list(itertools.islice(rows, _CHUNK)):
+            asked = [p for p in chunk if None not in p]
+            answers: list[tuple[bool | None, str | None]] = []
+            while len(answers) < len(asked):
+                if child is None:
+                    child = Child(grader)
+                child.pipe.send(asked[len(answers) :])
+                while len(answers) < len(asked):
+                    try:
+                        answers.append(child.next_answer(timeout))
+                    except (TimeoutError, EOFError, ConnectionError) as error:
+                        late = isinstance(error, TimeoutError)
+                        answers.append((None, "TimeoutError:grader timed out" if late else "ChildProcessError:grader ended"))
+                        child.stop()
+                        child = None
+                        break
+            left = iter(answers)
+            yield from (next(left) if None not in p else (None, None) for p in chunk)
+    finally:
+        if child is not None:
+            child.stop()
 
 
 def external_grade(
