@@ -90,3 +90,9 @@ IGNORED_LABEL = -100
 ENTROPY_EPS = 1e-12
 ADA_EPS = 1e-12
 BROWN_EPS = 1e-8
+
+# --- fixed values: answer patterns ------------------------------------------------------------
+NUMBER_PATTERN = r"-?\d+(?:\.\d+)?"
+BOXED_LETTER_PATTERN = r"\\boxed\{\s*([A-E])\s*\}"
+STATED_LETTER_PATTERN = r"(?:final\s+)?answer\s*(?:is|:)?\s*\(?([A-E])\)?\b"
+CHOICE_PATTERN = r"\(([A-E])\)\s*([^(]+?)(?=\s*\([A-E]\)|\s*$)"

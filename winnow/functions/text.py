@@ -40,14 +40,14 @@ def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
 
 def answer_number(c: Column) -> Column:
     """Last number of the text with thousands commas removed; null when there is none."""
-    found = all_matches(F.replace(c, F.lit(","), F.lit("")), r"-?\d+(?:\.\d+)?")
+    found = all_matches(F.replace(c, F.lit(","), F.lit("")), K.NUMBER_PATTERN)
     return last(found).cast("double")
 
 
 def answer_choice(c: Column) -> Column:
     """Choice letter: the last boxed letter, else the last "answer is (X)"; upper case."""
-    boxed = all_matches(c, r"(?iU)\\boxed\{\s*([A-E])\s*\}", 1)
-    stated = all_matches(c, r"(?iU)(?:final\s+)?answer\s*(?:is|:)?\s*\(?([A-E])\)?\b", 1)
+    boxed = all_matches(c, "(?iU)" + K.BOXED_LETTER_PATTERN, 1)
+    stated = all_matches(c, "(?iU)" + K.STATED_LETTER_PATTERN, 1)
     return F.upper(F.coalesce(last(boxed), last(stated)))
 
 
@@ -110,7 +110,7 @@ def answer_choices(c: Column) -> Column:
 
     Letters stand in order of first appearance; a repeated letter keeps its last value.
     """
-    pattern = r"(?Ud)\(([A-E])\)\s*([^(]+?)(?=\s*\([A-E]\)|\s*$)"
+    pattern = "(?Ud)" + K.CHOICE_PATTERN
     letters, values = all_matches(c, pattern, 1), all_matches(c, pattern, 2)
     # Pairs in text order; the lambdas below run once per question and once per letter.
     pairs = F.arrays_zip(letters.alias("letter"), values.alias("value"))

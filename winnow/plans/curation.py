@@ -240,6 +240,19 @@ def render_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""
+    SELECT doc_id, '<|system|>' || chr(10) || {_sql_text(K.SYSTEM_PROMPT_BOXED)} || '<|end|>' || chr(10) || '<|user|>' || chr(10)
+             || text || '<|end|>' || chr(10) || '<|assistant|>' || chr(10) AS chat
+    FROM documents
+    """
+)
+def render_prompt_boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt that asks for a boxed answer, in a chat template with a system turn."""
+    prompt = X.render_chat_prompt(F.col("text"), K.SYSTEM_PROMPT_BOXED, **TEMPLATE)
+    return S.table(spark, sf_dir, "documents").select("doc_id", prompt.alias("chat"))
+
+
 @query(
     f"""
     SELECT p_partkey, {_sql_text(K.INSTRUCTION_HEAD)} || p_name || {_sql_text(K.INSTRUCTION_MIDDLE)}
