@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from winnow.operators import benchmarks
@@ -80,6 +82,26 @@ def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
+@query("SELECT p_partkey % 4 AS kind, p_partkey, p_name, p_size FROM part")
+def read_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the rows in each format that the suffix of a path decides."""
+    rows = X.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    found = []
+    for kind, suffix in enumerate((".parquet", ".pq", ".jsonl", ".json")):
+        own, path = rows.where(F.col("p_partkey") % 4 == kind), f"{shared_path(spark, 'suffix')}/rows{suffix}"
+        if suffix == ".jsonl":
+            sinks.write_jsonl(own, path)
+        elif suffix == ".json":
+            # A document holds the rows of one block.
+            array = F.to_json(F.collect_list(F.struct(*own.columns))).alias("value")
+            blocks = own.groupBy(F.expr(f"p_partkey div {DOCUMENT_ROWS}").alias("block")).agg(array)
+            blocks.write.partitionBy("block").text(path)
+        else:
+            own.write.parquet(path)
+        found.append(datasets.read_dataset(spark, path, rows.schema).select(F.lit(kind).cast("bigint").alias("kind"), *rows.columns))
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(
     """
     SELECT 0 AS file_no, p_partkey AS id, p_name AS text, NULL AS lang FROM part

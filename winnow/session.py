@@ -12,7 +12,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 # One folder per local session when the cluster names none.
 _local_roots: dict[str, str] = {}
 
-# Tables written per application, for `release`.
+# Paths handed out per application, for `release`.
 _written: dict[str, list[str]] = {}
 
 
@@ -56,8 +56,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other job uses."""
-    return f"{shared_root(spark)}/winnow/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other job uses; `release` deletes it."""
+    path = f"{shared_root(spark)}/winnow/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -68,15 +70,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables this application wrote to cut lineage; call it once results are stored.
+    """Delete what this application wrote to the shared folder; call it once results are stored.
 
-    DataFrames built on them cannot be read afterwards. Returns the number of tables.
+    DataFrames built on it cannot be read afterwards. Returns the number of paths.
     """
     context = spark.sparkContext
     paths = _written.pop(context.applicationId, [])
