@@ -508,13 +508,8 @@ def test_pii_adds_disclosing_terms_and_sanitises(spark):
     assert pii.pii(docs.where("false")).count() == 0
 
 
-def test_pii_judges_every_word_of_texts_with_an_entity(spark):
-    far = prose(3, 12)
-    holds = [(i, f"Bo {prose(i, 40)} Zorba {far} {prose(i + 50, 30)} z.k@far.example.org {prose(i + 80, 9)} Zorba {far} ox{i}") for i in range(5)]
-    other = [(20 + i, prose(i + 300, 60)) for i in range(200)]
-    # A third of the rows with one entity, in different texts, whose words stand in other rows too.
-    hot = [(300 + i, f"{prose(i + 700, 12)} Quill {prose(i + 1200, 9)} hot@far.example.org") for i in range(100)]
-    rows = [*holds, (5, holds[0][1]), *other, *hot, (900, "Zorba and Bo dance"), (901, "Bo at other@far.example.org")]
+def plain_terms(rows):
+    """Term spans by doc_id, from counts of every (entity, word) pair."""
     words = [{w.translate(UPPER) for w in pii._WORDS.findall(t)} for _, t in rows]
     spans = [pii.base_spans(t) for _, t in rows]
     names = [{pii.entity(k, t[a:b]) for k, a, b in s} for (_, t), s in zip(rows, spans)]
@@ -525,20 +520,47 @@ def test_pii_judges_every_word_of_texts_with_an_entity(spark):
     support = Counter((e, w) for x, y in texts.values() for e in x for w in y)
     n, score = len(rows), {}
     for (e, w), k in both.items():
-        if support[e, w] >= pii.SUPPORT:
-            score[e, w] = np.log(n * k / (df[w] * de[e])) / np.log(n / de[e])
+        share, square = k / df[w], pii.CONFIDENCE**2
+        trials = support[e, w] / share
+        spread = np.sqrt(share * (1 - share) / trials + square / (4 * trials**2))
+        low = (share + square / (2 * trials) - pii.CONFIDENCE * spread) / (1 + square / trials)
+        score[e, w] = np.log(n * low / de[e]) / np.log(n / de[e])
     wanted = {}
     for (d, t), s, own in zip(rows, spans, names):
         found = [(a, b) for w, a, b in pii.outside(t, s) if max([score.get((e, w), 0) for e in own] or [0]) >= pii.GENERALISE]
         wanted[d] = [f"term:{a}:{b}" for a, b in found]
+    return wanted
+
+
+def test_pii_judges_every_word_of_texts_with_an_entity(spark):
+    far = prose(3, 12)
+    holds = [(i, f"Bo {prose(i, 40)} Zorba {far} {prose(i + 50, 30)} z.k@far.example.org {prose(i + 80, 9)} Zorba {far} ox{i}") for i in range(5)]
+    other = [(20 + i, prose(i + 300, 60)) for i in range(200)]
+    # A third of the rows with one entity, in different texts, whose words stand in other rows too.
+    hot = [(300 + i, f"{prose(i + 700, 12)} Quill {prose(i + 1200, 9)} hot@far.example.org") for i in range(100)]
+    rows = [*holds, (5, holds[0][1]), *other, *hot, (900, "Zorba and Bo dance"), (901, "Bo at other@far.example.org")]
     got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term")] for r in pii.pii(docs_of(spark, rows)).collect()}
-    assert got == wanted and got[5] == got[0] and not got[900]
+    assert got == plain_terms(rows) and got[5] == got[0] and not got[900]
     clean = {r.doc_id: r.text for r in pii.sanitised(docs_of(spark, rows)).select("doc_id", "text").collect()}
     # Far from the address, at both places, two characters long; a word of one text is no evidence.
     assert all("Zorba" not in clean[i] and not clean[i].startswith("Bo ") for i in range(6)) and "ox3" in clean[3]
     assert "Quill" not in clean[350] and clean[900] == "Zorba and Bo dance"
 
 
+def test_pii_judges_entities_of_one_and_two_texts(spark):
+    huge = "q" * 300
+    one = (1, f"{prose(1, 5)} Ozymandias {huge} {prose(2, 5)} king@sand.example.org or +1 (988) 555-2485")
+    two = [(2 + i, f"{prose(9 + i, 4)} Kublai {prose(19 + i, 4)} khan@xanadu.example.org both@far.example.org") for i in range(2)]
+    copies = [(10 + i, "Alph runs to alph@sea.example.org") for i in range(40)]
+    rows = [one, *two, *copies, *((100 + i, prose(i + 60, 25)) for i in range(1500))]
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term")] for r in pii.pii(docs_of(spark, rows)).collect()}
+    assert got == plain_terms(rows)
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs_of(spark, rows)).select("doc_id", "text").collect()}
+    assert "[NAME] [WORD]" in clean[1] and huge not in clean[1] and not any("Kublai" in clean[i] for i in (2, 3))
+    # Copies of one text count as one, and what many rows hold has little left to disclose.
+    assert all(clean[10 + i] == "Alph runs to [EMAIL]" for i in range(40))
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, TEXTS).where("false")
     assert neardup.minhash_dedup(none).count() == 0

@@ -9,19 +9,24 @@ findings themselves, are terms under test, of any length. Over the whole corpus,
 unit, the disclosure of an entity e by a term t is their pointwise mutual information over the
 entity's information content:
 
-    log(N * df(t, e) / (df(t) * df(e))) / log(N / df(e))
+    log(N * p / df(e)) / log(N / df(e)),  p = P(e | t)
 
 1 means that every row with the term holds the entity; 0 that they are independent (after Sanchez and
-Batet, "C-sanitized", 2016). A term is judged once it is seen with the entity in `SUPPORT` different
-texts: in fewer, each word that occurs once would be evidence, and so would copies of one text. From
-GENERALISE on a term is replaced by its class, from REMOVE on it is taken out; base findings always
-stay. A term goes at all its places in the texts that hold an entity it discloses, and stays in texts
-that hold none of them.
-
-An entity of fewer than `SUPPORT` texts has no terms to judge, so its texts are not cut into words; no
-result changes by that. Counts are partial sums per (entity, term), one row each per task; joins on an
-entity are salted. Rows in between are, for a text, its words times its entities of enough texts.
-Document counts of all words are summed in each task before they are shuffled.
+Batet, "C-sanitized", 2016). p is not the plain share df(t, e) / df(t), by which any word that occurs once
+would disclose all of its text, but the lower end of its Wilson interval, CONFIDENCE standard errors
+wide. What counts as trials are different texts, so copies of one text are no further evidence. One
+text alone is evidence too, and weighs more the rarer entity and term are in the corpus: a word seen in
+no other text has p = 0.21, which passes GENERALISE once the entity's share of the rows is below
+1 / 540. From GENERALISE on a term is replaced by its class, from REMOVE on it is taken out; base findings
+always stay. A term goes at all its places in the texts that hold an entity it discloses, and stays in
+texts that hold none of them. Kinds of entities are not protected: that a text holds some address is no
+one's secret.
+
+Entities that stand in one text only have the same counts with every term of it, so they are one
+entity, named after the text. Counts are partial sums per (entity, term), one row each per task. Rows in
+between are, for a text, its words times its entities of several texts, plus its words. Tables of one
+row a key are joined by `meet`, which sends heavy keys to the rows. Document counts of all words are
+summed in each task before they are shuffled.
 
 Null and empty texts have no findings. Repeated rows get equal rows each, and rows with equal ids and
 different texts their own. An empty table gives an empty result. Other columns pass through
@@ -40,10 +45,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from winnow.llm.common import lower_ascii, materialize, parts
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT = 3
+CONFIDENCE = 1.96  # standard errors between the estimate and the bound that is used
 GENERALISE = 0.75
 REMOVE = 0.9
-SALTS = 16  # an entity's rows are dealt to so many groups
+HEAVY = 10_000  # a key with more than one in HEAVY of the rows is joined by broadcast
+SALTS = 16  # a text's rows are dealt to so many groups
+LONGEST = 64  # a longer word is counted under its digest
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -121,6 +128,11 @@ def outside(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str,
             yield m[0].translate(_LOWER), start, end
 
 
+def term_name(word: str) -> str:
+    """What a word is counted as: itself, or the digest of a long one. No word holds a #."""
+    return word if len(word) <= LONGEST else "#" + hashlib.sha256(word.encode()).hexdigest()
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
@@ -169,24 +181,40 @@ def _salt(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
 
 
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], n_rows: str) -> DataFrame:
+    """Inner join of `rows` with a written table of one short row a key.
+
+    `n_rows` names the column of `table` that says how many of `rows` have the key. Keys of more than one
+    in HEAVY of them are fewer than HEAVY, so they are broadcast; the rows of any other key fit a task.
+    """
+    share = table.agg(F.sum(n_rows).alias("_all")).first()["_all"] or 0
+    heavy = F.broadcast(table.where(F.col(n_rows) * HEAVY > share))
+    light = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    light = light.join(table.where(F.col(n_rows) * HEAVY <= share), keys)
+    return rows.join(heavy, keys).unionByName(light)
+
+
 def tested_texts(scanned: DataFrame) -> DataFrame:
-    """Per different text with entities of `SUPPORT` texts or more: th, number of rows, text,
-    those entities with their row counts, distinct terms."""
+    """Per different text with entities: th, number of rows, text, those of its entities that other
+    texts hold too with their row counts, one for all others, and the distinct terms."""
     texts = scanned.where("held is not null").groupBy("th")
     texts = texts.agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("held").alias("text"))
     texts = materialize(texts, "pii-texts")
     each = texts.select("th", "n", F.explode("entities").alias("entity"))
-    often = each.groupBy("entity").agg(F.sum("n").alias("with_entity"), F.count(F.lit(1)).alias("texts"))
-    often = materialize(often.where(F.col("texts") >= SUPPORT).select("entity", "with_entity"), "pii-entities")
-    of = each.select("th", "entity", _salt(F.col("th"))).join(often.select("*", _salts()), ["entity", "salt"])
+    shared = each.groupBy("entity").agg(F.sum("n").alias("with_entity"), F.count(F.lit(1)).alias("texts"))
+    shared = materialize(shared.where("texts > 1"), "pii-entities")
+    of = meet(each.select("th", "entity"), shared, ["entity"], "texts")
     of = of.groupBy("th").agg(F.collect_list(F.struct("entity", "with_entity")).alias("of"))
+    own = F.struct(F.concat(F.lit("text:"), F.col("th").cast("string")).alias("entity"), F.col("n").alias("with_entity"))
+    others = F.coalesce("of", F.array().cast("array<struct<entity:string,with_entity:bigint>>"))
+    every = F.when(F.size(others) < F.size("entities"), F.concat(others, F.array(own))).otherwise(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in parts(b)):
-            terms = [sorted({w for w, _, _ in outside(t, base_spans(t))}) for t in batch["text"].to_pylist()]
+            terms = [sorted({term_name(w) for w, _, _ in outside(t, base_spans(t))}) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(terms, pa.list_(pa.string()))], names=[*batch.schema.names, "terms"])
 
-    rows = texts.join(of, "th").select("th", "n", "text", "of")
+    rows = texts.join(of, "th", "left").select("th", "n", "text", every.alias("of"))
     kind = "th bigint, n bigint, text string, of array<struct<entity:string,with_entity:bigint>>, terms array<string>"
     return materialize(rows.mapInArrow(run, kind), "pii-words")
 
@@ -196,22 +224,31 @@ def _pairs(texts: DataFrame) -> DataFrame:
     return pairs.select("th", "n", "e.entity", "e.with_entity", F.explode("terms").alias("term"))
 
 
+def lower_bound(share: Column, trials: Column) -> Column:
+    """Lower end of the Wilson interval of a share."""
+    spare = F.lit(CONFIDENCE**2) / trials
+    spread = F.sqrt(share * (1 - share) / trials + spare / (4 * trials))
+    return (share + spare / 2 - F.lit(CONFIDENCE) * spread) / (1 + spare)
+
+
 def disclosing(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) for terms with support whose disclosure reaches GENERALISE."""
-    pair = _pairs(texts).groupBy("entity", "with_entity", "term").agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("support"))
-    tested = materialize(pair.where(F.col("support") >= SUPPORT), "pii-tested")
-    if tested.isEmpty():
-        return tested.select("entity", "term", F.lit(0.0).alias("disclosure"))
+    """(entity, term, support, disclosure) where the disclosure reaches GENERALISE; support in texts."""
+    pair = _pairs(texts).groupBy("entity", "with_entity", "term")
+    tested = materialize(pair.agg(F.sum("n").alias("together"), F.count(F.lit(1)).alias("support")), "pii-tested")
     total = docs.count()
     words = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(_WORD), F.lit(0)))
     # Counted before the join, so that what crosses the shuffle is the vocabulary, whatever terms are tested.
-    counted = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    word = F.col("word")
+    name = F.when(F.length(word) <= LONGEST, word).otherwise(F.concat(F.lit("#"), F.sha2(word.cast("binary"), 256)))
+    counted = docs.select(F.explode(words).alias("word")).groupBy(name.alias("term")).agg(F.count(F.lit(1)).alias("with_term"))
+    terms = materialize(tested.groupBy("term").agg(F.count(F.lit(1)).alias("pairs")), "pii-terms")
     # An inner join: a semi join would be moved below the sum.
-    seen = counted.join(materialize(tested.select("term").distinct(), "pii-terms"), "term")
-    rows = tested.join(seen, "term")
+    seen = materialize(counted.join(terms, "term"), "pii-vocabulary")
+    rows = meet(tested, seen, ["term"], "pairs")
+    share = F.least(F.lit(1.0), F.col("together") / F.col("with_term"))
     information = F.log(F.lit(float(total)) / F.col("with_entity"))
-    mutual = F.log(F.lit(float(total)) * F.col("together") / (F.col("with_term") * F.col("with_entity")))
-    rows = rows.where(information > 0).select("entity", "term", (mutual / information).alias("disclosure"))
+    mutual = F.log(F.lit(float(total)) * lower_bound(share, F.col("support") / share) / F.col("with_entity"))
+    rows = rows.where(information > 0).select("entity", "term", "support", (mutual / information).alias("disclosure"))
     return rows.where(F.col("disclosure") >= GENERALISE)
 
 
@@ -219,8 +256,7 @@ def term_spans(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """Per row with such terms: id, th, terms (start, end, remove), in order."""
     texts = tested_texts(scanned)
     flagged = materialize(disclosing(docs, texts), "pii-flagged")
-    hits = _pairs(texts).select("th", "entity", "term", _salt(F.col("th")))
-    hits = hits.join(flagged.select("*", _salts()), ["entity", "term", "salt"])
+    hits = meet(_pairs(texts).select("th", "entity", "term"), flagged, ["entity", "term"], "support")
     hits = hits.groupBy("th", "term").agg((F.max("disclosure") >= REMOVE).alias("remove"))
     hits = hits.groupBy("th").agg(F.collect_list(F.struct("term", "remove")).alias("flagged"))
 
@@ -229,15 +265,17 @@ def term_spans(docs: DataFrame, scanned: DataFrame) -> DataFrame:
             spots = []
             for text, found in zip(batch["text"].to_pylist(), batch["flagged"].to_pylist()):
                 remove = {f["term"]: f["remove"] for f in found}
-                places = ((a, b, remove[w]) for w, a, b in outside(text, base_spans(text)) if w in remove)
+                named = ((a, b, term_name(w)) for w, a, b in outside(text, base_spans(text)))
+                places = ((a, b, remove[t]) for a, b, t in named if t in remove)
                 spots.append([dict(zip(("start", "end", "remove"), p)) for p in places])
             yield pa.RecordBatch.from_arrays([batch["th"], pa.array(spots, _SPOTS)], names=["th", "terms"])
 
     places = texts.select("th", "text").join(hits, "th").select("th", "text", "flagged")
     places = places.mapInArrow(run, f"th bigint, terms {_SPOTS_DDL}")
-    # A text that very many rows hold is dealt to several groups by the rows' ids.
+    # A text that very many rows hold is dealt to several groups by the rows' ids. Places grow with the
+    # corpus: never broadcast.
     rows = scanned.where("held is not null").select("id", "th").distinct().select("id", "th", _salt(F.col("id")))
-    rows = rows.join(places.select("*", _salts()), ["th", "salt"])
+    rows = rows.join(places.select("*", _salts()).hint("merge"), ["th", "salt"])
     return materialize(rows.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "terms"), "pii-spans")
 
 
