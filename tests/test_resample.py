@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from winnow.operators import resample
 from winnow.operators.ordering import dense_index
+from winnow.session import materialize
 
 
 def brute_draws(weights: dict[int, float], n_new: int, seed: int) -> list[int]:
@@ -68,16 +69,65 @@ def test_draws_do_not_depend_on_partitions(spark, partitions, shuffles):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
-def test_gather_splits_hot_rows(spark):
+def test_gather(spark):
     weights = CASES["one heavy"]
     draws = resample.weighted_draws(table(spark, weights), multiplier=4.0)
     data = spark.createDataFrame([(k, f"text {k}") for k in weights], "idx long, text string")
-    plain = resample.gather(data, draws)
-    split = resample.gather(data, draws, draws_per_split=50)
-    expected = sorted(enumerate(brute_draws(weights, 2004, 42)))
-    for rows in (plain, split):
-        assert sorted((r["draw"], r["idx"]) for r in rows.collect()) == expected
-        assert rows.where("text <> 'text ' || idx").count() == 0
+    rows = resample.gather(data, draws)
+    assert sorted((r["draw"], r["idx"]) for r in rows.collect()) == sorted(enumerate(brute_draws(weights, 2004, 42)))
+    assert rows.where("text <> 'text ' || idx").count() == 0
+
+
+def test_gather_splits_hot_rows(spark):
+    """Half of the draws are of one row: adaptive execution deals them to several tasks."""
+    split = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    drawn = F.when(F.col("id") % 2 == 0, F.lit(250)).otherwise(F.xxhash64("id") % 250 + 250)
+    draws = spark.range(0, 60_000, 1, 8).select(F.col("id").alias("draw"), drawn.cast("long").alias("idx"))
+    data = spark.range(0, 501, 1, 4).selectExpr("id AS idx", "'text ' || id AS text")
+    old = {key: spark.conf.get(key, None) for key in split}
+    for key, value in split.items():
+        spark.conf.set(key, value)
+    try:
+        rows = resample.gather(data, draws)
+        found = rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert sorted((r["draw"], r["idx"]) for r in found) == sorted((r["draw"], r["idx"]) for r in draws.collect() if r["idx"] >= 0)
+    assert all(r["text"] == f"text {r['idx']}" for r in found)
+    assert "skew=true" in plan
+
+
+def test_keys_repeated_across_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        twice = spark.createDataFrame([(1, 0.5), (7, 1.0), (7, 1.0), (9, 2.0)], "idx long, sampling_weight double")
+        with pytest.raises(Exception, match="repeated idx: 7"):
+            resample.weighted_draws(twice).collect()
+        draws = resample.weighted_draws(table(spark, CASES["one heavy"]), multiplier=2.0)
+        assert [r["idx"] for r in draws.orderBy("draw").collect()] == brute_draws(CASES["one heavy"], 1002, 42)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_resample_runs_few_jobs(spark):
+    from winnow.plans.curriculum import _dataset, _weighted
+
+    def jobs():
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+
+    weighted = materialize(_weighted(spark, "/root/testdata/sf0.001"), "weighted")
+    before = jobs()
+    draws = resample.weighted_draws(weighted)
+    resample.gather(_dataset(spark, "/root/testdata/sf0.001"), draws).collect()
+    assert jobs() - before <= 15
 
 
 def test_stats(spark):

@@ -100,16 +100,7 @@ def _scan_index(df: DataFrame, out: str, start: int) -> DataFrame:
     return table.join(offsets, ["_file", "_block"]).select(*kept, index.alias(out))
 
 
-def running_sum(table: DataFrame, value: str, out: str = "hi", *, key: str | None = None) -> DataFrame:
-    """Inclusive running sum, within each `_part`, of an integer column over a `sorted_table`.
-
-    With `key`, the column the table is sorted by, a repeated key fails the job.
-    """
+def running_sum(table: DataFrame, value: str, out: str = "hi") -> DataFrame:
+    """Inclusive running sum, within each `_part`, of an integer column over a `sorted_table`."""
     place = Window.partitionBy("_part").orderBy("_pos")
-    total = F.sum(value).over(place.rowsBetween(Window.unboundedPreceding, 0))
-    if key is not None:
-        # Equal keys are neighbours within one range partition.
-        again = F.raise_error(F.concat(F.lit(f"repeated {key}: "), F.col(key).cast("string")))
-        same = F.lag(key).over(place) == F.col(key)
-        total = F.when(same, again.cast("bigint")).otherwise(total)
-    return table.withColumn(out, total)
+    return table.withColumn(out, F.sum(value).over(place.rowsBetween(Window.unboundedPreceding, 0)))

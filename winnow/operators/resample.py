@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from winnow.functions.exact import exact_sum
 from winnow.functions.stage import stage
-from winnow.operators.ordering import dense_index, running_sum, sorted_table
+from winnow.operators.ordering import dense_index
 from winnow.session import materialize
 
-DRAWS_PER_SPLIT = 100_000
-MAX_HOT_ROWS = 10_000
 # Small groups sort mostly by their group number; a row's slices still fit one array.
 DRAWS_PER_GROUP = 1024
 CELLS = 4096
@@ -111,6 +114,30 @@ def new_size(n_rows: int, multiplier: float) -> int:
     return n_new
 
 
+def _running(idx: str):
+    """Task function over rows sorted by `idx`: rows with a part, the running sum `hi`, the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before, last = TaskContext.get().partitionId(), 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, q = batch.column(0), batch.column(1)
+            again = keys.slice(1).filter(pc.equal(keys.slice(1), keys.slice(0, len(keys) - 1)))
+            if last is not None and last.is_valid and keys[0] == last:
+                again = keys.slice(0, 1)
+            if len(again):
+                raise ValueError(f"repeated {idx}: {again[0]}")
+            last = keys[len(keys) - 1]
+            hi = np.cumsum(q.to_numpy(zero_copy_only=False)) + before
+            before = int(hi[-1])
+            columns = [keys, q, pa.array(hi), pa.array(np.full(len(q), part))]
+            out = pa.RecordBatch.from_arrays(columns, names=[idx, "q", "hi", "_part"])
+            yield out.filter(pc.greater(q, 0))
+
+    return run
+
+
 def weighted_draws(
     weighted: DataFrame,
     *,
@@ -127,19 +154,23 @@ def weighted_draws(
     through a table of at most 4,096 cells, and its row by a window over one slice of that
     partition. A slice holds a fixed share of the weight, hence about `draws_per_group` draws, and
     at most a partition's rows: neither a row with a third of the weight nor a third of the rows
-    with almost none makes a hot group. Columns are a few bytes wide throughout.
+    with almost none makes a hot group. Columns are a few bytes wide throughout. Running sums are
+    taken in the pass that writes the sorted rows, which holds one number from batch to batch.
     """
     spark = weighted.sparkSession
-    table = sorted_table(weighted.select(idx, weight), idx)
+    table = materialize(weighted.select(idx, weight), "weights")
     facts = table.agg(
         F.count(F.lit(1)).alias("n"), exact_sum(F.col(weight)).alias("weight")
     ).first()
     n_new = new_size(facts["n"], multiplier)
     q = _parts(F.col(weight), F.lit(facts["weight"] or 0.0))
-    table = table.select(idx, q.alias("q"), "_part", "_pos")
+    kind = table.select(idx, F.lit(0).cast("bigint").alias("q")).schema
+    kind = kind.add("hi", "long").add("_part", "long")
+    ranged = table.select(idx, q.alias("q")).repartitionByRange(idx).sortWithinPartitions(idx)
+    table = materialize(ranged.mapInArrow(_running(idx), kind), "ranges")
 
     # One row per range partition, so this fits the driver whatever the data.
-    sums = table.groupBy("_part").agg(F.sum("q").alias("mass")).where("mass > 0").collect()
+    sums = table.groupBy("_part").agg(F.max("hi").alias("mass")).collect()
     masses = sorted((r["_part"], r["mass"]) for r in sums)
     starts = [0, *accumulate(m for _, m in masses)]
     total = starts.pop()
@@ -149,7 +180,7 @@ def weighted_draws(
     )
     width = min(total, max(1, -(-total * draws_per_group // n_new)))  # weight per slice
 
-    spans = running_sum(table, "q", key=idx).where("q > 0").join(F.broadcast(offsets), "_part")
+    spans = table.join(F.broadcast(offsets), "_part")
     hi = F.col("start") + F.col("hi")
     spans = spans.select(idx, "part", (hi - F.col("q")).alias("lo"), (hi - 1).alias("end"))
     slices = F.sequence(F.expr(f"lo div {width}"), F.expr(f"end div {width}"))
@@ -201,38 +232,13 @@ def _with_part(probes: DataFrame, starts: list[int], total: int) -> DataFrame:
     return probes.join(F.broadcast(cells), inside).select(*probes.columns, "part")
 
 
-def gather(
-    dataset: DataFrame,
-    draws: DataFrame,
-    *,
-    idx: str = "idx",
-    draws_per_split: int = DRAWS_PER_SPLIT,
-) -> DataFrame:
+def gather(dataset: DataFrame, draws: DataFrame, *, idx: str = "idx") -> DataFrame:
     """Rows of `dataset` in as many copies as drawn, with their `draw` number.
 
-    A row drawn more than `draws_per_split` times is copied once per split first, so that the join
-    spreads its draws. The threshold rises with the number of draws, so at most 10,000 rows can be
-    above it; that list is what goes through the driver and the broadcast. `draws` is read three
-    times: hand in a written table, as `weighted_draws` returns.
+    A plain join: the draws of a row with a large share of them are narrow, and adaptive execution
+    splits their partition and reads the dataset's rows again for each piece.
     """
-    n_draws = draws.count()
-    limit = max(draws_per_split, -(-n_draws // MAX_HOT_ROWS))
-    counts = draws.groupBy(idx).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    splits = F.ceil(F.col("_n") / limit).cast("int").alias("_splits")
-    hot = counts.select(idx, splits).collect()
-    if not hot:
-        return dataset.join(draws.select("draw", idx), idx).select("draw", *dataset.columns)
-    table = F.broadcast(draws.sparkSession.createDataFrame(hot, counts.select(idx, splits).schema))
-    splits = F.coalesce(F.col("_splits"), F.lit(1))
-    copies = (
-        dataset.join(table, idx, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), splits - 1)))
-        .drop("_splits")
-    )
-    spread = draws.join(table, idx, "left").select(
-        "draw", idx, F.pmod(F.col("draw"), splits).cast("int").alias("_salt")
-    )
-    return copies.join(spread, [idx, "_salt"]).select("draw", *dataset.columns)
+    return dataset.join(draws.select("draw", idx), idx).select("draw", *dataset.columns)
 
 
 def resample_stats(draws: DataFrame, n_rows: DataFrame, *, idx: str = "idx") -> DataFrame:
