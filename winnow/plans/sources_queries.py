@@ -10,9 +10,10 @@ from winnow.operators import benchmarks
 from winnow.plans import fixtures as X
 from winnow.plans.registry import query
 from winnow.session import shared_path
-from winnow.sources import checksums, datasets, jsonl, sinks
+from winnow.sources import checksums, datasets, documents, jsonl, sinks
 
 DOCUMENT_ROWS = 100
+SPLIT_ROWS = 20_000
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
@@ -76,6 +77,19 @@ def scan_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonl.scan_json_document(spark, path, rows.schema)
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")
+def scan_json_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of some thousand rows each, array or wrapped by turns, read by file splits."""
+    rows = X.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    block = F.expr(f"o_orderkey div {SPLIT_ROWS}")
+    docs = rows.groupBy(block.alias("block")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    wrapped = F.concat(F.lit('{"meta":{"data":[0]},"data":'), F.col("value"), F.lit(',"end":null}'))
+    text = F.when(F.col("block") % 2 == 0, F.col("value")).otherwise(wrapped)
+    path = shared_path(spark, "documents")
+    docs.select("block", text.alias("value")).write.partitionBy("block").text(path)
+    return documents.scan_split_document(spark, path, rows.schema)
+
+
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = datasets.read_dataset(spark, f"{sf_dir}/orders.parquet")
