@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -561,6 +562,17 @@ def test_pii_judges_entities_of_one_and_two_texts(spark):
     assert all(clean[10 + i] == "Alph runs to [EMAIL]" for i in range(40))
 
 
+def test_rows_without_an_id_are_not_held_out(spark):
+    docs = spark.createDataFrame(
+        [(i, prose(i, 20), "en") for i in range(12)] + [(None, prose(99, 20), "en")], "doc_id long, text string, lang string"
+    )
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    for rows, remainder in ((langid.langid(docs), (4, 2)), (toxicity.toxicity(docs, labels), (5, 0))):
+        found = {r.doc_id: r.held_out for r in rows.collect()}
+        assert len(found) == 13 and found.pop(None) is False
+        assert all(out == (crc32(str(i).encode()) % remainder[0] == remainder[1]) for i, out in found.items())
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, TEXTS).where("false")
     assert neardup.minhash_dedup(none).count() == 0

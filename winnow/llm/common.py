@@ -38,6 +38,11 @@ def hash_bucket(remainder_of: int, c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(remainder_of)
 
 
+def held_out(remainder_of: int, remainder: int, c: Column) -> Column:
+    """Whether an id is held out; a null id has no remainder, so it is not, nor is it learned from."""
+    return F.coalesce(hash_bucket(remainder_of, c) == remainder, F.lit(False)).alias("held_out")
+
+
 def bounded_ids(df: DataFrame, id_col: str, limit: int, by: Iterable[str] = ()) -> DataFrame:
     """At most `limit` distinct ids (of each value of `by`), lowest hash first: an even sample.
 

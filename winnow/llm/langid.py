@@ -4,8 +4,9 @@ A text's UTF-8 bytes are cut into windows of 64, which run side by side: state s
 window. In both directions a byte's gates come from a table of 256 rows plus the previous state;
 gates and candidate use clipped linear activations, which cost a fraction of tanh. Every position
 gets a probability for each language; a document's probabilities are the mean over its positions.
-Training is backpropagation through time with Adam over windows of at most `per_language` documents
-of each language, taken in hash order of the id.
+Training is backpropagation through time with Adam over at most `windows_per_text` random windows of
+each of at most `per_language` documents of each language, taken in hash order of the id: these two
+parameters bound the sample. Prediction reads whole texts.
 
 Null text, empty text and text without a letter are `und` with score 0. A text of any length runs
 in blocks of windows, so memory does not grow with it. With nothing to learn from, everything is
@@ -22,7 +23,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from winnow.llm.common import bounded_ids, hash_bucket, with_fields
+from winnow.llm.common import bounded_ids, hash_bucket, held_out, with_fields
 
 WINDOW = 64
 HIDDEN = 8
@@ -152,14 +153,21 @@ def windows_of(raw: bytes) -> np.ndarray:
 
 
 def train(
-    texts: list[str], langs: list[str], *, epochs: int = 12, batch: int = 512, rate: float = 0.02, seed: int = 0
+    texts: list[str],
+    langs: list[str],
+    *,
+    windows_per_text: int = WINDOWS_PER_TEXT,
+    epochs: int = 12,
+    batch: int = 512,
+    rate: float = 0.02,
+    seed: int = 0,
 ) -> Model:
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     xs, ys = [], []
     for text, lang in zip(texts, langs):
         parts = windows_of(text.encode("utf-8", "replace"))
-        picked = parts if len(parts) <= WINDOWS_PER_TEXT else parts[rng.choice(len(parts), WINDOWS_PER_TEXT, False)]
+        picked = parts if len(parts) <= windows_per_text else parts[rng.choice(len(parts), windows_per_text, False)]
         xs.append(picked)
         ys += [names.index(lang)] * len(picked)
     params = start_params(max(1, len(names)), rng)
@@ -235,8 +243,14 @@ def pooled(model: Model, texts: list[str | None]) -> np.ndarray:
     return np.divide(out, total, out=np.zeros_like(out), where=total > 0)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on at most `per_language` documents of each language, in one task."""
+def fit(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    per_language: int = PER_LANGUAGE,
+    windows_per_text: int = WINDOWS_PER_TEXT,
+) -> Model:
+    """Fit on windows of at most `per_language` documents of each language, in one task."""
     spark = docs.sparkSession
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(
         hash_bucket(4, F.col(id_col)) != 2
@@ -251,7 +265,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", per_language: int = PER_LANG
         if not parts:
             return
         every = pd.concat(parts).sort_values([id_col, "text"])
-        model = train(every["text"].tolist(), every["lang"].tolist())
+        model = train(every["text"].tolist(), every["lang"].tolist(), windows_per_text=windows_per_text)
         names = sorted(model.params)
         yield pd.DataFrame(
             {
@@ -295,5 +309,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def langid(docs: DataFrame) -> DataFrame:
     model = fit(docs)
-    rows = docs.select("doc_id", (hash_bucket(4, F.col("doc_id")) == 2).alias("held_out"), "text")
+    rows = docs.select("doc_id", held_out(4, 2, F.col("doc_id")), "text")
     return identify(rows, model)

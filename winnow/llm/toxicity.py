@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from winnow.llm.common import bounded_ids, hash_bucket, parts, with_fields
+from winnow.llm.common import bounded_ids, hash_bucket, held_out, parts, with_fields
 
 BITS = 18
 SIZES = (3, 4, 5)
@@ -219,5 +219,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
-    rows = docs.select("doc_id", (hash_bucket(5, F.col("doc_id")) == 0).alias("held_out"), "text")
+    rows = docs.select("doc_id", held_out(5, 0, F.col("doc_id")), "text")
     return score(rows, model)
