@@ -224,8 +224,8 @@ def scan_split_document(
 ) -> DataFrame:
     """Rows of JSON documents: a top-level array, the array under `data` of an object, or else the object.
 
-    The same rows as `jsonl.scan_json_document`, but a file is read by as many tasks as it has splits, two or
-    three times. One row at most is held at a time. `with_order` adds the scan-order columns. A
+    The same rows as `jsonl.scan_json_document`, but a file is read by as many tasks as it has splits, three or
+    four times. One row at most is held at a time. `with_order` adds the scan-order columns. A
     document that ends early, an element that is no object, and a bad value fail the job.
     """
     if "data" in schema.fieldNames():
