@@ -17,11 +17,15 @@ def truncated(finish_reason: Column, output_tokens: Column, max_new_tokens: Colu
 def exploded(
     benchmark: DataFrame, generations: DataFrame, *, position: str = "position", candidates: str = "candidates"
 ) -> DataFrame:
-    """One row per candidate, benchmark columns repeated, in sample order from zero."""
+    """One row per candidate, benchmark columns repeated, in sample order from zero.
+
+    Both tables have a row per prompt, so neither is broadcast: the size of a compressed file promises
+    less than its rows take in the driver's memory.
+    """
     rows = generations.select(
         position, F.posexplode(candidates).alias("sample_index", "_candidate")
     )
-    return benchmark.join(rows, position).select(
+    return benchmark.hint("merge").join(rows, position).select(
         *benchmark.columns, "sample_index", "_candidate.*"
     )
 
