@@ -52,3 +52,18 @@ def test_stages_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
         assert docs.count() == 0
+
+
+def test_texts_meet_copies_and_copy_counts_without_a_broadcast(spark, tmp_path):
+    """What grows with the corpus takes one way at every size: no small table is collected in the driver."""
+    from winnow.llm import stages
+
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, text, "s"), (2, text, "s"), (3, "nine ten", "t")], "doc_id bigint, text string, source string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    kept, mixed = stages.drop_near_copies(spark, docs, ""), stages.mix_sources(spark, docs, "")
+    for rows in (kept, mixed):
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert {r["doc_id"] for r in mixed.collect()} <= {1, 2, 3}

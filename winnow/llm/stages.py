@@ -24,7 +24,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     gone = rows.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
     gone = materialize(gone, "pipeline-copies")
     same = (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_hash"])
-    return docs.join(gone, same, "left_anti")
+    # Copies grow with the corpus: never broadcast.
+    return docs.hint("merge").join(gone, same, "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     plan = materialize(plan.where("_copies > 0"), "pipeline-mix")
     # The row as one struct: its column names cannot clash with the others.
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_own"), mixing.n_words(F.col("text")).alias("_words"))
-    rows = rows.join(plan, F.expr("_own <=> _id and _words = _size"))
+    # The plan has a row per document: never broadcast.
+    rows = rows.hint("merge").join(plan, F.expr("_own <=> _id and _words = _size"))
     times = F.round(F.col("_copies") / F.col("_rows")).cast("int")
     kept = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("size", "copy")]
     rows = rows.where(times > 0).select(*kept, F.col("_words").alias("size"), F.sequence(F.lit(1), times).alias("copy"))
