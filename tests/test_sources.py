@@ -231,3 +231,27 @@ def test_stream_equals_batch(spark, tmp_path):
     pick = ["to_json(messages) as m", "reason"]
     assert sorted(map(str, streamed.selectExpr(*pick).collect())) == sorted(map(str, batch.selectExpr(*pick).collect()))
     assert streamed.count() == 120
+
+
+@pytest.fixture
+def long_files(spark, tmp_path):
+    """Files of several splits, with and without a byte order mark and a last line feed."""
+    end, start = b"end", b"\xef\xbb\xbf"
+    parts = {"a": b"line\r\n" * 9000, "b": start + b"\x00\xff\n" * 20_000 + end, "c": end, "d": start + b"\n" * 50_000}
+    for name, data in parts.items():
+        (tmp_path / f"{name}.bin").write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    yield parts
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_long_file_is_followed_by_several_tasks(spark, tmp_path, long_files):
+    rows = checksums.file_checksums(spark, str(tmp_path), glob="*.bin", step=40_000).collect()
+    found = {r["path"].split("/")[-1][0]: (r["length"], r["sha256"]) for r in rows}
+    assert found == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in long_files.items()}
+
+
+def test_files_of_a_folder_are_one_stream(spark, tmp_path, long_files):
+    (row,) = checksums.folder_checksums(spark, str(tmp_path), glob="*.bin", step=90_000).collect()
+    whole = b"".join(long_files[n] for n in sorted(long_files))
+    assert (row["length"], row["sha256"]) == (len(whole), hashlib.sha256(whole).hexdigest())

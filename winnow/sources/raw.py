@@ -22,6 +22,7 @@ _SUFFIX_OPTIONS = (
     "io.compress.passthrough.extension",
     "org.apache.hadoop.shaded.io.compress.passthrough.extension",
 )
+DECODED = r"\.(gz|bz2|zst|lz4|snappy|deflate|br|lzo|lzo_deflate|zlib|passthrough)$"
 BOM = b"\xef\xbb\xbf"
 
 
@@ -52,6 +53,17 @@ def file_lines(spark: SparkSession, path: str | list[str], glob: str) -> DataFra
     return lines.repartition("path").sortWithinPartitions("path", "_block", "_row").drop("_block", "_row")
 
 
+def split_lines(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
+    """`path, length, block, line` of files that Spark splits; a split's lines are in order in one task.
+
+    Not for files with a suffix in DECODED: Hadoop would deliver their lines decompressed.
+    """
+    meta = {"path": "file_path", "length": "file_size", "block": "file_block_start"}
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).text(path)
+    line = F.col("value").cast("binary").alias("line")
+    return lines.select(*(F.col(f"_metadata.{m}").alias(name) for name, m in meta.items()), line)
+
+
 def files_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[bytes]]]:
     """(path, length, pieces) of every file of a partition of `file_lines`; pieces make up its bytes.
 
