@@ -1,10 +1,12 @@
 """Queries that SQL can express against DuckDB; the pipeline stage by stage on a small table."""
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from compare import connect, differences
 from conftest import SMALL
 
+from winnow.llm import toxicity
 from winnow.llm.queries import ORACLES, QUERIES
 
 
@@ -67,3 +69,38 @@ def test_texts_meet_copies_and_copy_counts_without_a_broadcast(spark, tmp_path):
         assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
     assert {r["doc_id"] for r in mixed.collect()} <= {1, 2, 3}
+
+
+def test_toxicity_hands_no_rows_from_the_driver_to_python_workers(spark, monkeypatch):
+    """Rows given as a list are read by workers of an environment of their own, which each executor keeps."""
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 2 else 'good'} words {i}") for i in range(40)], "doc_id bigint, text string")
+    labels = docs.select("doc_id", (docs["doc_id"] % 2).cast("int").alias("toxic"))
+
+    def fail(*args, **more):
+        raise AssertionError("a table was made of the driver's rows")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", fail)
+    model = toxicity.fit(docs, labels)
+    low, high = toxicity.score_texts(model, ["good words 51", "bad words 51"])
+    assert low < 0.5 < high
+
+
+@pytest.mark.parametrize("name", ["toxicity", "near_dedup", "pii"])
+def test_a_stage_hands_texts_to_python_in_batches_of_bounded_bytes(spark, tmp_path, name):
+    spark.range(0, 6000, 1, 1).selectExpr("id doc_id", "repeat('word ', 800) text", "'s' source").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "64m")
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, docs.limit(0), SMALL)
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+        found = docs.repartition(1).mapInArrow(sizes, "rows bigint, bytes bigint").collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(r["rows"] for r in found) == 6000
+    assert max(r["bytes"] for r in found) < 5 << 20

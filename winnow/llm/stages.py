@@ -8,10 +8,21 @@ from winnow.llm import decontaminate, mixing, neardup, pii, toxicity
 from winnow.llm.common import materialize, table
 
 SIMILARITY_PERCENT = 80
+BATCH_BYTES = "4m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in Arrow batches of a few MB, from now on in this session.
+
+    A task holds a batch in the JVM's native memory and again in its Python worker, and over a long run
+    neither gives that memory back. Rows are read after a stage has returned, so the setting stays.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
+    bound_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
@@ -20,6 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Equal rows all stay or all go; of rows that share an id and differ in text, each goes by its own group.
     """
+    bound_batches(spark)
     rows = neardup.near_duplicates(docs, percent=SIMILARITY_PERCENT).where("not kept")
     gone = rows.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
     gone = materialize(gone, "pipeline-copies")
@@ -40,6 +52,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced."""
+    bound_batches(spark)
     return pii.sanitised(docs)
 
 

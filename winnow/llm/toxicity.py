@@ -6,7 +6,7 @@ toxic training texts over its share among the others; logistic regression is tra
 presence of buckets times these values (Wang and Manning, 2012).
 
 The classifier is fitted on at most `max_rows` labelled rows, taken in hash order of the id; the
-ids go through a broadcast of that size, so the corpus is scanned without a shuffle. Scoring is a
+ids are written, then broadcast, so the corpus is scanned without a shuffle. Scoring is a
 map over whole texts, a few hundred rows of an Arrow batch at a time.
 
 Null and empty texts have only the padding and get the score of the intercept. A text of any length
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from winnow.llm.common import bounded_ids, hash_bucket, held_out, parts, with_fields
+from winnow.llm.common import bounded_ids, hash_bucket, held_out, materialize, parts, with_fields
 
 BITS = 18
 SIZES = (3, 4, 5)
@@ -150,7 +150,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", max_rows:
 
     Of texts that share an id the smallest counts, found by a partial aggregate.
     """
-    spark = docs.sparkSession
     known = (
         labels.where(F.col("toxic").isin(0, 1) & (hash_bucket(5, F.col(id_col)) != 0))
         .groupBy(id_col)
@@ -158,8 +157,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", max_rows:
         .where("_low = _toxic")
         .select(id_col, "_toxic")
     )
-    # Bounded by max_rows ids. A label without a document takes a place, which is harmless.
-    ids = spark.createDataFrame(bounded_ids(known, id_col, max_rows).collect(), known.select(id_col).schema)
+    # Bounded by max_rows ids. A label without a document takes a place, which is harmless. Rows collected and
+    # handed back as a list would be read by Python workers of their own, beside those of the maps.
+    ids = materialize(bounded_ids(known, id_col, max_rows), "toxicity-ids")
     sample = docs.select(id_col, "text").join(
         F.broadcast(known.join(F.broadcast(ids), id_col, "left_semi")), id_col
     )
