@@ -273,6 +273,55 @@ def test_vp_tree_recall_at_the_production_factor_over_shards(spark):
     assert hits >= 0.95 * 600
 
 
+def nearest_by_brute_force(x, q, ids=None, k=5):
+    """Ids of the k nearest rows of row q; of `ids` when a row's id is not its place."""
+    ids = np.arange(len(x)) if ids is None else ids
+    score = vptree.cosine(x, np.repeat(x[q : q + 1], len(x), 0))
+    score[ids == ids[q]] = -np.inf
+    return ids[np.lexsort((ids, -score))[:k]].tolist()
+
+
+def test_vp_tree_tiles_of_shards_and_blocks_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "BLOCK", 40)
+    monkeypatch.setattr(vptree, "TREES", 2)
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((900, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame([*rows, (1150, [1.0] * 3), (1200, [2.0] * 3)], "vec_id bigint, embedding array<float>")
+    assert vptree._grid(902, 902, 10, 23, 16, 100, 8) == (5, 5)
+    got = {}
+    found = vptree.nearest(table, F.col("vec_id") >= 0, factor=1.0, shard_rows=100)
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    x = vectors.astype(float)
+    assert all(got[q] == nearest_by_brute_force(x, q) for q in range(900))
+    assert got[1150] == [1200] and got[1200] == [1150] and len(got) == 902
+    # The copies of the queries for all shards grow with the square of the table.
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vp_tree_copies_among_few_and_among_many_rows(spark):
+    rng = np.random.default_rng(6)
+    # 30 of 600 rows share a vector, then 400 do; some rows come twice, and the two zeros are equal.
+    for n in (30, 400):
+        x = rng.standard_normal((600, 8))
+        x[:n] = x[0]
+        x[:n, 3] = np.where(np.arange(n) % 2, 0.0, -0.0)
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        rows += rows[:3] + rows[-3:]
+        for kind in ("float", "double"):
+            table = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>")
+            exact = x.astype(np.float32).astype(float) if kind == "float" else x
+            got = {}
+            found = vptree.nearest(table, F.col("vec_id") % 7 == 0, factor=1.0, shard_rows=100)
+            for r in found.orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append(r.id)
+            assert got == {q: nearest_by_brute_force(exact, q) for q in range(0, 600, 7)}
+        kept, count = vptree._first_ids(table.selectExpr("vec_id as id", "embedding as vector", "size(embedding) as size"), 5)
+        assert kept.distinct().count() == 600 - n + 6
+        assert count == kept.count() == 600 - n + 6
+
+
 def test_langid_learns_labels_positions_and_leaves_letterless_text(spark):
     kinds = {"aa": "bababa daba", "bb": "xyz zyxx qz"}
     rows = [(i, " ".join([kinds[k]] * (1 + i % 9)), k) for i, k in enumerate(["aa", "bb"] * 60)]
